@@ -1,0 +1,15 @@
+"""The queries of this folder, and SQL for those that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .chat import op6_chat
+from .mixing import op2_mixing
+from .quality import op3_quality
+from .sharding import op7_jump_sharding
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_quality, op6_chat, op7_jump_sharding)}
+SQL: dict[str, str] = {}
