@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op8_byte_bpe
 from .chat import op6_chat
 from .mixing import op2_mixing
 from .quality import op3_quality
 from .sharding import op7_jump_sharding
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_quality, op6_chat, op7_jump_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_quality, op6_chat, op7_jump_sharding, op8_byte_bpe)}
 SQL: dict[str, str] = {}
