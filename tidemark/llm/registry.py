@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
 from .chat import op6_chat
+from .jaccard import op1_jaccard_join
 from .mixing import op2_mixing
 from .quality import op3_quality
 from .sharding import op7_jump_sharding
 from .toxicity import op4_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_quality, op4_toxicity, op6_chat, op7_jump_sharding, op8_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op6_chat, op7_jump_sharding, op8_byte_bpe)}
 SQL: dict[str, str] = {}
