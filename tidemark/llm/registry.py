@@ -12,7 +12,8 @@ from .jaccard import op1_jaccard_join
 from .mixing import op2_mixing
 from .quality import op3_quality
 from .sharding import op7_jump_sharding
+from .substrings import op10_recompression
 from .toxicity import op4_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op6_chat, op7_jump_sharding, op8_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op6_chat, op7_jump_sharding, op8_byte_bpe, op10_recompression)}
 SQL: dict[str, str] = {}
