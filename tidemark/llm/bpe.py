@@ -4,26 +4,32 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table
+from .common import slices, table
 
 #: Text bytes whose words share one local dictionary; bounds a worker's memory.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Words above this many bytes are merged by a heap.
 LONG_WORD = 96
 #: Encoded words that a worker remembers; beyond it, it starts anew.
 MOST_REMEMBERED = 1_000_000
-BLOCKS = "block string, kind int, bucket int, part int, payload binary, ids array<bigint>, counts array<int>"
+BLOCKS = "route bigint, block string, kind int, bucket int, part int, payload binary, ids array<bigint>, counts array<int>"
+KINDS = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+NAMES = ["route", "block", "kind", "bucket", "part", "payload", "ids", "counts"]
+#: Rows of a block: packed words (or their ids) of a bucket; the buckets of its words, the most frequent first; packed texts.
+WORDS, DEALT, TEXTS = 0, 1, 2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,55 +105,96 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends[:-1]], ends, strict=True)] if n else []
 
 
-def _to_blocks(pattern: str, buckets: int, id_at: int, text_at: int):
-    """Texts -> blocks: the distinct words of a block by bucket (kind 0), and its rows as places in those (kind 1)."""
-    find = regex.compile(pattern).findall
+class Numbers(dict):
+    """Counts upwards for each new key."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class Places(dict):
+    """What stands between two spaces -> the numbers of its words, the space before it included."""
+
+    def __init__(self, find, numbers: Numbers):
+        super().__init__()
+        self.find, self.numbers = find, numbers
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        places = self[chunk] = tuple(map(self.numbers.__getitem__, self.find(" " + chunk)))
+        return places
+
 
-    def close(words: dict[str, int], rows: list) -> Iterator[pa.RecordBatch]:
-        block = uuid.uuid4().hex
-        raw = [w.encode("utf-8") for w in words]
-        dealt = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in raw), np.int64, len(raw))
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), KINDS, strict=True)], NAMES)
+
+
+def _to_blocks(pattern: str, buckets: int):
+    """(doc_id, text) -> blocks: the distinct words of a block by bucket (WORDS), the buckets by falling frequency of their words
+    (DEALT), and the texts as ranks of their words (TEXTS).
+
+    `pattern` must part texts so that a single space before something else than white space goes with what follows it, as
+    byte-level BPE patterns do; texts without two white spaces in a row are then cut at their spaces, and each distinct piece is parted once.
+    """
+    find = regex.compile(pattern).findall
+    cut_by_pattern = re.compile(r"\s\s").search
+
+    def close(block: str, numbers: Numbers, texts: list) -> Iterator[pa.RecordBatch]:
+        words = [w.encode("utf-8") for w in numbers]
+        by_frequency = np.argsort(-np.bincount(np.concatenate([np.empty(0, np.int64), *(t[0] for t in texts)]), minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[by_frequency] = np.arange(len(words))
+        dealt = np.fromiter((xxhash.xxh64_intdigest(words[i]) % buckets for i in by_frequency.tolist()), np.int64, len(words))
         order = np.argsort(dealt, kind="stable")
-        place = np.empty(len(raw), np.int64)
-        place[order] = np.arange(len(raw))
-        cuts = np.flatnonzero(np.r_[True, np.diff(dealt[order]) != 0]) if len(raw) else np.array([], np.int64)
-        out = [(block, 0, int(dealt[order[a]]), 0, _pack_words([raw[i] for i in order[a:b].tolist()]), None, None) for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
-        out += [(block, 1, -1, k, _pack(place[seen]), ids, counts) for k, (seen, ids, counts) in enumerate(rows)]
-        for i in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["block", "kind", "bucket", "part", "payload", "ids", "counts"])
+        cuts = np.flatnonzero(np.r_[True, np.diff(dealt[order]) != 0]) if len(words) else np.array([], np.int64)
+        home = xxhash.xxh64_intdigest(block.encode()) >> 1
+        packed = [(int(dealt[order[a]]), block, WORDS, int(dealt[order[a]]), 0, _pack_words([words[i] for i in by_frequency[order[a:b]].tolist()]), None, None) for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        yield from _rows(packed + [(home, block, DEALT, -1, 0, _pack(dealt), None, None)])
+        for part, (seen, ids, counts) in enumerate(texts):
+            yield from _rows([(home, block, TEXTS, -1, part, _pack(rank[seen]), ids, counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, held = {}, [], 0
-        number = words.setdefault
+        task, blocks = TaskContext.get().partitionId(), 0
+        numbers, rows, held = Numbers(), [], 0
+        places = Places(find, numbers)
         for batch in batches:
-            ids = batch.column(id_at).to_pylist()
-            for at, texts in slices(batch.column(text_at)):
+            ids = batch.column(0).to_pylist()
+            for at, texts in slices(batch.column(1)):
                 seen, counts = [], []
                 for t in texts:
-                    own = find(t.decode("utf-8"))
-                    counts.append(len(own))
-                    seen += [number(w, len(words)) for w in own]
+                    text, before = t.decode("utf-8"), len(seen)
+                    if cut_by_pattern(text):
+                        seen += map(numbers.__getitem__, find(text))
+                    else:
+                        first, *rest = text.split(" ")
+                        seen += map(numbers.__getitem__, find(first))
+                        seen += chain.from_iterable(map(places.__getitem__, rest))
+                    counts.append(len(seen) - before)
                     held += len(t)
                 rows.append((np.array(seen, np.int64), ids[at : at + len(texts)], counts))
                 if held >= BLOCK_BYTES:
-                    yield from close(words, rows)
-                    words, rows, held = {}, [], 0
-                    number = words.setdefault
+                    yield from close(f"{task}-{blocks}", numbers, rows)
+                    numbers, rows, held, blocks = Numbers(), [], 0, blocks + 1
+                    places = Places(find, numbers)
         if rows:
-            yield from close(words, rows)
+            yield from close(f"{task}-{blocks}", numbers, rows)
 
     return run
 
 
 def _encode_words(ranks):
-    """Rows of kind 0: their words -> their ids (number of ids of each word, then all ids). A word always comes to the same task."""
+    """WORDS rows: their words -> their ids (number of ids of each word, then all ids); other rows pass. A word always comes to the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
         table_ = ranks.value
         for batch in batches:
-            payloads = []
-            for data in batch.column(3).to_pylist():
+            made = []
+            for kind, data in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if kind != WORDS:
+                    made.append(data)
+                    continue
                 counts, ids = [], []
                 for w in _unpack_words(data):
                     own = known.get(w)
@@ -157,8 +204,8 @@ def _encode_words(ranks):
                         own = known[w] = merge(w, table_)
                     counts.append(len(own))
                     ids += own
-                payloads.append(_pack(np.array([len(counts), *counts, *ids], np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([0] * len(payloads), pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(len(payloads), pa.list_(pa.int64())), pa.nulls(len(payloads), pa.list_(pa.int32()))], ["block", "kind", "bucket", "part", "payload", "ids", "counts"])
+                made.append(_pack(np.array([len(counts), *counts, *ids], np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.binary()), *batch.columns[6:]], NAMES)
 
     return run
 
@@ -173,24 +220,27 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of block, kind, bucket and part -> doc_id and tokens (little-endian unsigned 32-bit integers)."""
     block, parts, starts, counts, flat = None, [], None, None, None
     for batch in batches:
-        c = batch.to_pydict()
-        for name, kind, payload, ids, sizes in zip(c["block"], c["kind"], c["payload"], c["ids"], c["counts"], strict=True):
+        for i in range(batch.num_rows):
+            name, kind, data = batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), _unpack(batch.column(5)[i].as_py())
             if name != block:
                 block, parts, flat = name, [], None
-            if kind == 0:
-                parts.append(_unpack(payload))
-                continue
-            if flat is None:
-                counts = np.concatenate([np.empty(0, np.int64), *(p[1 : 1 + p[0]] for p in parts)])
+            if kind == WORDS:
+                parts.append(data)
+            elif kind == DEALT:
+                by_bucket = np.argsort(data, kind="stable")  # ranks in the order in which the buckets' words come
+                came = np.concatenate([np.empty(0, np.int64), *(p[1 : 1 + p[0]] for p in parts)])
                 flat = np.concatenate([np.empty(0, np.int64), *(p[1 + p[0] :] for p in parts)]).astype("<u4")
-                starts, parts = np.cumsum(counts) - counts, []
-            places = _unpack(payload) if len(payload) else np.empty(0, np.int64)
-            own = counts[places]
-            tokens = flat[_spread(starts[places], own)].tobytes()
-            ends = np.r_[0, np.cumsum(own)]
-            cut = 4 * ends[np.r_[0, np.cumsum(np.array(sizes, np.int64))]]
-            made = [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "tokens"])
+                counts, starts = np.empty(len(came), np.int64), np.empty(len(came), np.int64)
+                counts[by_bucket] = came
+                starts[by_bucket] = np.cumsum(came) - came
+                parts = []
+            else:
+                own = counts[data]
+                tokens = flat[_spread(starts[data], own)].tobytes()
+                ends = np.r_[0, np.cumsum(own)]
+                cut = 4 * ends[np.r_[0, np.cumsum(np.array(batch.column(7)[i].as_py(), np.int64))]]
+                made = [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(6)[i].as_py(), pa.int64()), pa.array(made, pa.binary())], ["doc_id", "tokens"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,17 +248,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Each match of `pattern` is a word. Distinct words of a block of texts go, with the others of their hash bucket, to the task of
     that bucket, which merges each distinct word once; ids go back to the block, where they take the words' places. Words travel
-    once for each block that has them, however often; texts never do. Defined cases: a null or empty text has no tokens; null or
+    once for each block that has them, however often; texts travel as ranks of their words. A block is named by its task and
+    number, so docs must give the same rows in the same order if a lost task runs again, as tables do. Defined cases: a null or empty text has no tokens; null or
     repeated ids stay rows of their own; an empty table gives an empty result; other columns are ignored. Ids must fit a long.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = staged(rows.mapInArrow(_to_blocks(pattern, buckets, 0, 1), BLOCKS), "bpe-blocks")
     ranks = spark.sparkContext.broadcast(read_ranks(path))  # of fixed size: the vocabulary
-    encoded = blocks.filter("kind = 0").select("block", "kind", "bucket", "payload").repartition("bucket").mapInArrow(_encode_words(ranks), BLOCKS)
-    together = encoded.unionByName(blocks.filter("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "bucket", "part")
-    return together.mapInArrow(_assemble, "doc_id bigint, tokens binary")
+    encoded = rows.mapInArrow(_to_blocks(pattern, buckets), BLOCKS).repartition("route").mapInArrow(_encode_words(ranks), BLOCKS)
+    return encoded.repartition("block").sortWithinPartitions("block", "kind", "bucket", "part").mapInArrow(_assemble, "doc_id bigint, tokens binary")
 
 
 def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens") -> DataFrame:

@@ -103,5 +103,14 @@ def mix(
     return chosen.withColumn("first", first).orderBy("first", "h", "doc_id").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
+def in_training_order(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs as mix() takes them: each as often as its copies say, ordered by position; the others are left out.
+
+    Ids are taken as unique, as in `documents`; a null id is one too.
+    """
+    places = mix(docs, id_col=id_col, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode("positions").alias("_at"))
+    return docs.join(places, F.col(id_col).eqNullSafe(F.col("_id"))).orderBy("_at", F.xxhash64("_id")).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")

@@ -13,7 +13,19 @@ from .mixing import op2_mixing
 from .quality import op3_quality
 from .sharding import op7_jump_sharding
 from .substrings import op10_recompression
+from .topk import op5_top_k
 from .toxicity import op4_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op6_chat, op7_jump_sharding, op8_byte_bpe, op10_recompression)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op5_top_k, op6_chat, op7_jump_sharding, op8_byte_bpe, op10_recompression)}
+SQL: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

@@ -274,5 +274,18 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stripped.select(F.when(F.col("row_id") != none, F.col("row_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with each text replaced by what strip_repeats() leaves of it; rows left without a word go. n_chars, if there, is counted anew.
+
+    Rows of equal id and text are told apart by nothing, and each keeps its other columns.
+    """
+    none = (1 << 63) - 1
+    row_id, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(none)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = strip_repeats(docs, id_col, text_col).where("n_words > n_removed").select(F.coalesce("doc_id", F.lit(none)).alias("_row"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_row", "_key"])
+    rest = docs.withColumn("_row", row_id).withColumn("_key", text_key).drop(text_col).join(left, ["_row", "_key"])
+    new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return rest.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
