@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_byte_bpe
 from .chat import op6_chat
 from .jaccard import op1_jaccard_join
+from .katz import op9_katz
 from .mixing import op2_mixing
 from .quality import op3_quality
 from .sharding import op7_jump_sharding
@@ -16,7 +17,7 @@ from .substrings import op10_recompression
 from .topk import op5_top_k
 from .toxicity import op4_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op5_top_k, op6_chat, op7_jump_sharding, op8_byte_bpe, op10_recompression)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op5_top_k, op6_chat, op7_jump_sharding, op8_byte_bpe, op9_katz, op10_recompression)}
 SQL: dict[str, str] = {
     "op5_top_k": """
         WITH v AS (
