@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import rotation  # noqa: F401  each module registers its queries
+from .plans import data, flows, rotation  # noqa: F401  each module registers its queries
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -55,3 +55,8 @@ def forward_filled(price: str = "close", keys: tuple = ("asset",), order: str =
 def compounded(x: Column, window) -> Column:
     """Running product of 1 + x."""
     return F.product(1 + x).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def panel_daily(prices: DataFrame, assets: DataFrame) -> DataFrame:
+    """The dense daily grid: prices' dates times assets."""
+    return dense(calendar(prices).select("d", "pos").join(prices.select("d", "asset", "close"), "d"), assets)

@@ -35,12 +35,12 @@ class Tables:
     def px_daily(self) -> DataFrame:
         q, u = F.col("qty"), F.col("unit")
         return self.sales.groupBy("d", "asset").agg(
-            F.round((F.min(u) + F.max(u)) / 2, 6).alias("open"), F.max(u).alias("high"), F.min(u).alias("low"), F.round(F.sum(q * u) / F.sum(q), 6).alias("close"), F.sum(q).cast("long").alias("volume")
+            F.round((F.min(u) + F.max(u)) / 2, 9).alias("open"), F.max(u).alias("high"), F.min(u).alias("low"), F.round(F.sum(q * u) / F.sum(q), 9).alias("close"), F.sum(q).cast("long").alias("volume")
         )
 
     @property
     def px_noisy(self) -> DataFrame:
-        return self.sales.groupBy("d", "asset").agg(F.round(F.sum("value") / F.sum("qty"), 4).alias("close"))
+        return self.sales.groupBy("d", "asset").agg(F.round(F.sum("value") / F.sum("qty"), 8).alias("close"))
 
     @property
     def bad_bars(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Tables:
     @property
     def raw_prices(self) -> DataFrame:
         q = F.col("qty")
-        by_line = self.sales.groupBy("asset", "d", "line").agg(F.round(F.sum(q * F.col("unit")) / F.sum(q), 6).alias("close"), F.sum(q).cast("long").alias("volume"))
+        by_line = self.sales.groupBy("asset", "d", "line").agg(F.round(F.sum(q * F.col("unit")) / F.sum(q), 9).alias("close"), F.sum(q).cast("long").alias("volume"))
         return by_line.select(F.col("asset").alias("entity_id"), F.col("d").alias("trade_date"), "close", "volume", F.date_add("d", F.col("line")).alias("ingest_date"))
 
     @property
@@ -134,8 +134,8 @@ sales AS (
     SELECT CAST(l_shipdate AS DATE) AS d, n_name AS asset, l_quantity AS qty, p_retailprice AS unit, l_extendedprice AS value, l_linenumber AS line, l_returnflag AS flag, l_linestatus AS status
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ),
-px_daily AS (SELECT d, asset, round((min(unit) + max(unit)) / 2, 6) AS open, max(unit) AS high, min(unit) AS low, round(sum(qty * unit) / sum(qty), 6) AS close, CAST(sum(qty) AS BIGINT) AS volume FROM sales GROUP BY d, asset),
-px_noisy AS (SELECT d, asset, round(sum(value) / sum(qty), 4) AS close FROM sales GROUP BY d, asset),
+px_daily AS (SELECT d, asset, round((min(unit) + max(unit)) / 2, 9) AS open, max(unit) AS high, min(unit) AS low, round(sum(qty * unit) / sum(qty), 9) AS close, CAST(sum(qty) AS BIGINT) AS volume FROM sales GROUP BY d, asset),
+px_noisy AS (SELECT d, asset, round(sum(value) / sum(qty), 8) AS close FROM sales GROUP BY d, asset),
 bad_bars AS (SELECT d, asset, open, CASE WHEN day(d) = 13 THEN low - 1 ELSE high END AS high, CASE WHEN day(d) = 13 THEN high + 1 ELSE low END AS low, CASE WHEN day(d) = 15 THEN 0 ELSE close END AS close, CASE WHEN day(d) = 14 THEN -volume ELSE volume END AS volume FROM px_daily),
 flows_daily AS (
     SELECT d, asset, sum(CASE WHEN flag = 'A' THEN s ELSE 0 END) AS foreign_net, sum(CASE WHEN flag = 'N' THEN s ELSE 0 END) AS trust_net, sum(CASE WHEN flag = 'R' THEN s ELSE 0 END) AS dealer_net, sum(s) AS total_net
@@ -143,7 +143,7 @@ flows_daily AS (
 ),
 security_master AS (SELECT asset AS ticker, grp AS industry, 1e6 * (ord + 1) AS issued_shares, CASE WHEN ord % 2 = 0 THEN 'listed' ELSE 'otc' END AS market, 'stock' AS asset_type, ord FROM assets),
 holdings AS (SELECT grp AS etf, asset AS holding_ticker, 0.2::DOUBLE AS weight, ord FROM assets),
-raw_prices AS (SELECT asset AS entity_id, d AS trade_date, round(sum(qty * unit) / sum(qty), 6) AS close, CAST(sum(qty) AS BIGINT) AS volume, CAST(d + line AS DATE) AS ingest_date FROM sales GROUP BY asset, d, line),
+raw_prices AS (SELECT asset AS entity_id, d AS trade_date, round(sum(qty * unit) / sum(qty), 9) AS close, CAST(sum(qty) AS BIGINT) AS volume, CAST(d + line AS DATE) AS ingest_date FROM sales GROUP BY asset, d, line),
 corp_actions AS (
     SELECT n_name AS entity_id, CAST(o_orderdate AS DATE) AS ex_date, 0.9::DOUBLE + (o_orderkey::DOUBLE / 10 % 10) / 100 AS factor, o_orderkey AS action_id, 0.95::DOUBLE AS confidence, CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) AS ingest_date
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0
