@@ -92,10 +92,15 @@ def window_from_half_life(h: Column, multiplier: float = 2.0, low: int = 5, high
     return F.when((h > 0) & (F.abs(h) != float("inf")), F.least(F.lit(high), F.greatest(F.lit(low), F.bround(h * multiplier).cast("int"))))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Null where a side doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pair_correlations(panel: DataFrame) -> DataFrame:
     """panel(asset, pos, x) -> a, b, corr for a < b on shared positions: positions meet positions, so pairs stay within a date's cross-section."""
     left, right = panel.select("pos", F.col("asset").alias("a"), F.col("x").alias("xa")), panel.select("pos", F.col("asset").alias("b"), F.col("x").alias("xb"))
-    return left.join(right, "pos").where("a < b").groupBy("a", "b").agg(F.corr("xa", "xb").alias("corr"))
+    return left.join(right, "pos").where("a < b").groupBy("a", "b").agg(correlation("xa", "xb").alias("corr"))
 
 
 #: MacKinnon's (1994) coefficients for the test with a constant, and the critical values of the level-stationarity test.

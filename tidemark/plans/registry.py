@@ -27,4 +27,4 @@ def query(sql: str = "", more: str = ""):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as sums of floats depend on their order."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
