@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def anchors(words: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.ndar
     Round 0 names maximal runs of equal words. Each later round splits the symbols into left and right ones by a bit of their
     names' hash and names every left one with a right one behind it as a pair. Names are hashes of the contents, so that all tasks
     agree on them. Each symbol carries the stretch of words that its making hangs on, neighbours included; within a window,
-    a symbol whose whole stretch lies inside is there in every copy of the window. Of those, the window's key is the one of the highest
-    round, then of the largest hash. words: hashes; text: the text of each place, rising.
+    a symbol whose whole stretch lies inside is there in every copy of the window. Of those, the window's key is the one of the most
+    words, then of the largest hash: the longer a symbol, the rarer is it shared by chance. words: hashes; text: the text of each place, rising.
     """
     n = len(words)
     best = np.zeros(n, np.uint64)
@@ -48,10 +49,10 @@ def anchors(words: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.ndar
         """Whether each symbol and the next one are of the same text."""
         return left[1:] == left[:-1]
 
-    def offer(name: np.ndarray, low: np.ndarray, high: np.ndarray, rank: int) -> None:
+    def offer(name: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> None:
         fits = high - low <= WINDOW
-        name, low, high = name[fits], low[fits], high[fits]
-        worth = (np.uint64(rank) << np.uint64(61)) | (mix64(name) >> np.uint64(3))
+        name, low, high, size = name[fits], low[fits], high[fits], size[fits]
+        worth = (size.astype(np.uint64) << np.uint64(60)) | (mix64(name) >> np.uint64(4))
         for k in range(WINDOW):  # windows that start k words before the stretch
             start = low - k
             ok = (start >= 0) & (start + WINDOW >= high)
@@ -60,7 +61,7 @@ def anchors(words: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.ndar
     starts = np.flatnonzero(np.r_[True, ~((words[1:] == words[:-1]) & joined(text))])
     ends = np.r_[starts[1:], n]
     name = np.where(ends - starts > 1, mix64(words[starts] + GOLDEN * (ends - starts).astype(np.uint64)), words[starts])
-    own = text[starts]
+    own, size = text[starts], ends - starts
     same = joined(own)
     low = np.where(np.r_[False, same], starts - 1, -FAR)  # a run's ends show by what stands beside them
     high = np.where(np.r_[same, False], ends + 1, FAR)
@@ -75,36 +76,76 @@ def anchors(words: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.ndar
         new_low = np.minimum(low, np.where(right, before_low, after_low))
         new_high = np.maximum(high, np.where(right, before_high, after_high))
         new_name = np.where(pair, mix64(name * GOLDEN + np.r_[name[1:], np.uint64(0)] + np.uint64(r)), name)
+        new_size = np.where(pair, size + np.r_[size[1:], 0], size)
         kept = ~second
-        name, low, high, own, made = new_name[kept], new_low[kept], new_high[kept], own[kept], pair[kept]
-        offer(name[made], low[made], high[made], r)
-    return np.where(best > 0, best, windows >> np.uint64(3))
+        name, low, high, own, size, made = new_name[kept], new_low[kept], new_high[kept], own[kept], new_size[kept], pair[kept]
+        offer(name[made], low[made], high[made], size[made])
+    return np.where(best > 0, best, windows >> np.uint64(4))
 
 
-def pack(keys: np.ndarray, which: np.ndarray, rows: np.ndarray, places: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """(bucket, payload) of keys: for each bucket its rows (two 64-bit numbers each), how many keys each has, the keys, and their places."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers of any width, their bytes regrouped by significance, compressed."""
+    width = values.dtype.itemsize
+    data = zstandard.compress(values.view(np.uint8).reshape(-1, width).T.tobytes(), 3)
+    return struct.pack("<I", len(data)) + data
+
+
+def _spread(data: bytes, at: int, dtype: str) -> tuple[np.ndarray, int]:
+    (size,) = struct.unpack_from("<I", data, at)
+    width = np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.decompress(data[at + 4 : at + 4 + size]), np.uint8)
+    return np.frombuffer(raw.reshape(width, -1).T.tobytes(), dtype), at + 4 + size
+
+
+def pack(bucket: np.ndarray, which: np.ndarray, rows: np.ndarray, items: np.ndarray, places: np.ndarray | None = None) -> pa.RecordBatch:
+    """(bucket, payload): for each bucket its rows (id and text key), how many items each has, the items, and their places."""
     order = np.lexsort((which, bucket))
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.empty(0, np.int64)
     made = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
         at = order[a:b]
         own, counts = np.unique(which[at], return_counts=True)
-        made.append(np.array([len(own), len(at)], "<u8").tobytes() + rows[own].tobytes() + counts.astype("<u4").tobytes() + keys[at].tobytes() + (b"" if places is None else places[at].astype("<u4").tobytes()))
+        made.append(_squeeze(rows[own, 0]) + _squeeze(rows[own, 1].astype("<u4")) + _squeeze(counts.astype("<u4")) + (b"" if places is None else _squeeze(places[at].astype("<u4"))) + items[at].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]], pa.int32()), pa.array(made, pa.binary())], ["bucket", "payload"])
 
 
-def unpack(parts: list[bytes], with_places: bool) -> tuple[np.ndarray, ...]:
-    """keys, rows (two columns) and places of a bucket's packs."""
-    keys, rows, places = [], [], []
+def unpack(parts: list[bytes], kind: str, with_places: bool = False) -> tuple[np.ndarray, ...]:
+    """items, rows (two columns) and places of a bucket's packs."""
+    items, rows, places = [], [], []
     for p in parts:
-        n, m = np.frombuffer(p, "<u8", 2).tolist()
-        counts = np.frombuffer(p, "<u4", n, 16 + 16 * n)
-        rows.append(np.repeat(np.frombuffer(p, "<u8", 2 * n, 16).reshape(n, 2), counts, axis=0))
-        keys.append(np.frombuffer(p, "<u8", m, 16 + 20 * n))
+        ids, at = _spread(p, 0, "<u8")
+        texts, at = _spread(p, at, "<u4")
+        counts, at = _spread(p, at, "<u4")
         if with_places:
-            places.append(np.frombuffer(p, "<u4", m, 16 + 20 * n + 8 * m))
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places) if with_places else np.empty(0, np.uint32)
+            own, at = _spread(p, at, "<u4")
+            places.append(own)
+        rows.append(np.repeat(np.stack([ids, texts.astype(np.uint64)], 1), counts, axis=0))
+        items.append(np.frombuffer(p[at:], kind))
+    return np.concatenate(items), np.concatenate(rows), np.concatenate(places) if with_places else np.empty(0, np.uint32)
+
+
+def _by_row(row: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items grouped by row: the rows, which of them each item has, the items, and where each row's begin."""
+    order = np.lexsort((items, row[:, 1], row[:, 0]))
+    row, items = row[order], items[order]
+    fresh = np.r_[True, (row[1:] != row[:-1]).any(1)] if len(row) else np.empty(0, bool)
+    cuts = np.flatnonzero(fresh)
+    return row[cuts], np.cumsum(fresh) - 1, items, cuts
+
+
+def to_homes(row: np.ndarray, items: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Packs of what a bucket found for each row, by a bucket of the row itself, so that few records travel, whatever the number of buckets."""
+    rows, which, items, _ = _by_row(row, items)
+    home = (mix64(rows[:, 0] * GOLDEN + rows[:, 1]) % np.uint64(buckets)).astype(np.int64)
+    return pack(home[which] if len(which) else np.empty(0, np.int64), which, rows, items)
+
+
+def at_home(parts: list[bytes]) -> pa.RecordBatch:
+    """One record for each row: all that was found for it."""
+    items, row, _ = unpack(parts, "<u4")
+    rows, _, items, cuts = _by_row(row, items)
+    made = [items[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(items)], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(signed(rows[:, 0])), pa.array(signed(rows[:, 1])), pa.array(made, pa.binary())], ["row_id", "text_key", "found"])
 
 
 def by_bucket(judge):
@@ -156,32 +197,31 @@ def _keys(buckets: int):
                 rows.append(ids[at : at + len(texts)])
                 held += len(keys[-1])
                 if held >= PACKED:
-                    yield pack(np.concatenate(keys), np.concatenate(which), np.concatenate(rows), None, buckets)
+                    yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.concatenate(rows), flat)
                     keys, which, rows, held = [], [], [], 0
         if held:
-            yield pack(np.concatenate(keys), np.concatenate(which), np.concatenate(rows), None, buckets)
+            yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.concatenate(rows), flat)
 
     return run
 
 
-def _shared(parts: list[bytes]) -> pa.RecordBatch:
-    """Of a bucket: each row's keys that rows of other ids have too."""
-    key, row, _ = unpack(parts, False)
-    order = np.lexsort((row[:, 1], row[:, 0].view(np.int64), key))
-    key, row = key[order], row[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    first, last = row[start, 0], row[np.r_[start[1:], len(key)] - 1, 0]
-    many = np.repeat(first != last, np.diff(np.r_[start, len(key)]))
-    key, row = key[many], row[many]
-    order = np.lexsort((key, row[:, 1], row[:, 0]))
-    key, row = key[order], row[order]
-    cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]).any(1)]) if len(key) else np.empty(0, np.int64)
-    made = [key[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(signed(row[cuts, 0])), pa.array(signed(row[cuts, 1])), pa.array(made, pa.binary())], ["row_id", "text_key", "found"])
+def _shared(buckets: int):
+    """Of a bucket: each row's keys, or half of each, that rows of other ids have too."""
+
+    def judge(parts: list[bytes]) -> pa.RecordBatch:
+        key, row, _ = unpack(parts, "<u8")
+        order = np.lexsort((row[:, 0].view(np.int64), key))
+        key, row = key[order], row[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first, last = row[start, 0], row[np.r_[start[1:], len(key)] - 1, 0]
+        many = np.repeat(first != last, np.diff(np.r_[start, len(key)]))
+        return to_homes(row[many], (key[many] >> np.uint64(32)).astype("<u4"), buckets)
+
+    return by_bucket(judge)
 
 
 def _windows(buckets: int):
-    """(row id, text key, text, packs of shared keys) -> packs of hashes and places of the windows that have such a key."""
+    """(row id, text key, text, shared keys) -> packs of hashes and places of the windows that have such a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, which, rows, places, held = [], [], [], [], 0
@@ -192,51 +232,51 @@ def _windows(buckets: int):
                 cut = np.searchsorted(text, np.arange(len(texts) + 1))
                 for i in range(len(texts)):
                     a, b = int(cut[i]), int(cut[i + 1])
-                    wanted = np.sort(np.frombuffer(b"".join(batch.column(3)[at + i].as_py()), np.uint64))
-                    spot = np.searchsorted(wanted, key[a:b])
-                    hit = starts[a:b] & (wanted[np.minimum(spot, len(wanted) - 1)] == key[a:b])
+                    wanted = np.sort(np.frombuffer(batch.column(3)[at + i].as_py(), "<u4"))
+                    short = (key[a:b] >> np.uint64(32)).astype(np.uint32)  # half a key: a chance hit only costs a comparison
+                    spot = np.searchsorted(wanted, short)
+                    hit = starts[a:b] & (wanted[np.minimum(spot, len(wanted) - 1)] == short)
                     keys.append(windows[a:b][hit])
                     places.append(place[a:b][hit])
                     which.append(np.full(len(keys[-1]), len(rows)))
                     rows.append(ids[at + i])
                     held += len(keys[-1])
                 if held >= PACKED:
-                    yield pack(np.concatenate(keys), np.concatenate(which), np.stack(rows), np.concatenate(places), buckets)
+                    yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.stack(rows), flat, np.concatenate(places))
                     keys, which, rows, places, held = [], [], [], [], 0
         if held:
-            yield pack(np.concatenate(keys), np.concatenate(which), np.stack(rows), np.concatenate(places), buckets)
+            yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.stack(rows), flat, np.concatenate(places))
 
     return run
 
 
-def _repeats(parts: list[bytes]) -> pa.RecordBatch:
+def _repeats(buckets: int):
     """Of a bucket of windows: for each row the places of those that a row of a smaller id has too."""
-    key, row, place = unpack(parts, True)
-    order = np.lexsort((row[:, 0].view(np.int64), key))
-    key, row, place = key[order], row[order], place[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    first = np.repeat(row[start, 0].view(np.int64), np.diff(np.r_[start, len(key)]))
-    later = row[:, 0].view(np.int64) > first
-    row, place = row[later], place[later]
-    order = np.lexsort((place, row[:, 1], row[:, 0]))
-    row, place = row[order], place[order]
-    cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]).any(1)]) if len(place) else np.empty(0, np.int64)
-    made = [place[a:b].astype("<u4").tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(signed(row[cuts, 0])), pa.array(signed(row[cuts, 1])), pa.array(made, pa.binary())], ["row_id", "text_key", "found"])
+
+    def judge(parts: list[bytes]) -> pa.RecordBatch:
+        key, row, place = unpack(parts, "<u8", True)
+        order = np.lexsort((row[:, 0].view(np.int64), key))
+        key, row, place = key[order], row[order], place[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.repeat(row[start, 0].view(np.int64), np.diff(np.r_[start, len(key)]))
+        later = row[:, 0].view(np.int64) > first
+        return to_homes(row[later], place[later].astype("<u4"), buckets)
+
+    return by_bucket(judge)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row id, text key, text, packs of places) -> (row id, text key, n_words, n_removed, kept)."""
+    """(row id, text key, text, places) -> (row id, text key, n_words, n_removed, kept)."""
     for batch in batches:
         for at, texts in slices(batch.column(2)):
             sizes, gone, kept = [], [], []
             for i, t in enumerate(texts):
                 words = t.split()
-                packs = batch.column(3)[at + i].as_py()
+                found = batch.column(3)[at + i].as_py()
                 sizes.append(len(words))
-                if packs:
+                if found:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    places = np.frombuffer(b"".join(packs), "<u4").astype(np.int64)
+                    places = np.frombuffer(found, "<u4").astype(np.int64)
                     np.add.at(edge, places, 1)
                     np.add.at(edge, places + WINDOW, -1)
                     stay = np.cumsum(edge[:-1]) == 0
@@ -258,17 +298,17 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are ignored. Texts travel once, by id and text hash, and both joins read the same shuffle.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = (1 << 63) - 1
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row_id"), F.crc32(text.cast("binary")).alias("text_key"), text.alias("text"))
     found = "row_id bigint, text_key bigint, found binary"
-    gather = lambda df: df.groupBy("row_id", "text_key").agg(F.collect_list("found").alias("found"))
-    packs = keyed.mapInArrow(_keys(buckets), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
-    shared = gather(packs.mapInArrow(by_bucket(_shared), found))
+    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    packed = "bucket int, payload binary"
+    shared = grouped(grouped(keyed.mapInArrow(_keys(buckets), packed)).mapInArrow(_shared(buckets), packed)).mapInArrow(by_bucket(at_home), found)
     dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id", "text_key")
-    windows = dealt.join(shared, ["row_id", "text_key"]).select("row_id", "text_key", "text", "found").mapInArrow(_windows(buckets), "bucket int, payload binary")
-    repeats = gather(windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(_repeats), found))
+    windows = dealt.join(shared, ["row_id", "text_key"]).select("row_id", "text_key", "text", "found").mapInArrow(_windows(buckets), packed)
+    repeats = grouped(grouped(windows).mapInArrow(_repeats(buckets), packed)).mapInArrow(by_bucket(at_home), found)
     out = dealt.join(repeats, ["row_id", "text_key"], "left").select("row_id", "text_key", "text", "found")
     stripped = out.mapInArrow(_strip, "row_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string")
     return stripped.select(F.when(F.col("row_id") != none, F.col("row_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept")
@@ -280,7 +320,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of equal id and text are told apart by nothing, and each keeps its other columns.
     """
     none = (1 << 63) - 1
-    row_id, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(none)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    row_id, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(none)), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     left = strip_repeats(docs, id_col, text_col).where("n_words > n_removed").select(F.coalesce("doc_id", F.lit(none)).alias("_row"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_row", "_key"])
     rest = docs.withColumn("_row", row_id).withColumn("_key", text_key).drop(text_col).join(left, ["_row", "_key"])
     new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
