@@ -61,13 +61,13 @@ def set_number(fp: bytes) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text key, text) -> (doc_id, text key, n_shingles, fp, number)."""
+    """(doc_id, text key, text) -> (doc_id, text key, n_shingles, fp, number, bits)."""
     for batch in batches:
         for at, texts in slices(batch.column(2)):
             sets = shingle_sets(texts)
             fps = [digest(s) for s in sets]
             numbers = signed(np.array([set_number(f) for f in fps], np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(numbers)], ["doc_id", "text_key", "n_shingles", "fp", "number"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(numbers), pa.array([bitmap(s) for s in sets], pa.binary())], ["doc_id", "text_key", "n_shingles", "fp", "number", "bits"])
 
 
 def _bands(n: int) -> list[tuple[int, int]]:
@@ -187,55 +187,85 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from judge(parts)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, text) -> (fp, hashes)."""
-    for batch in batches:
-        for at, texts in slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["fp", "hashes"])
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n: the power of two from n on, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length()) if n else 64
+
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit says whether an odd number of the set's shingles has that hash. Two bitmaps differ in at most as many bits as their sets
+    differ in shingles, which bounds the overlap from above; one of twice the width becomes one of the width by folding."""
+    bits = width(len(hashes))
+    odd = np.bincount((mix64(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """One row of 64-bit words for each set: a bit says whether an odd number of its shingles has that hash. Two rows differ in at
-    most as many bits as the sets differ in shingles, which bounds the overlap from above."""
-    rows = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((mix64(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-        rows[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-    return rows
+
+def possible_links(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
+    """A spanning forest of the pairs within `left`, or between left and right, that can link by their sizes and bitmaps. Rows
+    (fp, n, bits) by size; right ones are not smaller than left ones."""
+    rows = left + (right or [])
+    n = np.array([r[1] for r in rows], np.int64)
+    widths = np.array([8 * len(r[2]) for r in rows], np.int64)
+    maps, at = {}, {}
+    for w in np.unique(widths[: len(left)]).tolist():  # sets in reach have the same width, or twice as much
+        own = np.flatnonzero((widths == w) | (widths == 2 * w))
+        words = [np.frombuffer(rows[i][2], np.uint64) for i in own.tolist()]
+        maps[w] = np.stack([x if len(x) * 64 == w else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in words])
+        at[w] = np.full(len(rows), -1)
+        at[w][own] = np.arange(len(own))
+    forest, end = Forest(), len(rows)
+    for i in range(len(left)):
+        start = i + 1 if right is None else len(left)
+        stop = start + int(np.searchsorted(PERCENT * n[start:end], 100 * n[i], "right"))
+        near = start + np.flatnonzero(100 * n[start:stop] >= PERCENT * n[i])
+        if not len(near):
+            continue
+        w = int(widths[i])
+        apart = np.bitwise_count(maps[w][at[w][near]] ^ maps[w][at[w][i]]).sum(1, dtype=np.int64)
+        for j in near[(100 + PERCENT) * ((n[near] + n[i] - apart) // 2) >= PERCENT * (n[near] + n[i])].tolist():
+            forest.join(i, j)
+    return [(rows[a][0], rows[b][0]) for a, b in forest.kept]
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, fp, n, bits) in order -> the tiles' possible links."""
+
+    def finish(sides: list[list]) -> Iterator[pa.RecordBatch]:
+        if sides[0] and len(sides[0]) + len(sides[1]) > 1 and (pairs := possible_links(sides[0], sides[1] or None)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    tile, sides = None, [[], []]
+    for batch in batches:
+        for t, side, fp, n, bits in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if t != tile:
+                yield from finish(sides)
+                tile, sides = t, [[], []]
+            sides[side].append((fp, n, bits))
+    yield from finish(sides)
 
 
 def judge_tile(left: list[tuple], right: list[tuple] | None):
     """Links within `left`, or between left and right: rows (fp, copies, hashes), by size -> (links of each fp, a spanning forest).
 
-    For each set: those in reach by size; of them, those whose bitmaps leave an overlap that is large enough; of them, by exact intersection.
-    A set's links count the copies of the other sets.
+    For each set: those in reach by size, and of them those whose sorted arrays of ranks share enough. A set's links count the copies of
+    the other sets.
     """
     rows = left + (right or [])
     n = np.array([len(r[2]) for r in rows], np.int64)
     copies = np.array([r[1] for r in rows], np.int64)
-    bits = 64
-    while bits < min(int(n.max()), 8192):
-        bits *= 2
-    maps = bitmaps([r[2] for r in rows], bits)
     _, ranks = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
     ends = np.cumsum(n)
     mark = np.zeros(int(ranks.max()) + 1, bool)
-    first, last = (0, len(rows)) if right is None else (len(left), len(rows))
     links, forest = np.zeros(len(rows), np.int64), Forest()
     for i in range(len(left)):
-        start = i + 1 if right is None else first
-        near = start + np.flatnonzero((100 * np.minimum(n[start:last], n[i]) >= PERCENT * np.maximum(n[start:last], n[i])))
-        if not len(near):
-            continue
-        apart = np.bitwise_count(maps[near] ^ maps[i]).sum(1, dtype=np.int64)
-        near = near[(100 + PERCENT) * ((n[near] + n[i] - apart) // 2) >= PERCENT * (n[near] + n[i])]
+        start = i + 1 if right is None else len(left)
+        near = start + np.flatnonzero(100 * np.minimum(n[start:], n[i]) >= PERCENT * np.maximum(n[start:], n[i]))
         if not len(near):
             continue
         own = ranks[ends[i] - n[i] : ends[i]]
         mark[own] = True
         sizes = n[near]
-        total = int(sizes.sum())
-        places = np.arange(total) + np.repeat(ends[near] - sizes - (np.cumsum(sizes) - sizes), sizes)
+        places = np.arange(int(sizes.sum())) + np.repeat(ends[near] - sizes - (np.cumsum(sizes) - sizes), sizes)
         both = np.add.reduceat(mark[ranks[places]].astype(np.int64), np.cumsum(sizes) - sizes)
         mark[own] = False
         linked = near[(100 + PERCENT) * both >= PERCENT * (sizes + n[i])]
@@ -246,8 +276,23 @@ def judge_tile(left: list[tuple], right: list[tuple] | None):
     return links, [(rows[a][0], rows[b][0]) for a, b in forest.kept]
 
 
+def _tiled(sets: DataFrame) -> DataFrame:
+    """sets(root, fp, n_shingles, ...) with tiles: for each set the tiles it belongs to and its side in each.
+
+    A component's sets are cut into blocks by size; every pair of blocks in reach of each other is a tile. Tiles of one block have one side.
+    """
+    in_order = Window.partitionBy("root").orderBy("n_shingles", "fp").rowsBetween(Window.unboundedPreceding, 0)
+    sets = sets.withColumn("block", F.floor((F.sum(F.greatest("n_shingles", F.lit(SHORT))).over(in_order) - 1) / BLOCK).cast("int"))
+    spans = sets.groupBy("root", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    other = spans.select("root", F.col("block").alias("block2"), F.col("low").alias("low2"))
+    tiled = spans.join(other, "root").where((F.col("block2") >= F.col("block")) & (100 * F.col("high") >= PERCENT * F.col("low2"))).select("root", "block", "block2")
+    ends = tiled.select("root", "block", "block2", F.col("block").alias("mine"), F.lit(0).alias("side")).unionByName(tiled.where("block2 > block").select("root", "block", "block2", F.col("block2").alias("mine"), F.lit(1).alias("side")))
+    ends = ends.groupBy("root", F.col("mine").alias("block")).agg(F.collect_list(F.struct(F.xxhash64("root", "block", "block2").alias("tile"), "side")).alias("tiles"))
+    return sets.join(ends, ["root", "block"]).drop("root", "block")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, side, fp, copies, hashes) in order -> (a, b, links): links of a, with b null; or a link of the forest."""
+    """Rows (tile, side, fp, copies, text) in order -> (a, b, links): links of a, with b null; or a link of the forest."""
 
     def finish(sides: list[list]) -> Iterator[pa.RecordBatch]:
         left, right = (sides[0], None) if not sides[1] else (sides[0], sides[1])
@@ -261,11 +306,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     tile, sides = None, [[], []]
     for batch in batches:
-        for t, side, fp, copies, hashes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if t != tile:
-                yield from finish(sides)
-                tile, sides = t, [[], []]
-            sides[side].append((fp, copies, np.frombuffer(hashes, np.uint64)))
+        for at, texts in slices(batch.column(4)):
+            rows = zip(*(batch.column(i).slice(at, len(texts)).to_pylist() for i in range(4)), shingle_sets(texts), strict=True)
+            for t, side, fp, copies, hashes in rows:
+                if t != tile:
+                    yield from finish(sides)
+                    tile, sides = t, [[], []]
+                if not sides[side] or sides[side][-1][0] != fp:  # rows of equal id and text come twice
+                    sides[side].append((fp, copies, hashes))
     yield from finish(sides)
 
 
@@ -278,32 +326,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     only if no row of it has an id; repeated ids stay rows; an empty table gives an empty result; other columns are ignored.
 
     Steps: equal sets become one; sets that share a tile key become candidates, tied in chains, never in all pairs; components of
-    candidates are cut into blocks by size, and every pair of blocks in reach of each other is a tile for one task. Equal sets and
-    hot groups thus cost one row, or blocks over many tasks. Tasks send on spanning forests and counts, not links.
+    candidates are cut into blocks by size, and every pair of blocks in reach of each other is a tile for one task. There bitmaps, a bit a
+    shingle, leave the pairs whose overlap can be large enough; their components, mostly groups of real near-duplicates, are tiled
+    once more, and only their texts travel, for exact intersections. Equal sets and hot groups thus cost one row, or blocks
+    over many tasks. Tasks send on spanning forests and counts, not links.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = staged(keyed.mapInArrow(_describe, "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, number bigint"), "shingles")
+    rows = staged(keyed.mapInArrow(_describe, "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, number bigint, bits binary"), "shingles")
     tiles = docs.select(text.alias("text")).mapInArrow(_tiles(buckets), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
     candidates = components(tiles.mapInArrow(_neighbours, "a bigint, b bigint"))
-    sets = rows.where("n_shingles > 0").groupBy("fp", "number", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"))
-    sets = staged(sets.join(candidates.select(F.col("node").alias("number"), "root"), "number").select("fp", "n_shingles", "copies", "root", "rep.doc_id", "rep.text_key"), "candidates")
-    # blocks of a component, by size; pairs of blocks whose sizes are in reach
-    in_order = Window.partitionBy("root").orderBy("n_shingles", "fp").rowsBetween(Window.unboundedPreceding, 0)
-    sets = sets.withColumn("block", F.floor((F.sum(F.greatest("n_shingles", F.lit(SHORT))).over(in_order) - 1) / BLOCK).cast("int"))
-    spans = sets.groupBy("root", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    other = spans.select("root", F.col("block").alias("block2"), F.col("low").alias("low2"))
-    tiled = spans.join(other, "root").where((F.col("block2") >= F.col("block")) & (100 * F.col("high") >= PERCENT * F.col("low2"))).select("root", "block", "block2")
-    ends = tiled.select("root", "block", "block2", F.col("block").alias("mine"), F.lit(0).alias("side")).unionByName(tiled.where("block2 > block").select("root", "block", "block2", F.col("block2").alias("mine"), F.lit(1).alias("side")))
-    ends = ends.groupBy("root", F.col("mine").alias("block")).agg(F.collect_list(F.struct(F.xxhash64("root", "block", "block2").alias("tile"), "side")).alias("tiles"))
-    sets = sets.join(ends, ["root", "block"]).select("fp", "copies", "doc_id", "text_key", "tiles")
-    k, s = keyed.alias("k"), sets.alias("s")
-    texts = k.join(s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.text_key") == F.col("s.text_key"))).select("s.fp", "k.text").dropDuplicates(["fp"])
-    hashes = texts.mapInArrow(_sets, "fp binary, hashes binary")
-    work = sets.select("fp", "copies", F.explode("tiles").alias("t")).join(hashes, "fp").select("t.tile", "t.side", "fp", "copies", "hashes")
-    work = work.repartition("tile").sortWithinPartitions("tile", "side", F.length("hashes"), "fp")
+    sets = rows.where("n_shingles > 0").groupBy("fp", "number", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    sets = staged(sets.join(candidates.select(F.col("node").alias("number"), "root"), "number").select("fp", "n_shingles", "copies", "bits", "root", "rep.doc_id", "rep.text_key"), "candidates")
+    coarse = _tiled(sets.select("root", "fp", "n_shingles", "bits")).select(F.explode("tiles").alias("t"), "fp", "n_shingles", "bits").select("t.tile", "t.side", "fp", "n_shingles", "bits")
+    possible = coarse.repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp").mapInArrow(_possible, "a binary, b binary")
+    near = components(possible).select(F.col("node").alias("fp"), "root")
+    k, s = keyed.alias("k"), _tiled(staged(sets.drop("root", "bits").join(near, "fp"), "near")).alias("s")
+    work = k.join(s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.text_key") == F.col("s.text_key"))).select("fp", "copies", "n_shingles", F.explode("tiles").alias("t"), "text")
+    work = work.select("t.tile", "t.side", "fp", "copies", "text", "n_shingles").repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp")
     judged = staged(work.mapInArrow(_verify, "a binary, b binary, links bigint"), "judged")
     counted = judged.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     members = components(judged.where("b is not null").select("a", "b")).select(F.col("node").alias("fp"), "root")
