@@ -30,9 +30,9 @@ BLOCK_BYTES = 12 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 
 PAIRS, TEXTS, ANSWERS, WEIGHTS, HISTORY, COUNTS, NEED = range(7)
-ROWS = "kind int, block string, bucket int, part int, payload binary, ids array<bigint>, held array<boolean>, h bigint, m array<bigint>, p double, rare array<bigint>"
-NAMES = ["kind", "block", "bucket", "part", "payload", "ids", "held", "h", "m", "p", "rare"]
-KINDS = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()))
+ROWS = "kind int, block string, bucket int, part int, payload binary, ids array<bigint>, held array<boolean>, h bigint, m array<bigint>, p double, rare array<bigint>, alphas array<double>"
+NAMES = ["kind", "block", "bucket", "part", "payload", "ids", "held", "h", "m", "p", "rare", "alphas"]
+KINDS = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -202,7 +202,8 @@ def _blocks(model, buckets: int, wanted: int):
             learnt = np.concatenate([np.repeat(~np.array(r[3], bool), r[4]) for r in rows])
             salt = np.where(_find(hot, h) < len(hot), mix64(w) % np.uint64(SALTS), np.uint64(0))
             bucket = (mix64(h + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((w, h, bucket))
+            # one key: bucket, then 30 bits of the history and 24 of the word; a clash only parts a bigram's or a history's rows, and both are summed later
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(54)) | (mix64(h) >> np.uint64(34) << np.uint64(24)) | (mix64(w) >> np.uint64(40)))
             h, w, bucket = h[order], w[order], bucket[order]
             first = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
             if wanted == TEXTS:
@@ -335,7 +336,7 @@ def _score(model, given: Discounts):
                     answers.append((batch.column(2)[i].as_py(), load(batch.column(4)[i].as_py())))
                     continue
                 if kind == WEIGHTS:
-                    weights.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(9)[i].as_py()))
+                    weights.append((batch.column(2)[i].as_py(), batch.column(8)[i].values.to_numpy(), batch.column(11)[i].values.to_numpy()))
                     continue
                 if ready is None:
                     answers.sort(key=lambda x: x[0])
@@ -411,7 +412,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     weights = backoff_weights(answers.where(F.col("kind") == HISTORY).select("h", "m", "p", "rare"), words, unigrams, given)
     needed = answers.where(F.col("kind") == NEED).select("block", "bucket", "part", "h").join(weights, "h")
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in answers.schema.fields}
-    back = needed.select(*[F.lit(WEIGHTS).alias("kind") if c == "kind" else F.col("alpha").alias("p") if c == "p" else F.col(c) if c in ("block", "bucket", "part") else empty[c] for c in NAMES])
+    packed = needed.groupBy("block", "bucket").agg(F.collect_list(F.struct("part", "alpha")).alias("w"))  # a block's histories of a bucket
+    own = {"kind": F.lit(WEIGHTS), "block": F.col("block"), "bucket": F.col("bucket"), "m": F.col("w.part").cast("array<bigint>"), "alphas": F.col("w.alpha")}
+    back = packed.select(*[own[c].alias(c) if c in own else empty[c] for c in NAMES])
     texts = rows.mapInArrow(_blocks(model, buckets, TEXTS), ROWS)
     together = texts.unionByName(back).unionByName(answers.where(F.col("kind") == ANSWERS))
     in_order = together.repartition("block").sortWithinPartitions("block", F.when(F.col("kind") == TEXTS, 9).otherwise(F.col("kind")), "bucket", "part")
