@@ -57,9 +57,10 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     rooted = state.filter("up is null")
     leaves = rooted.join(nodes.select("conv_id", F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct(), key, "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "node_id"))).filter(F.col("branch") <= branches)
-    paths = ranked.select("conv_id", "branch", "node_id", "depth")
+    paths = staged(ranked.select("conv_id", "branch", "node_id", "depth"), "paths")
     for k in reversed(range(len(jumps))):
-        paths = paths.unionByName(paths.join(jumps[k], key).select("conv_id", "branch", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth")))
+        # written, as each round reads it twice: the plan would double with every round
+        paths = staged(paths.unionByName(paths.join(jumps[k], key).select("conv_id", "branch", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth"))), "paths")
     return paths
 
 
