@@ -48,10 +48,11 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while (1 << len(jumps)) <= most and not (open_rows := state.filter("up is not null").select(*key, "up")).isEmpty():
         jumps.append(open_rows)
         above = state.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        # rows past their root are done: only the others are joined again
         state = staged(
-            state.join(above, ["conv_id", "up"], "left").select(
+            state.filter("up is not null").join(above, ["conv_id", "up"], "left").select(
                 *key, F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-            ),
+            ).unionByName(state.filter("up is null").select(*key, "up", "total", "depth")),
             "tree",
         )
     rooted = state.filter("up is null")
