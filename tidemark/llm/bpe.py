@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -86,16 +87,22 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """32-bit integers, their bytes regrouped by significance, compressed."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    """32-bit integers, mostly small: a byte each, where 255 refers to the rest, whose bytes are grouped by significance; compressed."""
+    x = values.astype("<u4")
+    rest = x[x >= 255] - np.uint32(255)
+    return struct.pack("<I", len(x)) + zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes() + rest.view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
+    (n,) = struct.unpack_from("<I", data)
+    raw = np.frombuffer(zstandard.decompress(data[4:]), np.uint8)
+    out = raw[:n].astype(np.int64)
+    out[out == 255] += np.frombuffer(raw[n:].reshape(4, -1).T.tobytes(), "<u4")
+    return out
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 3)
+    return zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 9)
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
@@ -149,7 +156,7 @@ def _to_blocks(pattern: str, buckets: int):
         order = np.argsort(dealt, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(dealt[order]) != 0]) if len(words) else np.array([], np.int64)
         home = xxhash.xxh64_intdigest(block.encode()) >> 1
-        packed = [(int(dealt[order[a]]), block, WORDS, int(dealt[order[a]]), 0, _pack_words([words[i] for i in by_frequency[order[a:b]].tolist()]), None, None) for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        packed = [(int(dealt[order[a]]), block, WORDS, int(dealt[order[a]]), 0, _pack_words([words[i] for i in by_frequency[order[a:b]].tolist()]), None, None) for a, b in zip(cuts, [*cuts[1:], len(words)], strict=False)]
         yield from _rows(packed + [(home, block, DEALT, -1, 0, _pack(dealt), None, None)])
         for part, (seen, ids, counts) in enumerate(texts):
             yield from _rows([(home, block, TEXTS, -1, part, _pack(rank[seen]), ids, counts)])
