@@ -202,8 +202,10 @@ def _blocks(model, buckets: int, wanted: int):
             learnt = np.concatenate([np.repeat(~np.array(r[3], bool), r[4]) for r in rows])
             salt = np.where(_find(hot, h) < len(hot), mix64(w) % np.uint64(SALTS), np.uint64(0))
             bucket = (mix64(h + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            # one key: bucket, then 30 bits of the history and 24 of the word; a clash only parts a bigram's or a history's rows, and both are summed later
-            order = np.argsort((bucket.astype(np.uint64) << np.uint64(54)) | (mix64(h) >> np.uint64(34) << np.uint64(24)) | (mix64(w) >> np.uint64(40)))
+            # one key: 30 bits of the history and 24 of the word; a clash only parts a bigram's or a history's rows, and both are summed later
+            order = np.argsort((mix64(h) >> np.uint64(34) << np.uint64(24)) | (mix64(w) >> np.uint64(40)))
+            # by bucket apart, so that any number of buckets fits; up to 2^16 of them are sorted by radix
+            order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets - 1)), kind="stable")]
             h, w, bucket = h[order], w[order], bucket[order]
             first = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
             if wanted == TEXTS:
