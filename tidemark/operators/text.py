@@ -19,6 +19,8 @@ INJECTIONS = (
     (r"(強力買進|強烈建議買入|立即買進|must buy|strong buy now)", "指定投資結論"),
     (r"<\s*/?\s*(system|instruction|prompt)\s*>", "偽造標記"),
     (r"(new instructions?|新的指示|新指令)", "宣稱有新指示"),
+    (r"<<<UNTRUSTED_DOCUMENT>>>", "偽造資料標記"),
+    (r"<<<END_UNTRUSTED_DOCUMENT>>>", "偽造資料標記"),
 )
 
 

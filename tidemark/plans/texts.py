@@ -15,13 +15,13 @@ PATTERNS = (("licen[sc]e", "license"), ("@", "address"), (r"\bthe\b", "article")
 @query("""SELECT doc_id, regexp_matches(lower(text), 'licen[sc]e') AS license, regexp_matches(text, '@') AS address,
     round(greatest(0.1, 1 - 0.3 * (regexp_matches(lower(text), 'licen[sc]e')::INTEGER + regexp_matches(text, '@')::INTEGER)), 6)::DOUBLE AS trust FROM documents""")
 def flt_injection(t: Tables) -> DataFrame:
-    s = tx.injection_scan(t.read("documents"), PATTERNS[:2])
+    s = tx.injection_scan(t.read("documents"), tx.INJECTIONS + PATTERNS[:2])
     return rounded(s.select("doc_id", F.array_contains("reasons", "license").alias("license"), F.array_contains("reasons", "address").alias("address"), "trust"))
 
 
 @query("SELECT doc_id, NOT regexp_matches(lower(text), 'licen[sc]e') AS passed FROM documents")
 def flt_doc_gate(t: Tables) -> DataFrame:
-    return tx.injection_scan(t.read("documents"), PATTERNS[:1]).select("doc_id", (~F.col("suspicious")).alias("passed"))
+    return tx.injection_scan(t.read("documents"), tx.INJECTIONS + PATTERNS[:1]).select("doc_id", (~F.col("suspicious")).alias("passed"))
 
 
 @query("SELECT doc_id, md5('<<<DATA source=' || source || '>>>' || chr(10) || replace(replace(text, '<<<', ''), '>>>', '') || chr(10) || '<<<END>>>') AS wrapped_md5 FROM documents")
