@@ -40,12 +40,14 @@ def universe(spans: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def repaired(prices: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """prices(asset, d, close) with repaired: every price before a jump of more than `threshold` to the next is scaled by it."""
+    """prices(asset, d, close) with repaired: every price before a jump of more than `threshold` to the next is scaled by it; log_repaired
+    is its logarithm, which holds where the product of many jumps leaves the range of doubles."""
     w = Window.partitionBy("asset").orderBy("d")
     p = prices.where("close is not null").withColumn("ratio", F.col("close") / F.lag("close").over(w))
     p = p.withColumn("event", F.when((F.col("ratio") > 0) & ((F.col("ratio") < 1 - threshold) | (F.col("ratio") > 1 + threshold)), F.col("ratio")))
     after = w.rowsBetween(1, Window.unboundedFollowing)
-    return p.select("asset", "d", "close", (F.col("close") * F.coalesce(F.product("event").over(after), F.lit(1.0))).alias("repaired"))
+    scale = F.coalesce(F.sum(F.log("event")).over(after), F.lit(0.0))
+    return p.select("asset", "d", "close", (F.col("close") * F.exp(scale)).alias("repaired"), (F.log("close") + scale).alias("log_repaired"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

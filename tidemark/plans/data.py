@@ -43,6 +43,12 @@ def pipe_adjusted_prices(t: Tables) -> DataFrame:
     return out.select("entity_id", "trade_date", "close", F.round("adjusted", 5).alias("adjusted"), "n_actions")
 
 
+@query("SELECT entity_id, trade_date, close, round(close * factor, 5) AS adjusted, n_actions FROM factors", FACTORS)
+def pipe_adjusted_prices_all(t: Tables) -> DataFrame:
+    """pipe_adjusted_prices over every date."""
+    return pit.adjusted(latest(t), known(t)).select("entity_id", "trade_date", "close", F.round("adjusted", 5).alias("adjusted"), "n_actions")
+
+
 UNI = """days AS (SELECT d, d AS asof FROM cal_month), uni AS (SELECT c.d, s.entity_id, s.state, s.state = 'TRADABLE' AS tradable FROM days c JOIN spans s ON s.valid_from <= c.d AND (s.valid_to IS NULL OR s.valid_to >= c.d) AND s.ingest_date <= c.asof
     QUALIFY row_number() OVER (PARTITION BY c.d, s.entity_id ORDER BY s.ingest_date DESC, s.valid_from DESC) = 1)"""
 
@@ -80,7 +86,17 @@ REPAIR = """rp AS (SELECT asset, d, close, close / lag(close) OVER (PARTITION BY
 
 @query("SELECT asset, d, close, round(ln(close) + coalesce(sum(ln(event)) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 6) AS log_repaired FROM ev", REPAIR)
 def win_repair(t: Tables) -> DataFrame:
-    return pit.repaired(t.px_noisy.where("d < date'1996-01-01'")).select("asset", "d", "close", F.round(F.log("repaired"), 6).alias("log_repaired"))
+    return pit.repaired(t.px_noisy.where("d < date'1996-01-01'")).select("asset", "d", "close", F.round("log_repaired", 6).alias("log_repaired"))
+
+
+REPAIR_ALL = """rp AS (SELECT asset, d, close, close / lag(close) OVER (PARTITION BY asset ORDER BY d) AS ratio FROM px_noisy),
+    ev AS (SELECT *, CASE WHEN ratio > 0 AND (ratio < 0.6 OR ratio > 1.4) THEN ratio END AS event FROM rp)"""
+
+
+@query("SELECT asset, d, close, round(ln(close) + coalesce(sum(ln(event)) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 6) AS log_repaired FROM ev", REPAIR_ALL)
+def win_repair_all(t: Tables) -> DataFrame:
+    """win_repair over every date."""
+    return pit.repaired(t.px_noisy).select("asset", "d", "close", F.round("log_repaired", 6).alias("log_repaired"))
 
 
 @query("""SELECT d, asset, coalesce(n.close, o.close) AS close FROM (SELECT d, asset, close FROM px_daily WHERE d < DATE '1999-01-01') o FULL JOIN (SELECT d, asset, CASE WHEN day(d) <> 7 THEN close + 1 END AS close FROM px_daily WHERE d >= DATE '1998-12-20') n USING (d, asset)""")
