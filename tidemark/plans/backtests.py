@@ -67,11 +67,70 @@ def val_pbo(t: Tables) -> DataFrame:
 
 @query()
 def val_deflated_sharpe(t: Tables) -> DataFrame:
-    m = trials(t).groupBy("trial").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("observed"), F.count("ret").alias("n_obs"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    m = every_trial(t).groupBy("trial").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("observed"), F.count("ret").alias("n_obs"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
     a = F.broadcast(m.agg(F.count("*").alias("n_trials"), F.var_samp("observed").alias("var_trials")))
     return va.deflated_sharpe(m.crossJoin(a))
 
 
+def n_months(t: Tables) -> int:
+    """The calendar's number of months."""
+    return g.calendar(t.px_daily, "Monthly").agg(F.max("pos")).first()[0] or 0
+
+
+def every_position(t: Tables) -> DataFrame:
+    return g.calendar(t.px_daily, "Monthly").select((F.col("pos") - 1).alias("pos"))
+
+
+def every_trial(t: Tables) -> DataFrame:
+    return month_returns(t).select(F.col("asset").alias("trial"), (F.col("pos") - 1).alias("pos"), F.col("x").alias("ret"))
+
+
+TRIALS_ALL = MRET + ", tr AS (SELECT asset AS trial, pos - 1 AS pos, x AS ret FROM mr)"
+MONTHS_ALL = "nm AS (SELECT max(pos) AS n, max(pos) // 6 AS fold, max(pos) // 4 AS size FROM cal_month)"
+WALK_ALL = MONTHS_ALL + ", wf AS (SELECT k AS split, pos, CASE WHEN pos < fold * k THEN 'train' WHEN pos >= fold * k + 2 AND pos < least(fold * k + fold + 2, n) THEN 'test' END AS role FROM (SELECT pos - 1 AS pos FROM cal_month), nm, range(1, 6) r(k))"
+GROUPS_ALL = MONTHS_ALL + ", gs AS (SELECT g, g * size AS lo, CASE WHEN g = 3 THEN n ELSE g * size + size END AS hi FROM nm, range(0, 4) r(g))"
+
+
+@query("SELECT CAST(split AS INTEGER) AS split, pos, role FROM wf WHERE role IS NOT NULL", WALK_ALL)
+def val_walk_forward_all(t: Tables) -> DataFrame:
+    """val_walk_forward over every month."""
+    return va.walk_forward(every_position(t), n_months(t), 5, 2)
+
+
+@query("""SELECT split, pos, role FROM (SELECT split, pos, CASE WHEN (pos >= x.lo AND pos < x.hi) OR (pos >= y.lo AND pos < y.hi) THEN 'test' WHEN (pos >= x.lo - 2 AND pos < x.hi + 2) OR (pos >= y.lo - 2 AND pos < y.hi + 2) THEN NULL ELSE 'train' END AS role
+    FROM (SELECT pos - 1 AS pos FROM cal_month), (VALUES (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 1, 2), (4, 1, 3), (5, 2, 3)) c(split, a, b) JOIN gs x ON x.g = a JOIN gs y ON y.g = b) WHERE role IS NOT NULL""", GROUPS_ALL)
+def val_cpcv_all(t: Tables) -> DataFrame:
+    """val_cpcv over every month."""
+    return va.combinatorial(t.spark, every_position(t), n_months(t), 4, 2, 2)
+
+
+@query("SELECT CAST(split AS INTEGER) AS split, role, trial, count(*) AS n, round(avg(ret), 6) + 0.0::DOUBLE AS mean, round(CASE WHEN stddev_samp(ret) > greatest(max(abs(ret)) * 1e-12, 1e-15) THEN avg(ret) / stddev_samp(ret) * sqrt(12) END, 6) + 0.0::DOUBLE AS sharpe FROM wf JOIN tr USING (pos) WHERE role IS NOT NULL GROUP BY ALL", TRIALS_ALL + ", " + WALK_ALL)
+def val_split_returns_all(t: Tables) -> DataFrame:
+    """val_split_returns over every month."""
+    s = val_walk_forward_all(t).join(every_trial(t), "pos")
+    m = s.groupBy("split", "role", "trial").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.max(F.abs("ret")).alias("scale"))
+    return rounded(m.select("split", "role", "trial", "n", "mean", va.sharpe(F.col("mean"), F.col("sd"), F.col("scale"), F.col("n"), 12).alias("sharpe")))
+
+
+@query("SELECT trial, count(*) AS n, round(CASE WHEN stddev_samp(ret) > greatest(max(abs(ret)) * 1e-12, 1e-15) THEN avg(ret) / stddev_samp(ret) * sqrt(252) END, 6) AS sharpe FROM tr GROUP BY trial", TRIALS_ALL)
+def agg_sharpe_all(t: Tables) -> DataFrame:
+    """agg_sharpe over every month."""
+    m = every_trial(t).groupBy("trial").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.max(F.abs("ret")).alias("scale"))
+    return rounded(m.select("trial", "n", va.sharpe(F.col("mean"), F.col("sd"), F.col("scale"), F.col("n")).alias("sharpe")))
+
+
+PBO_ALL = TRIALS_ALL + ", " + MONTHS_ALL + """, half AS (SELECT split, g.g, list_contains(grps, g.g) AS inside FROM (VALUES (0, [0, 1]), (1, [0, 2]), (2, [0, 3]), (3, [1, 2]), (4, [1, 3]), (5, [2, 3])) h(split, grps), range(0, 4) g(g)),
+sh AS (SELECT split, inside, trial, CASE WHEN stddev_samp(ret) > greatest(max(abs(ret)) * 1e-12, 1e-15) THEN avg(ret) / stddev_samp(ret) END AS s FROM tr CROSS JOIN nm JOIN half h ON h.g = tr.pos // nm.size GROUP BY ALL),
+best AS (SELECT split, trial FROM sh WHERE inside AND s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY split ORDER BY s DESC, trial) = 1),
+rk AS (SELECT o.split, avg((o.s < m.s)::INTEGER) AS rank FROM sh o JOIN best b ON b.split = o.split JOIN sh m ON m.split = b.split AND m.trial = b.trial AND NOT m.inside WHERE NOT o.inside AND o.s IS NOT NULL GROUP BY o.split)"""
+
+
+@query("SELECT round(avg((rank < 0.5)::INTEGER), 6) AS pbo, count(*) AS n_splits FROM rk", PBO_ALL)
+def val_pbo_all(t: Tables) -> DataFrame:
+    """val_pbo with groups of the whole calendar; as in the method, months beyond four equal groups are dropped."""
+    return rounded(va.overfitting(t.spark, every_trial(t), n_months(t), 4))
+
+
 @query("""SELECT strategy, capital, round(base - 0.1 * sqrt(least(capital * 4 / 252 / adv, 0.05)) * 4, 6) AS net_return FROM (SELECT asset AS strategy, round(avg(close) / 10000, 6) AS base, round(avg(volume * close), 2) AS adv FROM px_daily GROUP BY asset), (VALUES (1e5::DOUBLE), (1e6), (1e7)) c(capital)""")
 def val_capacity(t: Tables) -> DataFrame:
     s = t.px_daily.groupBy(F.col("asset").alias("strategy")).agg(F.round(F.avg("close") / 10000, 6).alias("base_return"), F.round(F.avg(F.col("volume") * F.col("close")), 2).alias("adv_value")).withColumn("turnover", F.lit(4.0))
