@@ -13,15 +13,15 @@ def as_of(rows: DataFrame, asof: str | Column, keys: list[str], ingest: str = "i
 
 
 def adjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
-    """prices(entity_id, trade_date, close) with factor (the product of the factors of later actions), n_actions, confidence (their least) and adjusted.
+    """prices(entity_id, trade_date, close) with factor (the product of the factors of later actions), log_factor (its logarithm, for many actions), n_actions, confidence (their least) and adjusted.
 
     No range join: actions and prices of an entity stand in one order by falling date, and running aggregates over the actions pass before each price.
     """
     a = actions.select("entity_id", F.col("ex_date").alias("at"), F.lit(0).alias("kind"), "factor", "confidence", F.lit(None).cast("double").alias("close"))
     p = prices.select("entity_id", F.col("trade_date").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("factor"), F.lit(None).cast("double").alias("confidence"), "close")
     w = Window.partitionBy("entity_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(p).withColumns({"f": F.coalesce(F.product("factor").over(w), F.lit(1.0)), "n": F.count("factor").over(w), "c": F.coalesce(F.min("confidence").over(w), F.lit(1.0))}).where("kind = 1")
-    return out.select("entity_id", F.col("at").alias("trade_date"), "close", F.col("f").alias("factor"), F.col("n").alias("n_actions"), F.col("c").alias("confidence"), (F.col("close") * F.col("f")).alias("adjusted"))
+    out = a.unionByName(p).withColumns({"f": F.coalesce(F.product("factor").over(w), F.lit(1.0)), "n": F.count("factor").over(w), "l": F.coalesce(F.sum(F.log("factor")).over(w), F.lit(0.0)), "c": F.coalesce(F.min("confidence").over(w), F.lit(1.0))}).where("kind = 1")
+    return out.select("entity_id", F.col("at").alias("trade_date"), "close", F.col("f").alias("factor"), F.col("l").alias("log_factor"), F.col("n").alias("n_actions"), F.col("c").alias("confidence"), (F.col("close") * F.col("f")).alias("adjusted"))
 
 
 def universe(spans: DataFrame, days: DataFrame) -> DataFrame:

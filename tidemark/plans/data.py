@@ -49,6 +49,28 @@ def pipe_adjusted_prices_all(t: Tables) -> DataFrame:
     return pit.adjusted(latest(t), known(t)).select("entity_id", "trade_date", "close", F.round("adjusted", 5).alias("adjusted"), "n_actions")
 
 
+FACTORS_ALL = f"""actions_all AS (SELECT n_name AS entity_id, CAST(o_orderdate AS DATE) AS ex_date, 0.9::DOUBLE + (o_orderkey::DOUBLE / 10 % 10) / 100 AS factor, 0.95::DOUBLE AS confidence
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) + 30 <= DATE '{ASOF}'),
+""" + LATEST + """, factors AS (SELECT p.entity_id, p.trade_date, p.close, coalesce(sum(ln(a.factor)), 0) AS log_factor, count(a.factor) AS n_actions, coalesce(min(a.confidence), 1) AS confidence
+    FROM latest p LEFT JOIN actions_all a ON a.entity_id = p.entity_id AND a.ex_date > p.trade_date GROUP BY ALL)"""
+
+
+def adjusted_by_all(t: Tables) -> DataFrame:
+    return pit.adjusted(latest(t), t.corp_actions_all.where(F.col("ingest_date") <= F.lit(ASOF).cast("date")))
+
+
+@query("SELECT entity_id, trade_date, round(log_factor, 6) AS log_factor, n_actions, confidence FROM factors", FACTORS_ALL)
+def jn_factor_range_all(t: Tables) -> DataFrame:
+    """jn_factor_range with every urgent order as an action; the logarithm, as products of many factors vanish."""
+    return rounded(adjusted_by_all(t).select("entity_id", "trade_date", "log_factor", "n_actions", "confidence"))
+
+
+@query("SELECT entity_id, trade_date, close, round(ln(close) + log_factor, 6) AS log_adjusted, n_actions FROM factors", FACTORS_ALL)
+def pipe_adjusted_prices_all_actions(t: Tables) -> DataFrame:
+    """pipe_adjusted_prices over every date, with every urgent order as an action."""
+    return adjusted_by_all(t).select("entity_id", "trade_date", "close", F.round(F.log("close") + F.col("log_factor"), 6).alias("log_adjusted"), "n_actions")
+
+
 UNI = """days AS (SELECT d, d AS asof FROM cal_month), uni AS (SELECT c.d, s.entity_id, s.state, s.state = 'TRADABLE' AS tradable FROM days c JOIN spans s ON s.valid_from <= c.d AND (s.valid_to IS NULL OR s.valid_to >= c.d) AND s.ingest_date <= c.asof
     QUALIFY row_number() OVER (PARTITION BY c.d, s.entity_id ORDER BY s.ingest_date DESC, s.valid_from DESC) = 1)"""
 

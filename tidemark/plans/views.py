@@ -75,7 +75,12 @@ class Tables:
 
     @property
     def corp_actions(self) -> DataFrame:
-        o = self.read("orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 10 == 0))
+        return self.corp_actions_all.where(F.col("action_id") % 10 == 0)
+
+    @property
+    def corp_actions_all(self) -> DataFrame:
+        """Every urgent order as an action."""
+        o = self.read("orders").where(F.col("o_orderpriority") == "1-URGENT")
         owner = o.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         ex = F.col("o_orderdate").cast("date")
         return owner.select(F.col("n_name").alias("entity_id"), ex.alias("ex_date"), (0.9 + (F.col("o_orderkey") / 10 % 10) / 100).alias("factor"), F.col("o_orderkey").alias("action_id"), F.lit(0.95).alias("confidence"), F.date_add(ex, 30).alias("ingest_date"))
