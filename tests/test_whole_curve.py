@@ -1,0 +1,14 @@
+"""The curve of buy and hold runs to the last session."""
+
+from pyspark.sql import functions as F
+
+from tidemark import catalogue
+from tidemark.plans.views import Tables
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_every_session_is_on_the_curve(spark):
+    last = Tables(spark, SMALL).px_daily.groupBy("asset").count().agg(F.max("count")).first()[0]
+    assert last > 100
+    assert sorted(r["n"] for r in catalogue.QUERIES["pipe_buy_hold_all"](spark, SMALL).collect()) == list(range(2, last + 1))

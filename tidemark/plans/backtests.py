@@ -194,6 +194,14 @@ def pipe_buy_hold(t: Tables) -> DataFrame:
     return rounded(b.where("n >= 2 and n <= 100").join(base, "asset").groupBy("n").agg(F.avg(F.col("close") / F.col("c2")).alias("equity")))
 
 
+@query("SELECT pos AS n, round(avg(close / c2), 6) AS equity FROM (SELECT *, max(close) FILTER (pos = 2) OVER (PARTITION BY asset) AS c2 FROM own) WHERE pos >= 2 GROUP BY pos", OWN)
+def pipe_buy_hold_all(t: Tables) -> DataFrame:
+    """pipe_buy_hold from the second session to the last."""
+    b = t.px_daily.withColumn("n", F.row_number().over(Window.partitionBy("asset").orderBy("d")).cast("long"))
+    base = b.where("n = 2").select("asset", F.col("close").alias("c2"))
+    return rounded(b.where("n >= 2").join(base, "asset").groupBy("n").agg(F.avg(F.col("close") / F.col("c2")).alias("equity")))
+
+
 ATTR = MRET + ", att AS (SELECT a.asset AS portfolio, a.x AS ret, b.x AS bench, -0.0001 AS cost, lag(a.x, 1, 0) OVER (PARTITION BY a.asset ORDER BY a.pos) AS ideal FROM mr a JOIN mr b ON b.pos = a.pos AND b.asset = (SELECT asset FROM assets WHERE ord = 0))"
 
 
