@@ -8,12 +8,21 @@ AWKWARD = [
 ]
 
 
+#: Names that the operators use inside.
+CLASHING = (
+    "bucket", "size", "_w", "_l", "_h", "_k", "_p", "_f", "votes", "kept", "base_failed", "quality", "_id", "_at", "at", "number", "row", "_row", "_key", "_kept", "row_id", "text_key", "found",
+    "n_words", "n_removed", "component_id", "root", "fp", "tiles", "block", "route", "kind", "tokens", "decoded", "h", "start", "target", "copies", "positions",
+)
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Documents with null and repeated ids, ties, repeated rows and extra columns whose names clash with those operators use inside."""
-    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, 0, 7, "q") for i, t in enumerate(AWKWARD)]
-    rows += [(None, "one two three four five six seven", None, None, 0, 7, None), (5, AWKWARD[5], "en", "s2", 0, 7, "q"), (3, "another text of the same id as an earlier one", None, "s0", 1, 8, "r")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, bucket long, size string")
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, 0) for i, t in enumerate(AWKWARD)]
+    rows += [(None, "one two three four five six seven", None, None, 0), (5, AWKWARD[5], "en", "s2", 0), (3, "another text of the same id as an earlier one", None, "s0", 1)]
+    rows += [(None, "another text without an id", "en", None, 0), (5, AWKWARD[5], "en", "s2", 0), (6, " ".join(f"q{i % 61}" for i in range(130)), "en", "s1", 0)]
+    rows = [(*r, *[f"{c}{i % 5}" for c in CLASHING]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
 
 
 @pytest.fixture(scope="session")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 
 #: Text bytes whose words share one local dictionary; bounds a worker's memory.
 BLOCK_BYTES = 12 << 20
@@ -263,8 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranks = spark.sparkContext.broadcast(read_ranks(path))  # of fixed size: the vocabulary
-    encoded = rows.mapInArrow(_to_blocks(pattern, buckets), BLOCKS).repartition("route").mapInArrow(_encode_words(ranks), BLOCKS)
-    return encoded.repartition("block").sortWithinPartitions("block", "kind", "bucket", "part").mapInArrow(_assemble, "doc_id bigint, tokens binary")
+    encoded = rows.mapInArrow(lean(_to_blocks(pattern, buckets)), BLOCKS).repartition("route").mapInArrow(lean(_encode_words(ranks)), BLOCKS)
+    return encoded.repartition("block").sortWithinPartitions("block", "kind", "bucket", "part").mapInArrow(lean(_assemble), "doc_id bigint, tokens binary")
 
 
 def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens") -> DataFrame:
@@ -288,16 +288,17 @@ def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens") -> DataFram
 
     kept = [f for f in tokens.schema.fields if f.name != "decoded"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["decoded binary"])
-    return tokens.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return tokens.select(*[f"`{f.name}`" for f in kept]).mapInArrow(lean(run), schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs, encoded and decoded again."""
-    both = decode(encode(docs, path, pattern), path)
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """doc_id (id_col of docs), n_tokens, ids_sha256 and decoded_sha256 of every row of docs, encoded and decoded again."""
+    both = decode(encode(docs, path, pattern, id_col), path)
     return both.select("doc_id", F.expr("octet_length(tokens) div 4").cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and digests of its ids and of what they decode to."""
     import public_tokenizers
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,17 @@ GAP = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker handles at once; bounds its memory whatever the batch.
 SLICE_BYTES = 1 << 21
 #: Words whose hashes a Python worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
+#: Text bytes whose packed records one hash bucket gathers; bounds what a worker holds, whatever the input's size.
+BUCKET_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode, as in tests; elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -53,6 +59,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def buckets_of(docs: DataFrame, text: Column, size: int = BUCKET_BYTES) -> int:
+    """Hash buckets for the texts of docs: one for each `size` bytes, spark.sql.shuffle.partitions at least. Reads the texts once, for their sizes."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow whose worker, which lives on for other tasks, gives freed memory back to the system at its end."""
+
+    @functools.wraps(run)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return freed
+
+
 def whole(text: str | Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

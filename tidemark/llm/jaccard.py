@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, slices, split_all, staged, table
+from .common import buckets_of, hash_words, lean, mix64, slices, split_all, staged, table
 from .graph import Forest, components, signed
 
 NGRAM = 5
@@ -60,14 +60,12 @@ def set_number(fp: bytes) -> int:
     return int.from_bytes(fp[:8], "little")
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text key, text) -> (doc_id, text key, n_shingles, fp, number, bits)."""
-    for batch in batches:
-        for at, texts in slices(batch.column(2)):
-            sets = shingle_sets(texts)
-            fps = [digest(s) for s in sets]
-            numbers = signed(np.array([set_number(f) for f in fps], np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(numbers), pa.array([bitmap(s) for s in sets], pa.binary())], ["doc_id", "text_key", "n_shingles", "fp", "number", "bits"])
+ROWS = "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, number bigint, bits binary, bucket int, payload binary"
+KINDS = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_shingles": pa.int64(), "fp": pa.binary(), "number": pa.int64(), "bits": pa.binary(), "bucket": pa.int32(), "payload": pa.binary()}
+
+
+def _row_batch(columns: dict, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in KINDS.items()], list(KINDS))
 
 
 def _bands(n: int) -> list[tuple[int, int]]:
@@ -112,13 +110,14 @@ def tile_keys(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
 
 
-def _tiles(buckets: int):
-    """Texts -> (bucket, payload): keys, places in a list of sets, and the sets' numbers and sizes, packed by bucket of the key."""
+def _sets(buckets: int):
+    """(doc_id, text key, text) -> a row for each text (bucket null): n_shingles, fp, number and bits of its set; and packs by bucket of
+    the key: keys, places in a list of sets, and the sets' numbers and sizes. Every text is cut into shingles once."""
 
     def close(keys: list, numbers: list, sizes: list) -> pa.RecordBatch:
         flat = np.concatenate(keys)
-        which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        bucket = (flat % np.uint64(buckets)).astype(np.int64)
+        which = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+        bucket = (flat % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((which, bucket))
         cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
         numbers, sizes = np.array(numbers, np.uint64), np.array(sizes, "<u4")
@@ -127,20 +126,27 @@ def _tiles(buckets: int):
             rows = order[a:b]
             sets, runs = np.unique(which[rows], return_counts=True)
             made.append(np.array([len(sets), len(rows)], "<u4").tobytes() + numbers[sets].tobytes() + sizes[sets].tobytes() + runs.astype("<u4").tobytes() + flat[rows].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]], pa.int32()), pa.array(made, pa.binary())], ["bucket", "payload"])
+        return _row_batch({"bucket": pa.array(bucket[order[cuts]], pa.int32()), "payload": pa.array(made, pa.binary())}, len(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, sizes, held, seen = [], [], [], 0, set()
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
+            for at, texts in slices(batch.column(2)):
+                own, fps, bits = [], [], []
                 for s in shingle_sets(texts):
-                    if not len(s) or (number := set_number(digest(s))) in seen:
-                        continue
-                    seen.add(number)
-                    keys.append(tile_keys(s))
-                    numbers.append(number)
-                    sizes.append(len(s))
-                    held += len(keys[-1])
+                    fps.append(digest(s))
+                    bits.append(bitmap(s))
+                    own.append(len(s))
+                    if len(s) and (number := set_number(fps[-1])) not in seen:
+                        seen.add(number)
+                        keys.append(tile_keys(s))
+                        numbers.append(number)
+                        sizes.append(len(s))
+                        held += len(keys[-1])
+                yield _row_batch({
+                    "doc_id": batch.column(0).slice(at, len(texts)), "text_key": batch.column(1).slice(at, len(texts)), "n_shingles": pa.array(own, pa.int64()), "fp": pa.array(fps, pa.binary()),
+                    "number": pa.array(signed(np.array([set_number(f) for f in fps], np.uint64))), "bits": pa.array(bits, pa.binary()),
+                }, len(texts))
                 if held >= PACKED:
                     yield close(keys, numbers, sizes)
                     keys, numbers, sizes, held, seen = [], [], [], 0, set()
@@ -202,12 +208,12 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 def possible_links(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
     """A spanning forest of the pairs within `left`, or between left and right, that can link by their sizes and bitmaps. Rows
-    (fp, n, bits) by size; right ones are not smaller than left ones."""
+    (fp, n, bits), each side by size."""
     rows = left + (right or [])
     n = np.array([r[1] for r in rows], np.int64)
     widths = np.array([8 * len(r[2]) for r in rows], np.int64)
     maps, at = {}, {}
-    for w in np.unique(widths[: len(left)]).tolist():  # sets in reach have the same width, or twice as much
+    for w in np.unique(widths).tolist():  # sets in reach have the same width, or one has twice the other's
         own = np.flatnonzero((widths == w) | (widths == 2 * w))
         words = [np.frombuffer(rows[i][2], np.uint64) for i in own.tolist()]
         maps[w] = np.stack([x if len(x) * 64 == w else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in words])
@@ -216,14 +222,14 @@ def possible_links(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
     forest, end = Forest(), len(rows)
     for i in range(len(left)):
         start = i + 1 if right is None else len(left)
-        stop = start + int(np.searchsorted(PERCENT * n[start:end], 100 * n[i], "right"))
-        near = start + np.flatnonzero(100 * n[start:stop] >= PERCENT * n[i])
-        if not len(near):
-            continue
-        w = int(widths[i])
-        apart = np.bitwise_count(maps[w][at[w][near]] ^ maps[w][at[w][i]]).sum(1, dtype=np.int64)
-        for j in near[(100 + PERCENT) * ((n[near] + n[i] - apart) // 2) >= PERCENT * (n[near] + n[i])].tolist():
-            forest.join(i, j)
+        first = start + int(np.searchsorted(100 * n[start:end], PERCENT * n[i], "left"))
+        near = np.arange(first, start + int(np.searchsorted(PERCENT * n[start:end], 100 * n[i], "right")))
+        narrow = np.minimum(widths[near], widths[i])
+        for w in np.unique(narrow).tolist():
+            own = near[narrow == w]
+            apart = np.bitwise_count(maps[w][at[w][own]] ^ maps[w][at[w][i]]).sum(1, dtype=np.int64)
+            for j in own[(100 + PERCENT) * ((n[own] + n[i] - apart) // 2) >= PERCENT * (n[own] + n[i])].tolist():
+                forest.join(i, j)
     return [(rows[a][0], rows[b][0]) for a, b in forest.kept]
 
 
@@ -277,18 +283,26 @@ def judge_tile(left: list[tuple], right: list[tuple] | None):
 
 
 def _tiled(sets: DataFrame) -> DataFrame:
-    """sets(root, fp, n_shingles, ...) with tiles: for each set the tiles it belongs to and its side in each.
+    """sets(root, fp, n_shingles, ...), a written table, with tiles: for each set the tiles it belongs to and its side in each.
 
-    A component's sets are cut into blocks by size; every pair of blocks in reach of each other is a tile. Tiles of one block have one side.
+    A component's sets are parted by size, a class for each tenth of a natural logarithm, and a class by hash into as many blocks as its
+    shingles need; every pair of blocks in reach of each other is a tile. Tiles of one block have one side. Only sums by component and
+    class meet, so that a component of any size is spread over many tasks.
     """
-    in_order = Window.partitionBy("root").orderBy("n_shingles", "fp").rowsBetween(Window.unboundedPreceding, 0)
-    sets = sets.withColumn("block", F.floor((F.sum(F.greatest("n_shingles", F.lit(SHORT))).over(in_order) - 1) / BLOCK).cast("int"))
-    spans = sets.groupBy("root", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    other = spans.select("root", F.col("block").alias("block2"), F.col("low").alias("low2"))
-    tiled = spans.join(other, "root").where((F.col("block2") >= F.col("block")) & (100 * F.col("high") >= PERCENT * F.col("low2"))).select("root", "block", "block2")
-    ends = tiled.select("root", "block", "block2", F.col("block").alias("mine"), F.lit(0).alias("side")).unionByName(tiled.where("block2 > block").select("root", "block", "block2", F.col("block2").alias("mine"), F.lit(1).alias("side")))
-    ends = ends.groupBy("root", F.col("mine").alias("block")).agg(F.collect_list(F.struct(F.xxhash64("root", "block", "block2").alias("tile"), "side")).alias("tiles"))
-    return sets.join(ends, ["root", "block"]).drop("root", "block")
+    sets = sets.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) * 10).cast("int"))
+    weight = F.sum(F.greatest("n_shingles", F.lit(SHORT)))
+    classes = staged(sets.groupBy("root", "class").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")), "classes")
+    other = classes.select("root", F.col("class").alias("class2"), F.col("blocks").alias("blocks2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    in_reach = (100 * F.col("high") >= PERCENT * F.col("low2")) & (100 * F.col("high2") >= PERCENT * F.col("low"))
+    reach = classes.join(other, "root").where(in_reach).groupBy("root", "class", "blocks").agg(F.collect_list(F.struct("class2", "blocks2")).alias("reach"))  # a few classes each
+    sets = sets.join(staged(reach, "reach"), ["root", "class"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+
+    def tile(c: Column, b: Column) -> Column:
+        ours, theirs = F.struct(F.col("class").alias("c"), F.col("block").alias("b")), F.struct(c.alias("c"), b.alias("b"))
+        return F.struct(F.xxhash64("root", F.least(ours, theirs), F.greatest(ours, theirs)).alias("tile"), F.when(ours <= theirs, 0).otherwise(1).alias("side"))
+
+    tiles = F.flatten(F.transform("reach", lambda r: F.transform(F.sequence(F.lit(0), r["blocks2"] - 1), lambda b: tile(r["class2"], b))))
+    return sets.withColumn("tiles", tiles).drop("root", "class", "blocks", "reach", "block")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,33 +340,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     only if no row of it has an id; repeated ids stay rows; an empty table gives an empty result; other columns are ignored.
 
     Steps: equal sets become one; sets that share a tile key become candidates, tied in chains, never in all pairs; components of
-    candidates are cut into blocks by size, and every pair of blocks in reach of each other is a tile for one task. There bitmaps, a bit a
+    candidates are parted by size into blocks, and every pair of blocks in reach of each other is a tile for one task. There bitmaps, a bit a
     shingle, leave the pairs whose overlap can be large enough; their components, mostly groups of real near-duplicates, are tiled
     once more, and only their texts travel, for exact intersections. Equal sets and hot groups thus cost one row, or blocks
     over many tasks. Tasks send on spanning forests and counts, not links.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
+    buckets = buckets_of(docs, text)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = staged(keyed.mapInArrow(_describe, "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, number bigint, bits binary"), "shingles")
-    tiles = docs.select(text.alias("text")).mapInArrow(_tiles(buckets), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
-    candidates = components(tiles.mapInArrow(_neighbours, "a bigint, b bigint"))
+    both = staged(keyed.mapInArrow(lean(_sets(buckets)), ROWS), "shingles")
+    rows = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "fp", "number", "bits")
+    tiles = both.where("bucket is not null").select("bucket", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    candidates = components(tiles.mapInArrow(lean(_neighbours), "a bigint, b bigint"))
     sets = rows.where("n_shingles > 0").groupBy("fp", "number", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
     sets = staged(sets.join(candidates.select(F.col("node").alias("number"), "root"), "number").select("fp", "n_shingles", "copies", "bits", "root", "rep.doc_id", "rep.text_key"), "candidates")
     coarse = _tiled(sets.select("root", "fp", "n_shingles", "bits")).select(F.explode("tiles").alias("t"), "fp", "n_shingles", "bits").select("t.tile", "t.side", "fp", "n_shingles", "bits")
-    possible = coarse.repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp").mapInArrow(_possible, "a binary, b binary")
+    possible = coarse.repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp").mapInArrow(lean(_possible), "a binary, b binary")
     near = components(possible).select(F.col("node").alias("fp"), "root")
     k, s = keyed.alias("k"), _tiled(staged(sets.drop("root", "bits").join(near, "fp"), "near")).alias("s")
     work = k.join(s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.text_key") == F.col("s.text_key"))).select("fp", "copies", "n_shingles", F.explode("tiles").alias("t"), "text")
     work = work.select("t.tile", "t.side", "fp", "copies", "text", "n_shingles").repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp")
-    judged = staged(work.mapInArrow(_verify, "a binary, b binary, links bigint"), "judged")
+    judged = staged(work.mapInArrow(lean(_verify), "a binary, b binary, links bigint"), "judged")
     counted = judged.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     members = components(judged.where("b is not null").select("a", "b")).select(F.col("node").alias("fp"), "root")
     firsts = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     firsts = firsts.join(members, "fp", "left").join(counted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = staged(firsts.select("fp", "first", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "firsts")
-    labels = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = staged(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "labels")
     firsts = firsts.join(labels, "root").select("fp", "component_id", "n_links")
     full = rows.where("n_shingles > 0").join(firsts, "fp").select("doc_id", "n_shingles", "component_id", "n_links")
     return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
@@ -368,4 +382,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size, its component and its number of links."""
     return similar(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, slices, split_all, staged, table
+from .common import hash_words, lean, mix64, slices, split_all, staged, table
 from .toxicity import remainder
 
 #: Counts up to this are discounted by Good-Turing; larger ones lose LOSS, so that every history leaves something to back off to.
@@ -159,14 +159,14 @@ def _unpack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def count_unigrams(docs: DataFrame, buckets: int) -> tuple[DataFrame, Unigrams]:
     """The table of words and counts, partitioned by bucket, and what the driver needs of it: totals, and the FREQUENT most frequent words."""
-    packs = docs.select("text").mapInArrow(_count_words(buckets), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
-    words = staged(packs.mapInArrow(_sum_words, "bucket int, words binary, n array<bigint>, tokens bigint, types bigint, top binary"), "unigrams")
+    packs = docs.select("text").mapInArrow(lean(_count_words(buckets)), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
+    words = staged(packs.mapInArrow(lean(_sum_words), "bucket int, words binary, n array<bigint>, tokens bigint, types bigint, top binary"), "unigrams")
     sums = words.agg(F.sum("tokens"), F.sum("types"), *[F.sum(F.get("n", F.lit(r))) for r in range(MOST_DISCOUNTED + 3)]).first()
     tokens, types, *n = [x or 0 for x in sums]
     given = discounts(n)
     kept = float((given.kept(np.arange(1, MOST_DISCOUNTED + 1)) * np.array(n[1 : MOST_DISCOUNTED + 1])).sum()) + tokens - sum(r * n[r] for r in range(MOST_DISCOUNTED + 1)) - LOSS * n[MOST_DISCOUNTED + 2]
     unknown = 1 - kept / tokens if tokens else 1.0
-    plain = words.select("top").mapInArrow(_unpack_words, "w bigint, c bigint")
+    plain = words.select("top").mapInArrow(lean(_unpack_words), "w bigint, c bigint")
     top = plain.orderBy(F.desc("c"), "w").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     keys, counts = top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
@@ -372,7 +372,7 @@ def _score(model, given: Discounts):
 def backoff_weights(histories: DataFrame, words: DataFrame, unigrams: Unigrams, given: Discounts) -> DataFrame:
     """(h, m, p, rare) by part -> h, alpha: what h's seen words leave of its chance, over what they leave of the unigrams' chance."""
     k = MOST_DISCOUNTED
-    plain = words.select("words").mapInArrow(_unpack_words, "w bigint, c bigint")
+    plain = words.select("words").mapInArrow(lean(_unpack_words), "w bigint, c bigint")
     chances = F.array(*[F.lit(r * unigrams.discounts.factors[r - 1]) for r in range(1, k + 1)])
     chance = F.when(F.col("c") > k, F.col("c") - LOSS).otherwise(F.get(chances, F.col("c").cast("int") - 1)) / float(max(unigrams.tokens, 1))
     rare = histories.select("h", F.explode("rare").alias("w")).join(plain, "w").groupBy("h").agg(F.sum(chance).alias("rare_p"))
@@ -407,8 +407,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
     words, unigrams = count_unigrams(rows.where("not held_out"), buckets)
     model = spark.sparkContext.broadcast(unigrams)  # FREQUENT words and a few numbers
-    pairs = rows.mapInArrow(_blocks(model, buckets, PAIRS), ROWS).select(*NAMES).repartition("bucket").sortWithinPartitions("bucket", "block")
-    answers = staged(pairs.mapInArrow(_answer(model), ROWS), "bigrams")
+    pairs = rows.mapInArrow(lean(_blocks(model, buckets, PAIRS)), ROWS).select(*NAMES).repartition("bucket").sortWithinPartitions("bucket", "block")
+    answers = staged(pairs.mapInArrow(lean(_answer(model)), ROWS), "bigrams")
     n = answers.where(F.col("kind") == COUNTS).agg(*[F.sum(F.get("m", F.lit(r))) for r in range(MOST_DISCOUNTED + 3)]).first()
     given = discounts([x or 0 for x in n])
     weights = backoff_weights(answers.where(F.col("kind") == HISTORY).select("h", "m", "p", "rare"), words, unigrams, given)
@@ -417,11 +417,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     packed = needed.groupBy("block", "bucket").agg(F.collect_list(F.struct("part", "alpha")).alias("w"))  # a block's histories of a bucket
     own = {"kind": F.lit(WEIGHTS), "block": F.col("block"), "bucket": F.col("bucket"), "m": F.col("w.part").cast("array<bigint>"), "alphas": F.col("w.alpha")}
     back = packed.select(*[own[c].alias(c) if c in own else empty[c] for c in NAMES])
-    texts = rows.mapInArrow(_blocks(model, buckets, TEXTS), ROWS)
+    texts = rows.mapInArrow(lean(_blocks(model, buckets, TEXTS)), ROWS)
     together = texts.unionByName(back).unionByName(answers.where(F.col("kind") == ANSWERS))
     in_order = together.repartition("block").sortWithinPartitions("block", F.when(F.col("kind") == TEXTS, 9).otherwise(F.col("kind")), "bucket", "part")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return in_order.mapInArrow(_score(model, given), out)
+    return in_order.mapInArrow(lean(_score(model, given)), out)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

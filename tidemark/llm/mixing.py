@@ -43,11 +43,12 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    number_col: str | None = None,
 ) -> DataFrame:
     """Say how often each document of docs enters the training mix, and where.
 
     Returns, ordered by first position: doc_id, source, size (words), source_size, target, copies, taken (copies * size) and
-    positions (array of times from 0 to 1, one for each copy). Documents of a source stand in an order by hash. A source's
+    positions (array of times from 0 to 1, one for each copy); with number_col, that column of docs as number too. Documents of a source stand in an order by hash. A source's
     demand for tokens up to time t is its target times the integral of its schedule; the copy that begins at token x of the
     source's stream goes to the time at which demand reaches x. A stream runs through the source again and again up to its
     target; the last round ends before the first document that would overshoot, and then takes the one other document whose
@@ -60,7 +61,7 @@ def mix(
     """
     rows = staged(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")
+            (F.lit(None).cast("long") if number_col is None else F.col(number_col)).alias("number"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")
         ),
         "mix",
     )
@@ -100,17 +101,24 @@ def mix(
         "positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: when(demand(k)))).otherwise(F.array().cast("array<double>"))
     )
     first = F.coalesce(F.get("positions", F.lit(0)), 1 + F.pmod("h", F.lit(1 << 20)) / float(1 << 20))
-    return chosen.withColumn("first", first).orderBy("first", "h", "doc_id").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+    numbered = [] if number_col is None else ["number"]
+    return chosen.withColumn("first", first).orderBy("first", "h", "doc_id").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", *numbered)
 
 
-def in_training_order(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs as mix() takes them: each as often as its copies say, ordered by position; the others are left out.
+def in_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of docs as mix() takes them: each as often as its copies say, range-sorted by position, so that the files of a written
+    result stand in training order, and rows in each file; the others are left out.
 
-    Ids are taken as unique, as in `documents`; a null id is one too.
+    docs is written once with a number for each row, by which positions come back: rows of repeated or null ids, and equal rows,
+    stay rows of their own. Columns of docs may have any names.
     """
-    places = mix(docs, id_col=id_col, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode("positions").alias("_at"))
-    return docs.join(places, F.col(id_col).eqNullSafe(F.col("_id"))).orderBy("_at", F.xxhash64("_id")).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = staged(docs.select(row, F.monotonically_increasing_id().alias("number")), "numbered")
+    own = numbered.select("number", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"), F.col(f"row.`{source_col}`").alias("source"))
+    places = mix(own, id_col="id", text_col="text", source_col="source", number_col="number", **how).where("copies > 0").select("number", F.explode("positions").alias("at"))
+    return numbered.join(places, "number").orderBy("at", F.xxhash64(F.col(f"row.`{id_col}`")), "number").select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target, its copies and their positions in training."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")

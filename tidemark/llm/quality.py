@@ -15,13 +15,15 @@ TOLERANCE = 1e-4
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `_f` of FEATURES (long each), all of whole texts; a null text has no words.
+def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns `keep` of docs, all if None) and `_f`, a struct of FEATURES (long each), all of whole texts; a
+    null text has no words. Nothing of docs stands beside the columns used here, so names can't clash.
 
     Repeats are found by sorting the 64-bit hashes of a text's 3-word windows with their places: of equal neighbours, both
     windows count, and the words of all such windows are counted once.
     """
-    text = whole(text_col)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"), whole(F.col(f"`{text_col}`")).alias("text"))
+    text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     windows = F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0)))
     base = docs.withColumn("_w", words_of(text)).withColumn("_l", lines)
@@ -43,7 +45,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
         "n_lines": n("_l"),
     }
-    return placed.withColumn("_f", F.struct(*[found[k].alias(k) for k in FEATURES])).drop("_w", "_l", "_h", "_k", "_p")
+    return placed.select("row", F.struct(*[found[k].alias(k) for k in FEATURES]).alias("_f"))
 
 
 def _vote(against: Column, in_favour: Column) -> Column:
@@ -108,27 +110,31 @@ def fit_votes(votes: DataFrame, passes: int = PASSES) -> Fit:
     return fit
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all, if None) with `_f` (FEATURES), votes, base_failed, quality (the posterior probability
-    that the text is good) and kept (not base_failed, and quality at least one half).
+def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns `keep` of docs, all if None), `_f` (FEATURES), votes, base_failed, quality (the posterior
+    probability that the text is good) and kept (not base_failed, and quality at least one half).
 
     The accuracies are learnt from the votes of all rows given, without labels. Rows without words, base_failed anyway, count too.
-    Defined cases: a null text has no words and fails the base; equal texts get equal verdicts; an empty table gives an empty
-    result; columns of docs named like the new ones are replaced.
+    Defined cases: a null text has no words and fails the base; equal texts get equal verdicts; ids don't matter; an empty table
+    gives an empty result; columns of docs may have any names, as they stand within row.
     """
-    columns = docs.columns if keep is None else keep
-    new = ("_f", "votes", "base_failed", "quality", "kept")
-    seen = features(docs, text_col).select(*[c for c in columns if c not in new], "_f")
-    seen = staged(seen.withColumn("votes", F.array(*rules().values())), "quality")
+    seen = staged(features(docs, text_col, keep).withColumn("votes", F.array(*rules().values())), "quality")
     fit = fit_votes(seen.select("votes"))
     failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_f.n_words"))
     return seen.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-_log_odds(fit)))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
+def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """judged() with the columns `keep` of docs (all, if None) instead of row; those named like the new ones are replaced."""
+    new = ("_f", "votes", "base_failed", "quality", "kept")
+    return judged(docs, text_col, keep).select(*[F.col(f"row.`{c}`") for c in (docs.columns if keep is None else keep) if c not in new], *new)
+
+
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns alone."""
-    return judge(docs, text_col).filter("kept").select(*docs.columns)
+    """The rows of docs that judged() keeps, with their own columns, whatever their names."""
+    return judged(docs, text_col).where("kept").select("row.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its features, the base verdict and the posterior's."""
     return judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "_f.n_words", "_f.word_chars", "_f.n_symbols", "_f.n_dup_lines", "_f.n_repeat_words", "base_failed", "kept", "quality", "votes")

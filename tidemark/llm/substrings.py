@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, slices, split_all, table
+from .common import hash_words, lean, mix64, slices, split_all, table
 from .graph import signed
 
 WINDOW = 13
@@ -20,9 +20,16 @@ ROUNDS = 3
 FAR = 1 << 40
 #: Keys of one pack of texts; bounds a worker's memory.
 PACKED = 1_500_000
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def key_of(text: Column) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.crc32(text.cast("binary"))
+
+
 def window_hashes(words: np.ndarray) -> np.ndarray:
     """The hash of the WINDOW words from each place on; the last places', and those across texts, mean nothing."""
     h = np.zeros(len(words), np.uint64)
@@ -299,33 +306,32 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    none = (1 << 63) - 1
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row_id"), F.crc32(text.cast("binary")).alias("text_key"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), key_of(text).alias("text_key"), text.alias("text"))
     found = "row_id bigint, text_key bigint, found binary"
     grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     packed = "bucket int, payload binary"
-    shared = grouped(grouped(keyed.mapInArrow(_keys(buckets), packed)).mapInArrow(_shared(buckets), packed)).mapInArrow(by_bucket(at_home), found)
+    shared = grouped(grouped(keyed.mapInArrow(lean(_keys(buckets)), packed)).mapInArrow(lean(_shared(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
     dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id", "text_key")
-    windows = dealt.join(shared, ["row_id", "text_key"]).select("row_id", "text_key", "text", "found").mapInArrow(_windows(buckets), packed)
-    repeats = grouped(grouped(windows).mapInArrow(_repeats(buckets), packed)).mapInArrow(by_bucket(at_home), found)
+    windows = dealt.join(shared, ["row_id", "text_key"]).select("row_id", "text_key", "text", "found").mapInArrow(lean(_windows(buckets)), packed)
+    repeats = grouped(grouped(windows).mapInArrow(lean(_repeats(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
     out = dealt.join(repeats, ["row_id", "text_key"], "left").select("row_id", "text_key", "text", "found")
-    stripped = out.mapInArrow(_strip, "row_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string")
-    return stripped.select(F.when(F.col("row_id") != none, F.col("row_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept")
+    stripped = out.mapInArrow(lean(_strip), "row_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string")
+    return stripped.select(F.when(F.col("row_id") != NO_ID, F.col("row_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each text replaced by what strip_repeats() leaves of it; rows left without a word go. n_chars, if there, is counted anew.
 
-    Rows of equal id and text are told apart by nothing, and each keeps its other columns.
+    Rows of equal id and text are told apart by nothing, and each keeps its other columns, which may have any names.
     """
-    none = (1 << 63) - 1
-    row_id, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(none)), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    left = strip_repeats(docs, id_col, text_col).where("n_words > n_removed").select(F.coalesce("doc_id", F.lit(none)).alias("_row"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_row", "_key"])
-    rest = docs.withColumn("_row", row_id).withColumn("_key", text_key).drop(text_col).join(left, ["_row", "_key"])
-    new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return rest.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    left = strip_repeats(docs, id_col, text_col).where("n_words > n_removed").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), "text_key", "kept").dropDuplicates(["row_id", "text_key"])
+    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), key_of(text).alias("text_key"))
+    new = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return rest.join(left, ["row_id", "text_key"]).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of words, those removed, and a digest of what is kept."""
     return strip_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

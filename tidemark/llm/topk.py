@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import lean, staged, table
 
 #: Vectors that a block holds at most.
 BLOCK = 4096
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not total:
         return spark.createDataFrame([], schema)
-    gram = v.select("v").mapInArrow(_gram(dim), "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # dim * dim numbers
+    gram = v.select("v").mapInArrow(lean(_gram(dim)), "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # dim * dim numbers
     square = np.zeros((dim, dim))
     for r in gram:
         square[r["i"], r["j"]] = r["x"]
@@ -146,15 +146,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     head = np.array([r["id"] for r in top], np.int64), _matrix([r["v"] for r in top], dim)
     blocks = -(-total // BLOCK)
     by_length = v.repartitionByRange(int(blocks), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
-    packed = staged(by_length.select(F.spark_partition_id().cast("long").alias("block"), "id", "v").mapInArrow(_pack(dim), PACKED), "vector-blocks").withColumn("block", F.xxhash64("ids"))
-    asked = q.repartition(F.xxhash64("id")).select(F.spark_partition_id().cast("long").alias("block"), "id", "v").mapInArrow(_pack(dim), PACKED)
+    packed = staged(by_length.select(F.spark_partition_id().cast("long").alias("block"), "id", "v").mapInArrow(lean(_pack(dim)), PACKED), "vector-blocks").withColumn("block", F.xxhash64("ids"))
+    asked = q.repartition(F.xxhash64("id")).select(F.spark_partition_id().cast("long").alias("block"), "id", "v").mapInArrow(lean(_pack(dim)), PACKED)
     asked = staged(asked, "query-blocks").withColumn("block", F.xxhash64("ids"))
     # which blocks meet: by their own sizes, no vectors involved; a block's worst bound is not known here, so none is left out by it
     left, right = asked.select(F.col("block").alias("q_block")), packed.select(F.col("block").alias("v_block"))
     many = F.array_agg("v_block")
     meet = left.withColumn("one", F.lit(1)).join(right.agg(many.alias("v_blocks")).withColumn("one", F.lit(1)), "one").select("q_block", F.explode("v_blocks").alias("v_block"))
     pairs = meet.join(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "q_block").join(packed.select(F.col("block").alias("v_block"), "ids", "vectors", "dim"), "v_block")
-    found = pairs.select("q_ids", "q_vectors", "ids", "vectors", "dim").mapInArrow(_search(rotation, head, k, max(1, int(dim * LEADING))), "query_id bigint, score bigint, vec_id bigint")
+    found = pairs.select("q_ids", "q_vectors", "ids", "vectors", "dim").mapInArrow(lean(_search(rotation, head, k, max(1, int(dim * LEADING)))), "query_id bigint, score bigint, vec_id bigint")
     in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHED_WORDS, slices, table
+from .common import CACHED_WORDS, lean, slices, table
 
 #: Labelled rows that the fit uses at most, on average; beyond it a sample by hash of the id.
 MOST_LABELLED = 200_000
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: Column, label_col: str =
     if n > MOST_LABELLED:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * MOST_LABELLED / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-    counts = rows.where(~calibrate).select("text", "label").mapInArrow(_count, "token binary, clean bigint, toxic bigint").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.where(~calibrate).select("text", "label").mapInArrow(lean(_count), "token binary, clean bigint, toxic bigint").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     n_clean, n_toxic = totals["clean"] or 0, totals["toxic"] or 0
     chosen = []
@@ -200,7 +200,7 @@ def find_passages(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, passages (array of start and end in tokens, and score: excess in nats)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, passages array<struct<start:int,end:int,score:double>>"
-    return docs.select("doc_id", "text").mapInArrow(_passages(shared), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(_passages(shared)), schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
