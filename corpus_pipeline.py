@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import digests
 from tidemark.llm.common import staged, table
@@ -36,8 +37,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's number of tokens, and digests of its ids and of the text that they decode to."""
-    return digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """Each document's number of tokens, and digests of its ids and of the text that they decode to; place rises in training order.
+
+    docs is read from the files that the stage before wrote in order: a row's place is its file's number and its own in the file.
+    """
+    place = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
+    placed = docs.select(place.alias("place"), "doc_id", "text")
+    encoded = digests(placed, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "place").withColumnRenamed("doc_id", "place")
+    return encoded.join(placed.select("place", "doc_id"), "place")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]
