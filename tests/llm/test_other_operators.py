@@ -94,6 +94,18 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Thousands of rows of one id, which fill several blocks, and that id as a query more than once."""
+    rows = [(50, [3.0, 4.0])] * 9000 + [(1, [1.0, 1.0]), (2, [1.0, 0.5]), (3, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([rows[0], rows[0], rows[-1]], vectors.schema)
+    got = Counter(tuple(r) for r in topk.top_k(vectors, asked, 5).collect())
+    score = lambda a, b: int(256 * 256 * sum(x * y for x, y in zip(a, b)))
+    q, a, b, c = [3, 4], [1, 1], [1, 0.5], [0.5, 0.5]
+    want = Counter({(50, 1, 1, score(q, a)): 2, (50, 2, 2, score(q, b)): 2, (50, 3, 3, score(q, c)): 2})
+    assert got == want + Counter((3, k + 1, 50, score(q, c)) for k in range(5))
+
+
 def test_top_k_query_against_sql(spark):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SMALL}/embeddings.parquet'")
@@ -113,15 +125,26 @@ def test_components(spark, links):
     assert got == {x: find(x) for x in list(up)}
 
 
+def written(spark, folder, name, stage):
+    """A stage as it is run: its rows are written and read again."""
+
+    def run(session, docs, sf_dir):
+        stage(session, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    return run
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's rows against brute-force versions of what it decides."""
     from test_text_operators import base_of, shingles, stripped
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    good = stages["quality"](spark, docs, SMALL).cache()
+    stages = {n: written(spark, tmp_path, n, f) for n, f in stages.items()}
+    good = stages["quality"](spark, docs, SMALL)
     assert all(not base_of(r["text"])[-1] for r in good.collect())
-    unique = stages["near_duplicates"](spark, good, SMALL).cache()
+    unique = stages["near_duplicates"](spark, good, SMALL)
     sets = {r["doc_id"]: shingles(r["text"]) for r in good.collect()}
     root = {d: d for d in sets}
     for d in sorted(sets):
@@ -130,13 +153,13 @@ def test_pipeline(spark, tmp_path):
                 low, high = sorted((root[d], root[e]))
                 root = {k: low if v == high else v for k, v in root.items()}
     assert {r["doc_id"] for r in unique.collect()} == {d for d in sets if root[d] == d}
-    left = stages["substring_dedup"](spark, unique, SMALL).cache()
+    left = stages["substring_dedup"](spark, unique, SMALL)
     assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(d, kept) for d, _, _, kept in stripped([r.asDict() for r in unique.collect()]) if kept}
-    mixed = stages["mixing"](spark, left, SMALL).cache()
+    mixed = stages["mixing"](spark, left, SMALL)
     assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2 and mixed.columns == docs.columns
-    mixed.write.parquet(f"{tmp_path}/mixed")
-    out = stages["encoding"](spark, spark.read.parquet(f"{tmp_path}/mixed"), SMALL).collect()
-    in_order = [(r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed.collect()]
+    out = stages["encoding"](spark, mixed, SMALL).collect()
+    parts = sorted(mixed.inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
+    in_order = [(r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for f in parts for r in spark.read.parquet(f).collect()]
     assert [(r["doc_id"], r["decoded_sha256"]) for r in sorted(out, key=lambda r: r["place"])] == in_order
     assert Counter(r["decoded_sha256"] for r in out) == Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.collect())
     assert Counter(tuple(r)[1:] for r in corpus_pipeline.run(spark, SMALL).collect()) == Counter(tuple(r)[1:] for r in out)

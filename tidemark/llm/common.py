@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -38,6 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Lists that get the path of each table written while they are open.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written within."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Remove written tables that no result needs any more; those whose files `needed` reads stay."""
+    read = needed.inputFiles()
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in read):
+            _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -56,6 +81,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    for paths in _OPEN:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

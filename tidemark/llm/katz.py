@@ -425,5 +425,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by the model, learnt from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return score_texts(docs.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "text"))

@@ -83,4 +83,5 @@ def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id"
 
 
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24, by its id, and its slot there."""
     return assign_shards(table(spark, sf_dir, "documents"), shards=24)

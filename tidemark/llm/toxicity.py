@@ -16,8 +16,6 @@ from .common import CACHED_WORDS, lean, slices, table
 
 #: Labelled rows that the fit uses at most, on average; beyond it a sample by hash of the id.
 MOST_LABELLED = 200_000
-#: Tokens that score above 0 at most: those of the highest z.
-MOST_TOKENS = 20_000
 LEAST_Z = 3.0
 LEAST_COUNT = 5
 #: Bytes of a token's beginnings that are features beside the token itself; words that vary at their ends share them.
@@ -168,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: Column, label_col: str =
 
     About MOST_LABELLED labelled rows are used at most, by hash of the id; their ids are broadcast, so that texts are not shuffled.
     A feature's score is the log-odds of its share of the toxic texts' features against its share of the clean ones', each text
-    counting a feature once, and both sides having a Dirichlet prior of the toxic side's size dealt by the shares in all texts; the
-    MOST_TOKENS features of the highest z of LEAST_Z or more keep theirs. Rows without a label or id are left out;
+    counting a feature once, and both sides having a Dirichlet prior of the toxic side's size dealt by the shares in all texts; features
+    of LEAST_COUNT toxic texts or more and a z of LEAST_Z or more keep theirs, and all others cost alike. Rows without a label or id are left out;
     of several labels of one id the highest counts. Without usable labels no token scores, and every text gets the same probability.
     """
     spark = docs.sparkSession
@@ -187,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: Column, label_col: str =
         t, c = F.col("toxic") + prior, F.col("clean") + prior
         odds = F.log(t / (2.0 * n_toxic - t)) - F.log(c / (float(n_clean + n_toxic) - c))
         scored = counts.where(F.col("toxic") >= LEAST_COUNT).select("token", "clean", odds.alias("score"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"), (c / float(n_clean + n_toxic)).alias("share"))
-        chosen = scored.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()  # the bound is MOST_TOKENS
+        chosen = scored.where(F.col("z") >= LEAST_Z).collect()  # tokens of MOST_LABELLED texts at most that stand out among them
     other = math.log(1 - DENSITY)
     model = Model({bytes(r["token"]): r["score"] for r in chosen}, other, _decay([(r["share"], r["score"]) for r in chosen], other) if chosen else 1.0, 1.0, 0.0)
     evidence = find_passages(rows.where(calibrate).select("doc_id", "text"), model).select("doc_id", F.round(_evidence(), 2).alias("x")).join(F.broadcast(labelled), "doc_id")
@@ -213,6 +211,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability to be toxic, learnt from the labels of the rows that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(remainder("doc_id", 5) != 0), calibrate=remainder("doc_id", 5) == 4)
     return score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
