@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import digests
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import discard, recorded, staged, table
 from tidemark.llm.jaccard import keep_one
 from tidemark.llm.mixing import in_training_order
 from tidemark.llm.quality import keep_good
@@ -16,26 +19,49 @@ from tidemark.llm.substrings import without_repeats
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Tables that the last stage wrote on its way. Its result is written before the next stage begins, which removes them.
+_written: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes what the stage before has written on its way, but for what docs still reads."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _written, docs)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _written[:] = paths
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return keep_good(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
     return keep_one(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of a smaller id has too go; so do documents of which nothing is left."""
     return without_repeats(docs)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them, in training order."""
     return in_training_order(docs)
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's number of tokens, and digests of its ids and of the text that they decode to; place rises in training order.
 
@@ -56,6 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each one's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for name, apply in STAGES[:-1]:
+        docs = staged(apply(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
