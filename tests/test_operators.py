@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalogue
-from tidemark.operators import features, flows, grid, groups, ledger, pit, quality, risk, rotation, text, validation
+from tidemark.functions import scalars
+from tidemark.operators import entities, features, flows, grid, groups, ledger, pit, quality, risk, rotation, text, validation
+from tidemark.sources import landing
+from tidemark.streaming import stateful, streams
 
 SMALL = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -122,12 +125,80 @@ def test_splits_keep_train_and_test_apart(spark):
         assert train and test and max(train) + 2 < min(test) + 1
 
 
-def test_alert_routing(spark):
+def test_alert_routing(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    words = ["price fell hard", "volume rose fast", "board resigned today", "profit warning issued", "court ruling due", "merger talks ended", "audit opinion withheld"]
-    rows = [(i, 1, "P2", w, at(i)) for i, w in enumerate(words)] + [(10, 1, "P2", words[0], at(100)), (11, 1, "P0", words[0], at(101)), (12, 1, "P2", words[0], at(200_000)), (13, 2, "P1", words[0], at(5))]
-    got = {r["event_id"]: r["routed"] for r in text.route_alerts(spark.createDataFrame(rows, "event_id long, entity long, severity string, summary string, created_at timestamp")).collect()}
-    assert [got[i] for i in range(7)] == ["sent"] * 5 + ["digest"] * 2 and got[10] == "suppressed" and got[11] == got[12] == got[13] == "sent"
+    words = ["pricefellhard", "volumerosefast", "boardresignedtoday", "profitwarningissued", "courtrulingdue", "mergertalksended", "auditopinionwithheld"]
+    rows = [(i, 1, "P2", w, at(i)) for i, w in enumerate(words)] + [(10, 1, "P2", words[0], at(100)), (11, 1, "P0", words[0], at(101)), (12, 1, "P2", words[0], at(200_000)), (13, 2, "P1", words[0], at(5)), (14, 2, "P2", "", at(6)), (15, 2, "P1", "", at(7))]
+    df = spark.createDataFrame(rows, "event_id long, entity long, severity string, norm string, created_at timestamp")
+    got = {r["event_id"]: (r["routed"], r["digest"]) for r in streams.drained(stateful.alerts_routed(streams.as_ordered_stream(df, "alerts", "created_at")), "routed").collect()}
+    assert [got[i][0] for i in range(7)] == ["sent"] * 5 + ["digest"] * 2 and got[10][0] == got[15][0] == "suppressed" and got[11][0] == got[12][0] == got[13][0] == got[14][0] == "sent"
+    assert got[6][1] == "0,1,2,3,4,5,6" and got[0][1] is None
+
+
+def test_streams_keep_state_across_batches_as_the_sequential_rules_do(spark):
+    import random
+
+    draw = random.Random(9)
+    rows = [(i, draw.randrange(3), f"k{draw.randrange(40)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=25 * i + draw.randrange(20)), float(draw.choice((100, 104, 120))), 100.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, entity long, idempotency_key string, ts timestamp, price double, ref_price double")
+    got = {r["event_id"]: (r["duplicate"], r["halted"], r["far"]) for r in streams.drained(stateful.orders_guarded(streams.as_ordered_stream(df, "orders", "ts", 6), limit=2), "guarded").collect()}
+    seen, recent, want = set(), [], {}
+    for i, e, key, ts, price, ref in sorted(rows, key=lambda r: (r[3], r[0])):
+        halted = sum(0 < (ts - at).total_seconds() < 60 for who, at in recent if who == e) >= 2
+        want[i] = ((e, key) in seen, halted, abs(price / ref - 1) > 0.05)
+        if (e, key) not in seen:
+            seen.add((e, key))
+            recent.append((e, ts))
+    assert got == want and {x[1] for x in want.values()} == {True, False}
+
+
+def test_similar_names_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(6)
+    names = sorted({"".join(draw.choice("abcde fg") for _ in range(draw.randrange(1, 12))).strip() for _ in range(120)} - {""})
+    aliases = sorted({"".join(draw.choice("abcde fg") for _ in range(draw.randrange(1, 12))).strip() for _ in range(120)} - {""})
+    left = spark.createDataFrame([(n,) for n in names], "norm string")
+    right = spark.createDataFrame([(a, i) for i, a in enumerate(aliases)], "key string, entity_id long")
+    got = {(r["norm"], r["key"]): round(r["score"], 9) for r in entities.candidates(left, right).collect()}
+    want = {(n, a): round(entities.ratio(n, a), 9) for n in names for a in aliases if entities.ratio(n, a) >= entities.CANDIDATE}
+    assert got == want and len(want) > 50
+
+
+def test_resolution_of_a_query_at_a_time(spark):
+    codes = spark.createDataFrame([("2330", "TW:2330"), ("ACME", "X:1")], "code string, entity_id string")
+    raw = [("台積電股份有限公司", "TW:2330", 0), ("Small Ring", "a", 1), ("small  ring", "b", 2), ("(公司)", "blank", 3), ("red widget", "c", 4), ("red widgets", "d", 5), ("blue gizmo long name", "e", 6)]
+    aliases = entities.alias_table(spark.createDataFrame(raw, "alias string, entity_id string, seq int"))
+    assert {r["key"]: r["entity_id"] for r in aliases.collect()} == {"台積電": "TW:2330", "SMALLRING": "b", "REDWIDGET": "c", "REDWIDGETS": "d", "BLUEGIZMOLONGNAME": "e"}
+    asked = ["2330", "2330.tw", "acme", "台積電", "ＳＭＡＬＬ　ｒｉｎｇ", "blue gizmo long nme", "red widgt", "zzz", " ", None, "smring"]
+    got = {r["query"]: (r["entity_id"], r["method"], r["review"]) for r in entities.resolve(spark.createDataFrame([(q,) for q in asked], "query string"), codes, aliases).collect()}
+    assert got["2330"][:2] == got["2330.tw"][:2] == ("TW:2330", "EXACT_CODE") and got["acme"][:2] == ("X:1", "EXACT_CODE")
+    assert got["台積電"][:2] == ("TW:2330", "EXACT_ALIAS") and got["ＳＭＡＬＬ　ｒｉｎｇ"][:2] == ("b", "EXACT_ALIAS")
+    assert got["blue gizmo long nme"] == ("e", "FUZZY", False)
+    assert got["red widgt"][1:] == ("UNRESOLVED", True) and got["smring"][1:] == ("UNRESOLVED", True)
+    assert got["zzz"] == got[""] == got[None] == (None, "UNRESOLVED", False)
+
+
+def test_answers_of_models(spark):
+    form = scalars.Answer("kind string, confidence double, findings array<string>", sets={"kind": ("A", "B")}, ranges={"confidence": (0.0, 1.0)}, sizes={"findings": 2})
+    texts = ['{"kind":"A","confidence":1,"findings":["x","y"]}', '```json\n{"kind":"B","confidence":0,"findings":["x","y"]}\n```', "```\n```", "", None, '{"kind":"A"', '{"kind":"C","confidence":1,"findings":["x","y"]}', '{"kind":"A","confidence":1.1,"findings":["x","y"]}', '{"kind":"A","confidence":1,"findings":["x"]}', '{"kind":"A","findings":["x","y"]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r["reason"] for r in df.select("i", scalars.answer(F.col("text"), form).alias("a")).select("i", "a.reason").orderBy("i").collect()]
+    assert got == [None, None, "json", "json", "json", "json", "enum", "range", "size", "missing"]
+
+
+def test_landing_never_overwrites(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("s", "d", "p", at, "x", {"a": "1"}), ("s", "d", "p", at, "x", {"a": "2"}), ("s", "d", "p", at, "y", None), ("s", "d", "p", at + dt.timedelta(days=1), "x", None), ("s", "d", "q", at, "", None), ("s", "d", "q", at, None, None)]
+    df = spark.createDataFrame(rows, "source string, dataset string, part string, fetch_time timestamp, payload string, request map<string,string>")
+    path = str(tmp_path / "landing")
+    landing.land(df.limit(1), path)
+    landing.land(df, path)
+    landing.land(df, path)
+    got = landing.landed(spark, path).collect()
+    assert sorted((r["fetch_time"].day, r["payload"]) for r in got) == [(1, "x"), (1, "y"), (2, "x")]
+    assert [r["payload"] for r in landing.landed(spark, path, "s", "d", "p", "2024-01-01 12:00:00").collect()].count("x") == 1
+    assert landing.latest(landing.landed(spark, path)).first()["fetch_time"].day == 2
 
 
 FORGED = [

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Column functions."""

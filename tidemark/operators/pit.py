@@ -56,6 +56,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataF
     return both.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_seq"))).alias(value))
 
 
+def fetch_plan(cached: DataFrame, start: str, overlap_days: int = 10, fewest: int = 30) -> DataFrame:
+    """cached(ticker, d) -> ticker, n, from_date: `overlap_days` before the last cached date, or `start` with fewer than `fewest` rows."""
+    seen = cached.groupBy("ticker").agg(F.count("*").alias("n"), F.max("d").alias("last"))
+    return seen.withColumn("from_date", F.when(F.col("n") < fewest, F.lit(start).cast("date")).otherwise(F.date_sub("last", overlap_days)))
+
+
 def append_missing(old: DataFrame, new: DataFrame, date: str, keys: list[str], order: str) -> DataFrame:
     """old and the rows of new on dates that old lacks, the last by `order` per key."""
     fresh = new.join(old.select(date).distinct(), date, "left_anti")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +41,12 @@ def content_key(entity: Column, severity: Column, summary: Column) -> Column:
     return F.concat_ws(":", entity.cast("string"), severity, normalized_summary(summary))
 
 
-def similarity(left: str, right: str) -> float:
-    """Ratcliff and Obershelp's ratio; empty 0, equal 1."""
-    if not left or not right:
-        return 0.0
-    return 1.0 if left == right else difflib.SequenceMatcher(None, left, right).ratio()
+def alike(left: str, right: str, threshold: float) -> bool:
+    """Whether Ratcliff and Obershelp's ratio reaches the threshold; two bounds from above come before it. Two empty texts are equal."""
+    if left == right:
+        return True
+    m = difflib.SequenceMatcher(None, left, right)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
 class Router:
@@ -62,7 +61,7 @@ class Router:
     def route(self, at: float, severity: str, summary: str) -> str:
         self.recent = [r for r in self.recent if at - r[0] <= self.day]
         if severity != "P0":
-            if any((s == severity and t == summary) or similarity(t, summary) >= self.threshold for _, s, t in self.recent):
+            if any((s == severity and t == summary) or alike(t, summary, self.threshold) for _, s, t in self.recent):
                 return "suppressed"
         self.recent.append((at, severity, summary))
         if severity == "P0":
@@ -71,25 +70,8 @@ class Router:
         return "digest" if len(self.counted) > self.hourly else "sent"
 
 
-def route_alerts(alerts: DataFrame, hourly: int = 5) -> DataFrame:
-    """alerts(event_id, entity, severity, summary, created_at) -> event_id, entity, routed; one entity's alerts in one task, by time and id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        router, rows = Router(hourly), pdf.sort_values(["created_at", "event_id"])
-        routed = [router.route(t.timestamp(), s, n) for t, s, n in zip(rows["created_at"], rows["severity"], rows["norm"], strict=True)]
-        return pd.DataFrame({"event_id": rows["event_id"], "entity": rows["entity"], "routed": routed})
-
-    kept = alerts.select("event_id", "entity", "severity", normalized_summary(F.col("summary")).alias("norm"), "created_at")
-    return kept.groupBy("entity").applyInPandas(run, "event_id long, entity long, routed string")
-
-
 def order_checks(orders: DataFrame, limit: int = 10, seconds: int = 60, deviation: float = 0.05) -> DataFrame:
     """orders(event_id, entity, idempotency_key, ts, price, ref_price) with duplicate, halted (limit or more orders in the last seconds) and far."""
     first = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("ts", "event_id"))
     w = Window.partitionBy("entity").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return orders.withColumn("duplicate", first > 1).withColumn("halted", F.count("*").over(w) >= limit).withColumn("far", F.abs(F.col("price") / F.nullif("ref_price", F.lit(0.0)) - 1) > deviation)
-
-
-def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.assign(ratio=[similarity(x, y) for x, y in zip(b["query"], b["alias"], strict=True)])

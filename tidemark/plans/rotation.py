@@ -53,7 +53,7 @@ net AS (SELECT *, turnover * 0.001 AS cost, gross - turnover * 0.001 AS net FROM
 
 
 def month_grid(t: Tables) -> DataFrame:
-    return ro.panel(t.px_daily, t.assets, "Monthly")
+    return t.kept("month_grid", lambda: ro.panel(t.px_daily, t.assets, "Monthly"))
 
 
 def defensive(t: Tables) -> str:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import features as fe
+from ..operators import text as tx
+from ..streaming import stateful as sf
 from ..streaming import streams as st
+from .records import PERIODS, signal_periods
 from .registry import query
+from .research import TREND, daily
 from .views import Tables
 
 
@@ -25,20 +30,63 @@ def st_replay(t: Tables) -> DataFrame:
     return a.join(b.select("event_id").distinct(), "event_id", "left_semi").groupBy("idempotency_key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id FROM events WHERE NOT (event_id % 10 = 0)")
+@query("SELECT event_id, event_id % 10 <> 0 AS kept FROM events")
 def st_temporal_gate(t: Tables) -> DataFrame:
+    """Rows in time, and the violations that went to a table of their own."""
     late = F.when(F.col("event_id") % 10 == 0, F.expr("ts - INTERVAL 6 SECONDS")).otherwise(F.expr("ts - INTERVAL 5 SECONDS"))
     rows = t.read("events").select("event_id", "ts", late.alias("taken_in"))
-    return st.drained(st.in_order(st.as_stream(rows, "events"), "ts", "taken_in"), "gated").select("event_id")
+    kept, gone = st.drained_apart(st.as_stream(rows, "events"), "gated", st.in_time("ts", "taken_in"))
+    return kept.select("event_id", F.lit(True).alias("kept")).unionByName(gone.select("event_id", F.lit(False).alias("kept")))
 
 
 @query("SELECT CAST(created_at AS DATE) AS d, severity, count(*) AS n FROM alerts GROUP BY ALL")
 def st_paper_log(t: Tables) -> DataFrame:
     rows = t.alerts.select("severity", F.col("created_at").cast("timestamp").alias("created_at"))
-    return st.drained(st.counted(st.as_stream(rows, "alerts"), "created_at", ["severity"], "1 day"), "daily", "complete").select(F.to_date("start").alias("d"), "severity", "n")
+    days = st.counted(st.as_ordered_stream(rows, "alerts", "created_at"), "created_at", ["severity"], "1 day")
+    return st.drained_updates(days, "daily", ["start", "severity"]).select(F.to_date("start").alias("d"), "severity", "n")
 
 
-@query("SELECT epoch_us(to_timestamp(k * 1800)) AS start_us, user_id, count(*) AS n FROM (SELECT user_id, unnest([floor(epoch(ts) / 1800)::BIGINT, floor(epoch(ts) / 1800)::BIGINT - 1]) AS k FROM events) GROUP BY ALL")
+@query("SELECT epoch_us(to_timestamp(k * 300)) AS start_us, user_id, count(*) AS n FROM (SELECT user_id, unnest([floor(epoch(ts) / 300)::BIGINT - i for i in range(12)]) AS k FROM events) GROUP BY ALL")
 def st_agent_rate(t: Tables) -> DataFrame:
     rows = t.read("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return st.drained(st.counted(st.as_stream(rows, "calls"), "ts", ["user_id"], "1 hour", "30 minutes"), "rates", "complete").select(F.unix_micros("start").alias("start_us"), "user_id", "n")
+    rates = st.counted(st.as_ordered_stream(rows, "calls", "ts"), "ts", ["user_id"], "1 hour", "5 minutes")
+    return st.drained_updates(rates, "rates", ["start", "user_id"]).select(F.unix_micros("start").alias("start_us"), "user_id", "n")
+
+
+@query("SELECT trade_date AS d, entity_id, arg_max(close, ingest_date) AS close, count(*) AS n FROM raw_prices GROUP BY ALL")
+def st_flow_daily(t: Tables) -> DataFrame:
+    """Each day's last known close by entity; corrections come late."""
+    rows = t.raw_prices.select("entity_id", "close", "ingest_date", F.col("trade_date").cast("timestamp").alias("at"))
+    days = st.last_of_day(st.as_ordered_stream(rows, "prices", "ingest_date"), "at", ["entity_id"], "close", "ingest_date")
+    return st.drained_updates(days, "last", ["d", "entity_id"])
+
+
+@query()
+def st_alert_router(t: Tables) -> DataFrame:
+    """Alerts sent, suppressed or gathered in digests; tests hold the stream against the sequential rule."""
+    rows = t.alerts.select("event_id", "entity", "severity", tx.normalized_summary(F.col("summary")).alias("norm"), F.col("created_at").cast("timestamp").alias("created_at"))
+    return st.drained(sf.alerts_routed(st.as_ordered_stream(rows, "alerts", "created_at")), "routed")
+
+
+GUARDED = """marked AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY ts, event_id) = 1 AS fresh FROM order_stream)"""
+
+
+@query("SELECT event_id, NOT fresh AS duplicate, coalesce(sum(fresh::INTEGER) OVER (PARTITION BY entity ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING), 0) >= 1 AS halted, abs(price / nullif(ref_price, 0) - 1) > 0.05 AS far FROM marked", GUARDED)
+def st_order_guard(t: Tables) -> DataFrame:
+    """Duplicates, orders too close to others (one within a minute, as these are few), and prices far off."""
+    rows = t.order_stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return st.drained(sf.orders_guarded(st.as_ordered_stream(rows, "orders", "ts"), limit=1), "guarded")
+
+
+@query("""SELECT asset, d, coalesce(last_value(CASE WHEN run >= 5 THEN trend END IGNORE NULLS) OVER w, first_value(trend) OVER w) AS effective FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset, trend, isl ORDER BY pos) AS run FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY pos) - row_number() OVER (PARTITION BY asset, trend ORDER BY pos) AS isl FROM tr)) WINDOW w AS (PARTITION BY asset ORDER BY pos ROWS UNBOUNDED PRECEDING)""", TREND)
+def st_hysteresis(t: Tables) -> DataFrame:
+    rows = fe.trend(daily(t), threshold=0.002).select(F.col("pos").cast("long").alias("event_id"), F.col("asset").alias("key"), F.col("d").cast("timestamp").alias("at"), F.col("trend").alias("state"))
+    held = st.drained(sf.states_held(st.as_ordered_stream(rows, "trends", "at")), "held")
+    return held.select(F.col("key").alias("asset"), F.to_date("at").alias("d"), "effective")
+
+
+@query("SELECT signal, period, CASE WHEN below >= 5 THEN 'QUARANTINED' WHEN below > 0 THEN 'WATCH' ELSE 'HEALTHY' END AS health, below FROM runs", PERIODS)
+def st_signal_health(t: Tables) -> DataFrame:
+    rows = signal_periods(t).select(F.lit(0).cast("long").alias("event_id"), "signal", F.col("period").cast("timestamp").alias("at"), "ic")
+    return st.drained(sf.health_held(st.as_ordered_stream(rows, "periods", "at")), "health").select("signal", F.to_date("at").alias("period"), "health", "below")

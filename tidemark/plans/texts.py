@@ -88,11 +88,15 @@ def fn_price_deviation(t: Tables) -> DataFrame:
     return tx.order_checks(t.order_stream).select("event_id", "far")
 
 
-@query("SELECT entity, count(*) AS n, max(gap) AS longest, count(*) FILTER (gap > 300000000) AS lapses FROM (SELECT entity, CAST(epoch_us(lead(created_at) OVER (PARTITION BY entity ORDER BY created_at)) - epoch_us(created_at) AS BIGINT) AS gap FROM alerts) GROUP BY entity")
+@query("""SELECT entity, count(*) AS n, max(gap) AS longest, count(*) FILTER (gap > 300000000) AS lapses, CASE WHEN (SELECT max(epoch_us(created_at)) FROM alerts) - max(at) > 300000000 THEN 'CLOSE_ONLY' ELSE 'NORMAL' END AS mode
+    FROM (SELECT entity, epoch_us(created_at) AS at, CAST(epoch_us(lead(created_at) OVER (PARTITION BY entity ORDER BY created_at)) - epoch_us(created_at) AS BIGINT) AS gap FROM alerts) GROUP BY entity""")
 def st_heartbeat(t: Tables) -> DataFrame:
+    """Each entity's lapses, and what it may do at the time of the last row of all."""
     us = F.unix_micros(F.col("created_at").cast("timestamp"))
-    gaps = t.alerts.withColumn("gap", F.lead(us).over(Window.partitionBy("entity").orderBy("created_at")) - us)
-    return gaps.groupBy("entity").agg(F.count("*").alias("n"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > 300_000_000).alias("lapses"))
+    gaps = t.alerts.withColumn("at", us).withColumn("gap", F.lead(us).over(Window.partitionBy("entity").orderBy("created_at")) - us)
+    now = F.broadcast(t.alerts.agg(F.max(us).alias("now")))  # one number
+    by = gaps.groupBy("entity").agg(F.count("*").alias("n"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > 300_000_000).alias("lapses"), F.max("at").alias("last"))
+    return by.crossJoin(now).select("entity", "n", "longest", "lapses", F.when(F.col("now") - F.col("last") > 300_000_000, "CLOSE_ONLY").otherwise("NORMAL").alias("mode"))
 
 
 @query("SELECT entity, CAST(created_at AS DATE) AS d, severity, count(*) AS n FROM alerts GROUP BY ALL")
@@ -111,11 +115,6 @@ def agg_agent_calls(t: Tables) -> DataFrame:
     return t.read("events").select("event_id", "user_id", F.count("*").over(w).alias("calls"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def src_news_payload(t: Tables) -> DataFrame:
-    return t.read("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("SELECT asset, d, open, high, low, close FROM px_daily WHERE asset <> 'NATION_4' OR day(d) <> 9")
 def src_price_payload(t: Tables) -> DataFrame:
     """Arrays of a chart payload, with nulls, back to bars."""
@@ -127,16 +126,3 @@ def src_price_payload(t: Tables) -> DataFrame:
     quote = F.struct(*[F.col(f"b.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
     payload = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("b.ts").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
     return parse_chart(rows.select("ticker", payload.alias("payload"))).select(F.col("ticker").alias("asset"), "d", "open", "high", "low", "close")
-
-
-@query()
-def st_alert_router(t: Tables) -> DataFrame:
-    return tx.route_alerts(t.alerts)
-
-
-@query()
-def fn_similarity(t: Tables) -> DataFrame:
-    """Each part name against the names that share its first four characters."""
-    names = t.read("part").select(F.col("p_name").alias("query")).distinct().withColumn("block", F.substring("query", 1, 4))
-    other = t.read("nation").select(F.col("n_name").alias("alias")).withColumn("one", F.lit(1))
-    return names.withColumn("one", F.lit(1)).join(F.broadcast(other), "one").select("query", "alias").mapInPandas(tx.matches, "query string, alias string, ratio double")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.landing import written
+
 BENCHMARK, DEFENSIVE = 0, 1  # nation keys
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 class Tables:
-    """The given tables of one folder, and the domain tables over them; every attribute is lazy."""
+    """The given tables of one folder, and the domain tables over them; every attribute is lazy but for the shared panels, which are written first."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -31,8 +34,18 @@ class Tables:
             F.col("l_extendedprice").alias("value"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
         )
 
+    def kept(self, name: str, build) -> DataFrame:
+        """A panel that many queries share, written once for a session and folder: what reads it doesn't plan the joins below it again."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = written(build(), name)
+        return _KEPT[key]
+
     @property
     def px_daily(self) -> DataFrame:
+        return self.kept("px_daily", self._px_daily)
+
+    def _px_daily(self) -> DataFrame:
         q, u = F.col("qty"), F.col("unit")
         return self.sales.groupBy("d", "asset").agg(
             F.round((F.min(u) + F.max(u)) / 2, 9).alias("open"), F.max(u).alias("high"), F.min(u).alias("low"), F.round(F.sum(q * u) / F.sum(q), 9).alias("close"), F.sum(q).cast("long").alias("volume")
@@ -52,6 +65,9 @@ class Tables:
 
     @property
     def flows_daily(self) -> DataFrame:
+        return self.kept("flows_daily", self._flows_daily)
+
+    def _flows_daily(self) -> DataFrame:
         signed = F.when(F.col("status") == "O", F.col("qty")).otherwise(-F.col("qty"))
         part = lambda flag: F.sum(F.when(F.col("flag") == flag, signed).otherwise(0.0))
         return self.sales.groupBy("d", "asset").agg(part("A").alias("foreign_net"), part("N").alias("trust_net"), part("R").alias("dealer_net"), F.sum(signed).alias("total_net"))

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that all executors share; one of our own only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+from ..sources.landing import folder
 
 
 def as_stream(rows: DataFrame, label: str, files: int = 4) -> DataFrame:
@@ -26,6 +17,48 @@ def as_stream(rows: DataFrame, label: str, files: int = 4) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def as_ordered_stream(rows: DataFrame, label: str, at: str, batches: int = 4) -> DataFrame:
+    """rows as a file stream whose batches follow each other in time."""
+    path = folder(rows.sparkSession, label)
+    low, high = rows.agg(F.min(F.unix_micros(F.col(at).cast("timestamp"))), F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()
+    if low is None:
+        rows.write.parquet(path)
+    else:
+        part = F.floor((F.unix_micros(F.col(at).cast("timestamp")) - low) * batches / (high - low + 1))
+        for k in range(batches):
+            rows.where(part == k).coalesce(1).write.mode("append").parquet(path)  # a batch of a feed
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run the stream in update mode: every batch appends the groups that it changed, with its number, and the last of each key counts.
+    So no batch rewrites what came before, and a watermark can let old groups go."""
+    spark = stream.sparkSession
+    out, progress = folder(spark, label), folder(spark, f"{label}-progress")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")  # the same again if the batch is repeated
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch bigint").parquet(out)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("last", last).where("last = 1").select(*stream.columns)
+
+
+def drained_apart(stream: DataFrame, label: str, good: Column) -> tuple[DataFrame, DataFrame]:
+    """Run the stream and write the rows for which `good` holds to one table and all others to a second."""
+    spark = stream.sparkSession
+    kept, gone, progress = folder(spark, label), folder(spark, f"{label}-violations"), folder(spark, f"{label}-progress")
+    fine = F.coalesce(good, F.lit(False))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.where(fine).write.mode("overwrite").parquet(f"{kept}/n={number}")
+        batch.where(~fine).write.mode("overwrite").parquet(f"{gone}/n={number}")
+
+    stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return tuple(spark.read.schema(stream.schema).parquet(p) for p in (kept, gone))
+
+
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run the stream over all that is there, with its progress in the shared folder, and read what it wrote.
 
@@ -48,12 +81,19 @@ def deduplicated(stream: DataFrame, key: str, at: str, within: str) -> DataFrame
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def in_order(stream: DataFrame, event: str, ingest: str, skew_seconds: int = 5) -> DataFrame:
-    """Rows that weren't taken in more than the skew before they happened."""
-    return stream.where(F.unix_micros(F.col(ingest).cast("timestamp")) >= F.unix_micros(F.col(event).cast("timestamp")) - skew_seconds * 1_000_000)
+def in_time(event: str, ingest: str, skew_seconds: int = 5) -> Column:
+    """Whether a row wasn't taken in more than the skew before it happened."""
+    return F.unix_micros(F.col(ingest).cast("timestamp")) >= F.unix_micros(F.col(event).cast("timestamp")) - skew_seconds * 1_000_000
 
 
-def counted(stream: DataFrame, at: str, keys: list[str], length: str, slide: str | None = None) -> DataFrame:
-    """Rows by key and tumbling, or sliding, window."""
+def counted(stream: DataFrame, at: str, keys: list[str], length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
+    """Rows by key and tumbling, or sliding, window; a window's state goes once the watermark has passed it."""
     w = F.window(at, length, slide) if slide else F.window(at, length)
-    return stream.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return stream.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def last_of_day(stream: DataFrame, at: str, keys: list[str], value: str, ingest: str, late: str = "30 days") -> DataFrame:
+    """By key and day the value taken in last: a late row within the watermark corrects its day, a later one is dropped."""
+    w = F.window(at, "1 day")
+    found = stream.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.max_by(value, ingest).alias(value), F.count("*").alias("n"))
+    return found.select(F.to_date("w.start").alias("d"), *keys, value, "n")
