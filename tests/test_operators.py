@@ -167,15 +167,16 @@ def test_similar_names_against_all_pairs(spark):
 
 def test_resolution_of_a_query_at_a_time(spark):
     codes = spark.createDataFrame([("2330", "TW:2330"), ("ACME", "X:1")], "code string, entity_id string")
-    raw = [("台積電股份有限公司", "TW:2330", 0), ("Small Ring", "a", 1), ("small  ring", "b", 2), ("(公司)", "blank", 3), ("red widget", "c", 4), ("red widgets", "d", 5), ("blue gizmo long name", "e", 6)]
+    raw = [("台積電股份有限公司", "TW:2330", 0), ("Small Ring", "a", 1), ("small  ring", "b", 2), ("(公司)", "blank", 3), ("red widget", "c", 4), ("red widgets", "d", 5), ("blue gizmo long name", "e", 6), ("wide gizmo model x", "f", 7), ("wide gizmo model y", "g", 8)]
     aliases = entities.alias_table(spark.createDataFrame(raw, "alias string, entity_id string, seq int"))
-    assert {r["key"]: r["entity_id"] for r in aliases.collect()} == {"台積電": "TW:2330", "SMALLRING": "b", "REDWIDGET": "c", "REDWIDGETS": "d", "BLUEGIZMOLONGNAME": "e"}
-    asked = ["2330", "2330.tw", "acme", "台積電", "ＳＭＡＬＬ　ｒｉｎｇ", "blue gizmo long nme", "red widgt", "zzz", " ", None, "smring"]
+    assert {r["key"]: r["entity_id"] for r in aliases.collect()} == {"台積電": "TW:2330", "SMALLRING": "b", "REDWIDGET": "c", "REDWIDGETS": "d", "BLUEGIZMOLONGNAME": "e", "WIDEGIZMOMODELX": "f", "WIDEGIZMOMODELY": "g"}
+    asked = ["2330", "2330.tw", "acme", "台積電", "ＳＭＡＬＬ　ｒｉｎｇ", "blue gizmo long nme", "red widgt", "wide gizmo model z", "zzz", " ", None, "smring"]
     got = {r["query"]: (r["entity_id"], r["method"], r["review"]) for r in entities.resolve(spark.createDataFrame([(q,) for q in asked], "query string"), codes, aliases).collect()}
     assert got["2330"][:2] == got["2330.tw"][:2] == ("TW:2330", "EXACT_CODE") and got["acme"][:2] == ("X:1", "EXACT_CODE")
     assert got["台積電"][:2] == ("TW:2330", "EXACT_ALIAS") and got["ＳＭＡＬＬ　ｒｉｎｇ"][:2] == ("b", "EXACT_ALIAS")
     assert got["blue gizmo long nme"] == ("e", "FUZZY", False)
-    assert got["red widgt"][1:] == ("UNRESOLVED", True) and got["smring"][1:] == ("UNRESOLVED", True)
+    assert got["red widgt"] == ("c", "FUZZY", False)
+    assert got["wide gizmo model z"][1:] == ("UNRESOLVED", True) and got["smring"][1:] == ("UNRESOLVED", True)
     assert got["zzz"] == got[""] == got[None] == (None, "UNRESOLVED", False)
 
 

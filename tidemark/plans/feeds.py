@@ -20,7 +20,7 @@ def wide(t: Tables, prices: DataFrame, ticker: Column, label: str) -> str:
     """A written panel with a column for each ticker of a dimension."""
     names = [r[0] for r in t.assets.select(ticker.alias("ticker")).collect()]  # a column each: as many as assets
     path = landing.folder(t.spark, label)
-    prices.join(t.assets, "asset").groupBy("d").pivot(ticker, names).agg(F.first("close")).write.parquet(path)
+    prices.join(t.assets, "asset").withColumn("ticker", ticker).groupBy("d").pivot("ticker", names).agg(F.first("close")).write.parquet(path)
     return path
 
 

@@ -37,7 +37,7 @@ def drained_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame
     out, progress = folder(spark, label), folder(spark, f"{label}-progress")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")  # the same again if the batch is repeated
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch_number={number}")  # the same again if the batch is repeated
 
     stream.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch bigint").parquet(out)
@@ -52,8 +52,8 @@ def drained_apart(stream: DataFrame, label: str, good: Column) -> tuple[DataFram
     fine = F.coalesce(good, F.lit(False))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.where(fine).write.mode("overwrite").parquet(f"{kept}/n={number}")
-        batch.where(~fine).write.mode("overwrite").parquet(f"{gone}/n={number}")
+        batch.where(fine).write.mode("overwrite").parquet(f"{kept}/batch_number={number}")
+        batch.where(~fine).write.mode("overwrite").parquet(f"{gone}/batch_number={number}")
 
     stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return tuple(spark.read.schema(stream.schema).parquet(p) for p in (kept, gone))
