@@ -19,6 +19,20 @@ from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_quality, op4_toxicity, op5_top_k, op6_chat, op7_jump_sharding, op8_byte_bpe, op9_katz, op10_recompression)}
 SQL: dict[str, str] = {
+    "op6_chat": r"""
+        WITH said AS (
+            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+                length(replace(replace(replace(text, '&', '&amp;'), '#', '&num;'), '<', '&lt;')) AS text_chars,
+                length(replace(replace(replace(replace(role, '&', '&amp;'), '#', '&num;'), '<', '&lt;'), ':', '&col;')) AS role_chars FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(4 + role_chars + 2 + text_chars + 8) AS BIGINT) AS formatted_chars
+        FROM placed GROUP BY conv_id
+    """,
     "op5_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
