@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import written
+
 MOVE_LIMIT = {"TW": 0.105, "US": 0.5}
 MISSING_LIMIT = 0.02
 PSI_WARN, PSI_DISABLE = 0.25, 0.5
@@ -57,10 +59,21 @@ def zero_volume(bars: DataFrame) -> DataFrame:
     return bars.withColumn("before", F.lag("close").over(w)).where("volume = 0 and close != before").select(*alert("asset", "P1", "TRADABLE", "zero_volume", F.col("d")))
 
 
+def ranks(rows: DataFrame) -> DataFrame:
+    """rows(feature, x), no nulls -> feature, x, i (place by x, from 0) and n (rows of the feature). Rows are dealt by range of feature
+    and x and written, so a feature of any size is numbered by many tasks: each within its range, after the counts of those before."""
+    ranged = written(rows.select("feature", "x").repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id()), "ranks")
+    counts = ranged.groupBy("feature", "part").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("feature")  # a row for each range
+    before = F.coalesce(F.sum("c").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("feature", "part", before.alias("start"), F.sum("c").over(w).alias("n"))
+    within = F.row_number().over(Window.partitionBy("feature", "part").orderBy("x")) - 1
+    return ranged.withColumn("own", within).join(starts, ["feature", "part"]).select("feature", "x", (F.col("start") + F.col("own")).alias("i"), "n")
+
+
 def psi(base: DataFrame, current: DataFrame, buckets: int = 10) -> DataFrame:
     """base and current(feature, x) -> feature, psi. Edges are the base's values at round(i n / buckets), halves to even; a value's bucket is the number of edges below it."""
-    w = Window.partitionBy("feature")
-    ranked = base.where("x is not null").select("feature", "x", (F.row_number().over(w.orderBy("x")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    ranked = ranks(base.where("x is not null"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(buckets - 1)))
     wanted = ranked.groupBy("feature").agg(F.max("n").alias("n")).select("feature", "n", steps.alias("k")).withColumn("i", F.least(F.col("n") - 1, F.bround(F.col("k") * F.col("n") / buckets).cast("long")))
     edges = F.broadcast(wanted.join(ranked.select("feature", "i", "x"), ["feature", "i"]).groupBy("feature").agg(F.sort_array(F.collect_list("x")).alias("edges")))  # buckets - 1 numbers a feature
