@@ -158,6 +158,47 @@ def test_quality_learns_accuracies(spark):
     assert abs(fit["prior"] - 0.8) < 0.03 and all(abs(g - 0.05) < 0.03 for g in fit["good"]) and all(abs(b - 0.8) < 0.06 for b in fit["bad"])
 
 
+def votes_of(text):
+    """The six rules, written out: against (-1), in favour (1) or neither."""
+    n, chars, symbols, dup, repeat, _ = base_of(text)
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    rule = lambda against, favour: -1 if against else 1 if favour else 0
+    return (
+        rule(symbols > 0.3 * n, symbols <= 0.05 * n), rule(symbols > 0.08 * chars, symbols <= 0.01 * chars), rule(chars > 7 * n or chars < 3 * n, 4 * n <= chars <= 6 * n),
+        rule(repeat > 0.4 * n, repeat <= 0.2 * n), rule(lines > 3 and dup > lines / 2, lines > 3 and dup <= lines / 10), rule(n < 50, n >= 100),
+    )
+
+
+def test_quality_posterior_against_a_document_at_a_time(small):
+    """Expectation-maximisation over the documents one by one, with the bounds and starts that the operator states."""
+    given = rows_of(small)
+    votes = [votes_of(r["text"]) for r in given]
+    bound = lambda x, low, high: min(max(x, low), high)
+    prior, good, bad = 0.8, [0.05] * 6, [0.6] * 6
+
+    def posterior(v):
+        a, b = prior, 1 - prior
+        for x, g, w in zip(v, good, bad):
+            if x:
+                a, b = a * (g if x < 0 else 1 - g), b * (w if x < 0 else 1 - w)
+        return a / (a + b)
+
+    for _ in range(20):
+        p = [posterior(v) for v in votes]
+        count = lambda weights, r, wanted: sum(w for w, v in zip(weights, votes) if v[r] in wanted)
+        q = [1 - x for x in p]
+        last = (prior, *good, *bad)
+        prior = bound(sum(p) / len(p), 0.05, 0.98)
+        good = [bound((count(p, r, (-1,)) + 0.05) / (count(p, r, (-1, 1)) + 1), 1e-4, 0.2) for r in range(6)]
+        bad = [bound((count(q, r, (-1,)) + 0.6) / (count(q, r, (-1, 1)) + 1), 0.2, 0.999) for r in range(6)]
+        if all(abs(x - y) < 1e-4 for x, y in zip(last, (prior, *good, *bad))):
+            break
+    want = {r["doc_id"]: posterior(v) for r, v in zip(given, votes)}
+    found = rows_of(quality.judge(small))
+    assert all(math.isclose(r["quality"], want[r["doc_id"]], abs_tol=1e-6) for r in found)
+    assert {r["doc_id"] for r in found if r["kept"]} == {r["doc_id"] for r in given if want[r["doc_id"]] >= 0.5 and not base_of(r["text"])[-1]}
+
+
 def test_quality_keeps_clean_documents(small, spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     kept = Counter((labels[r["doc_id"]], r["kept"]) for r in rows_of(quality.judge(small)) if r["doc_id"] in labels and not r["base_failed"])
@@ -301,12 +342,16 @@ def expected_scores(given, held):
     n, v = sum(one.values()), len(one)
 
     def factors(counts):
-        by = [0] * (katz.MOST_DISCOUNTED + 3)
-        for c in counts.values():
-            by[min(c, katz.MOST_DISCOUNTED + 2)] += 1
-        return katz.discounts(by).factors
-
-    kept = lambda c, f: c - katz.LOSS if c > katz.MOST_DISCOUNTED else c * f[c - 1]
+        """Good-Turing: r counts as (r + 1) n[r + 1] / n[r], scaled so that what is lost is what singletons stand for; r - 1/2 where that fails."""
+        by = Counter(counts.values())
+        rest = 6 * by[6] / by[1] if by[1] else 1.0
+        found = []
+        for r in range(1, 6):
+            d = ((r + 1) * by[r + 1] / by[r] / r - rest) / (1 - rest) if by[r] and rest < 1 else -1.0
+            found.append(d if 0 < d < 1 else (r - 0.5) / r)
+        return found
+
+    kept = lambda c, f: c - 0.5 if c > 5 else c * f[c - 1]
     f1, f2 = factors(one), factors(two)
     uni = {w: kept(c, f1) / n for w, c in one.items()}
     unknown = 1 - sum(uni.values())

@@ -86,6 +86,9 @@ def tile_keys(hashes: np.ndarray) -> np.ndarray:
     that, so that at least parts - difference parts are the same in both. A set's key for a part is the part's whole content, which
     unlike sets with a passage in common rarely share. Empty parts have none; of the others, all but the last few that
     the surplus of equal parts allows. Where empty parts eat up the surplus, and below SMALL shingles, the rarest-by-hash prefix gives the keys.
+    Neither loses a link at the sizes where the schemes meet: sets of n and m <= n that link have m >= 0.8 n, and both then hold the keys of
+    each band in which either may be the larger; a set of n needs an overlap of 0.8 n at least, so two linked sets share one of
+    their first n - 0.8 n + 1 shingles in the common order, and sets below and above SMALL meet in band 0, whose keys the smaller has too.
     """
     n = len(hashes)
     keys = []
