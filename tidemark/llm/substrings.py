@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, mix64, slices, split_all, table
+from .common import buckets_of, hash_words, lean, mix64, slices, split_all, table
 from .graph import signed
 
 WINDOW = 13
@@ -140,10 +140,10 @@ def _by_row(row: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[cuts], np.cumsum(fresh) - 1, items, cuts
 
 
-def to_homes(row: np.ndarray, items: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Packs of what a bucket found for each row, by a bucket of the row itself, so that few records travel, whatever the number of buckets."""
+def to_homes(row: np.ndarray, items: np.ndarray, buckets: int, first: int = 0) -> pa.RecordBatch:
+    """Packs of what was found for each row, by a bucket of the row itself, numbered from `first`, so that few records travel, whatever the number of buckets."""
     rows, which, items, _ = _by_row(row, items)
-    home = (mix64(rows[:, 0] * GOLDEN + rows[:, 1]) % np.uint64(buckets)).astype(np.int64)
+    home = (mix64(rows[:, 0] * GOLDEN + rows[:, 1]) % np.uint64(buckets)).astype(np.int64) + first
     return pack(home[which] if len(which) else np.empty(0, np.int64), which, rows, items)
 
 
@@ -155,20 +155,26 @@ def at_home(parts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(rows[:, 0])), pa.array(signed(rows[:, 1])), pa.array(made, pa.binary())], ["row_id", "text_key", "found"])
 
 
-def by_bucket(judge):
-    """Rows (bucket, payload) in order -> judge(the payloads of one bucket)."""
+def by_bucket(judge, buckets: int | None = None):
+    """Rows (bucket, payload) in order -> judge(the payloads of one bucket). What a block found by itself comes in buckets numbered
+    from `buckets` on, and goes home as it is."""
+
+    def one(bucket: int, parts: list[bytes]) -> pa.RecordBatch:
+        if buckets is None or bucket < buckets:
+            return judge(parts)
+        return pa.RecordBatch.from_arrays([pa.array([bucket - buckets] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
         for batch in batches:
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and parts:
-                    yield judge(parts)
+                    yield one(bucket, parts)
                     parts = []
                 bucket = b
                 parts.append(p)
         if parts:
-            yield judge(parts)
+            yield one(bucket, parts)
 
     return run
 
@@ -184,8 +190,48 @@ def _parsed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return text, place, starts, windows, anchors(h, text, windows)
 
 
+def _ranked(item: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of items that are there more than once, by item, then id; where each such item begins among them; how many it has."""
+    order = np.argsort(item)
+    start = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]]) if len(item) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[start, len(item)])
+    at = order[np.repeat(sizes > 1, sizes)]
+    sizes = sizes[sizes > 1]
+    return at[np.lexsort((ids[at], item[at]))], np.cumsum(sizes) - sizes, sizes
+
+
+def shared_in_block(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items go to their key's bucket, and which are known here to have a key that another id has.
+
+    Of a key that several ids of a block have, only its first and last go on, to tell other blocks that two ids have it.
+    """
+    at, start, sizes = _ranked(key, ids)
+    first, last = at[start], at[start + sizes - 1]
+    several = ids[first] != ids[last]
+    known = at[np.repeat(several, sizes)]
+    sent = np.ones(len(key), bool)
+    sent[known] = False
+    sent[first[several]] = sent[last[several]] = True
+    return np.flatnonzero(sent), known
+
+
+def later_in_block(window: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items go to their window's bucket, those of its smallest id in the block, and which are known here to come after a smaller id."""
+    at, start, sizes = _ranked(window, ids)
+    later = at[ids[at] > np.repeat(ids[at[start]], sizes)]
+    sent = np.ones(len(window), bool)
+    sent[later] = False
+    return np.flatnonzero(sent), later
+
+
 def _keys(buckets: int):
-    """(row id, text key, text) -> packs of the distinct window keys of each text."""
+    """(row id, text key, text) -> packs of the distinct window keys of each text, but for those that are known in their block to be shared."""
+
+    def packs(keys: list, which: list, rows: list) -> Iterator[pa.RecordBatch]:
+        key, own, row = np.concatenate(keys), np.concatenate(which), np.concatenate(rows)
+        sent, known = shared_in_block(key, row[own, 0].view(np.int64))
+        yield pack(key[sent] % np.uint64(buckets), own[sent], row, key[sent])
+        yield to_homes(row[own[known]], (key[known] >> np.uint64(32)).astype("<u4"), buckets, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, which, rows, held = [], [], [], 0
@@ -204,10 +250,10 @@ def _keys(buckets: int):
                 rows.append(ids[at : at + len(texts)])
                 held += len(keys[-1])
                 if held >= PACKED:
-                    yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.concatenate(rows), flat)
+                    yield from packs(keys, which, rows)
                     keys, which, rows, held = [], [], [], 0
         if held:
-            yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.concatenate(rows), flat)
+            yield from packs(keys, which, rows)
 
     return run
 
@@ -224,11 +270,18 @@ def _shared(buckets: int):
         many = np.repeat(first != last, np.diff(np.r_[start, len(key)]))
         return to_homes(row[many], (key[many] >> np.uint64(32)).astype("<u4"), buckets)
 
-    return by_bucket(judge)
+    return by_bucket(judge, buckets)
 
 
 def _windows(buckets: int):
-    """(row id, text key, text, shared keys) -> packs of hashes and places of the windows that have such a key."""
+    """(row id, text key, text, shared keys) -> packs of hashes and places of the windows that have such a key, but for those that a
+    smaller id of their block has too."""
+
+    def packs(keys: list, which: list, rows: list, places: list) -> Iterator[pa.RecordBatch]:
+        window, own, row, place = np.concatenate(keys), np.concatenate(which), np.stack(rows), np.concatenate(places)
+        sent, known = later_in_block(window, row[own, 0].view(np.int64))
+        yield pack(window[sent] % np.uint64(buckets), own[sent], row, window[sent], place[sent])
+        yield to_homes(row[own[known]], place[known].astype("<u4"), buckets, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, which, rows, places, held = [], [], [], [], 0
@@ -249,10 +302,10 @@ def _windows(buckets: int):
                     rows.append(ids[at + i])
                     held += len(keys[-1])
                 if held >= PACKED:
-                    yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.stack(rows), flat, np.concatenate(places))
+                    yield from packs(keys, which, rows, places)
                     keys, which, rows, places, held = [], [], [], [], 0
         if held:
-            yield pack((flat := np.concatenate(keys)) % np.uint64(buckets), np.concatenate(which), np.stack(rows), flat, np.concatenate(places))
+            yield from packs(keys, which, rows, places)
 
     return run
 
@@ -269,7 +322,7 @@ def _repeats(buckets: int):
         later = row[:, 0].view(np.int64) > first
         return to_homes(row[later], place[later].astype("<u4"), buckets)
 
-    return by_bucket(judge)
+    return by_bucket(judge, buckets)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +352,16 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word goes if it lies in a window of WINDOW words that also starts in a row of a smaller id. Windows are those of the input.
     First every text sends its windows' keys, distinct ones and mostly names of symbols of several words; then only texts with a key that
     another id has send those windows' hashes and places; the smallest id of each hash keeps it. Both steps travel packed by hash bucket.
+    What a block of texts can tell by itself goes straight home: of a key or window, however many texts have it, a block sends its bucket
+    two ids' or the smallest id's. A bucket gathers about BUCKET_BYTES of text, whatever the input's size.
 
     Defined cases: null and blank texts have no words; rows with a null id come after all ids and lose to them, and not to each other;
     rows of equal ids don't take words from each other; repeats inside one row stay; an empty table gives an empty result;
     other columns are ignored. Texts travel once, by id and text hash, and both joins read the same shuffle.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    buckets = buckets_of(docs, text)
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), key_of(text).alias("text_key"), text.alias("text"))
     found = "row_id bigint, text_key bigint, found binary"
     grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
