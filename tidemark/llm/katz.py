@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, mix64, slices, split_all, staged, table
+from .common import buckets_of, hash_words, lean, mix64, slices, split_all, staged, table
 from .toxicity import remainder
 
 #: Counts up to this are discounted by Good-Turing; larger ones lose LOSS, so that every history leaves something to back off to.
@@ -403,7 +403,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     back to the block; texts travel as places in its list of bigrams.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_of(docs, F.col("text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
     words, unigrams = count_unigrams(rows.where("not held_out"), buckets)
     model = spark.sparkContext.broadcast(unigrams)  # FREQUENT words and a few numbers
