@@ -63,7 +63,7 @@ class _Block:
             self.counts.append(len(own))
             found += own
             self.size += len(t)
-        self.ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
+        self.ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
         self.group += [self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)]
         self.docs += len(texts)
 
@@ -76,10 +76,17 @@ class _Block:
         n = len(terms)
         rank = np.empty(n, np.int64)
         rank[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, n)] = np.arange(n)
-        ids = rank[np.concatenate(self.ids)]
-        pairs, times = np.unique(np.repeat(np.arange(self.docs), self.counts) * n + ids, return_counts=True)
-        doc, ids = pairs // n, pairs % n
-        group = np.array(self.group)[doc]
+        self.numbers.clear()
+        pairs = np.repeat(np.arange(self.docs) * n, self.counts)
+        pairs += rank[np.concatenate(self.ids)]
+        self.ids.clear()
+        pairs.sort()
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        times = np.diff(first, append=len(pairs)).astype(np.int32)
+        pairs = pairs[first]
+        doc, ids = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs, first
+        group = np.array(self.group, np.int32)[doc]
         langs = sorted({lang for lang, _ in self.groups})
         lang_of = np.array([langs.index(lang) for lang, _ in self.groups])
         names = [source for _, source in self.groups]
@@ -92,7 +99,7 @@ class _Block:
             return
         used = np.unique(ids)
         own = [terms[i] + b"\0" for i in used.tolist()]
-        ids = np.searchsorted(used, ids)
+        ids = np.searchsorted(used, ids).astype(np.int32)
         n, lengths = len(own), np.fromiter(map(len, own), np.int64, len(used))
         shared = shared_bytes([t[:-1] for t in own])
         shared[0] = -1
@@ -110,8 +117,11 @@ class _Block:
             held = np.bincount(found[new], minlength=prefix[-1] + 1)
             first = np.flatnonzero((shared < level) & (done >= j))
             docs[(ends - width)[first] + j - since[first]] = held[prefix[first]]
-        by_source, at, which = np.unique(ids * len(names) + group, return_index=True, return_inverse=True)
-        counts = np.bincount(which, weights=times).astype(np.int64)
+        by_source = ids.astype(np.int64) * len(names) + group
+        order = np.argsort(by_source)
+        by_source = by_source[order]
+        first = np.flatnonzero(np.r_[True, by_source[1:] != by_source[:-1]])
+        by_source, counts = by_source[first], np.add.reduceat(times[order].astype(np.int64), first)
         cuts = np.r_[np.searchsorted(by_source, np.arange(n) * len(names)), len(by_source)].astype(np.int32)
         source = pa.array(names, pa.string()).take(pa.array(by_source % len(names)))
         columns = [
