@@ -11,6 +11,7 @@ from ..operators import features as fe
 from ..operators import grid as g
 from ..operators import rotation as ro
 from ..operators import universe as un
+from ..sources import landing, reviews
 from .registry import query, rounded
 from .research import EWMA, MRET, OWN, TREND, daily, daily_returns, month_returns
 from .rotation import HOW, SCORED, scores
@@ -54,15 +55,21 @@ def part_queries(t: Tables) -> DataFrame:
 def jn_alias_fuzzy(t: Tables) -> DataFrame:
     """What each name is like among the aliases; tests hold it against all pairs."""
     names = part_queries(t).select(en.normalized(F.col("query")).alias("norm")).distinct()
-    return rounded(en.fuzzy(names, part_aliases(t)))
+    return rounded(en.fuzzy(names, part_aliases(t)).drop("candidates"))
 
 
 @query()
 def pipe_entity_resolution(t: Tables) -> DataFrame:
-    """Codes, then aliases, then similar aliases; tests hold it against a query at a time."""
+    """Codes, then aliases, then similar aliases; what is in doubt is put on the review queue, by two runs over the same queries, and once there:
+    n_items counts the query's items. Tests hold it against a query at a time."""
     codes = t.read("part").select((F.col("p_partkey") + 100_000).cast("string").alias("code"), F.col("p_partkey").alias("entity_id"))
     own = t.read("part").where("p_partkey % 3 = 0").select((F.col("p_partkey") + 100_000).cast("string").alias("query"))
-    return rounded(en.resolve(part_queries(t).unionByName(own).distinct(), codes, part_aliases(t)))
+    queue, aliases = landing.folder(t.spark, "reviews"), landing.written(part_aliases(t), "aliases")
+    found = landing.written(en.resolve(part_queries(t).unionByName(own).distinct(), codes, aliases), "resolved")
+    for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        reviews.queue(found, queue, "part", at)
+    items = reviews.waiting(t.spark, queue).groupBy("query").agg(F.count("*").alias("n_items"))
+    return rounded(found.drop("candidates").join(items, "query", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0))))
 
 
 def named_master(t: Tables) -> DataFrame:
