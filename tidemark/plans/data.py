@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as g
 from ..operators import pit
 from ..operators import quality as q
+from ..sources import caches, landing
 from .registry import query, rounded
 from .views import Tables
 
@@ -122,16 +123,50 @@ def win_repair_all(t: Tables) -> DataFrame:
 
 
 @query("""SELECT d, asset, coalesce(n.close, o.close) AS close FROM (SELECT d, asset, close FROM px_daily WHERE d < DATE '1999-01-01') o FULL JOIN (SELECT d, asset, CASE WHEN day(d) <> 7 THEN close + 1 END AS close FROM px_daily WHERE d >= DATE '1998-12-20') n USING (d, asset)""")
-def sink_price_cache(t: Tables) -> DataFrame:
+def sink_price_upsert(t: Tables) -> DataFrame:
+    """Cell by cell the last price that isn't null, before gaps are filled and jumps repaired."""
     p = t.px_daily.select("d", "asset", "close")
     fresh = p.where("d >= date'1998-12-20'").withColumn("close", F.when(F.dayofmonth("d") != 7, F.col("close") + 1))
     return pit.upsert(p.where("d < date'1999-01-01'"), fresh, ["d", "asset"], "close")
 
 
+def _sql_of_update(name: str, merged: str) -> str:
+    """SQL of filling and repairing the merged prices."""
+    return f"""
+    m{name} AS ({merged}),
+    g{name} AS (SELECT d, asset, close FROM (SELECT DISTINCT d FROM m{name}) CROSS JOIN (SELECT DISTINCT asset FROM m{name}) LEFT JOIN m{name} USING (d, asset)),
+    f{name} AS (SELECT d, asset, last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY d ROWS UNBOUNDED PRECEDING) AS close FROM g{name}),
+    r{name} AS (SELECT d, asset, close, close / lag(close) OVER (PARTITION BY asset ORDER BY d) AS ratio FROM f{name} WHERE close IS NOT NULL),
+    e{name} AS (SELECT *, CASE WHEN ratio > 0 AND (ratio < 0.6 OR ratio > 1.4) THEN ratio END AS event FROM r{name}),
+    c{name} AS (
+        SELECT d, asset, close * exp(coalesce(sum(ln(event)) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS close FROM e{name}
+    )"""
+
+
+CACHED = ",".join((
+    _sql_of_update("1", "SELECT d, asset, close FROM px_daily WHERE d < DATE '1999-01-01'"),
+    _sql_of_update("2", """SELECT d, asset, coalesce(n.close, o.close) AS close FROM c1 AS o
+        FULL JOIN (SELECT d, asset, CASE WHEN day(d) <> 7 THEN close + 1 END AS close FROM px_daily WHERE d >= DATE '1998-12-20') AS n USING (d, asset)"""),
+))
+
+
+@query("SELECT d, asset, round(ln(close), 6) AS log_close FROM c2", CACHED)
+def sink_price_cache(t: Tables) -> DataFrame:
+    """The cache after two updates, read back from its files: what was there, then later prices with an overlap and holes; filled and repaired each time."""
+    p, path = t.px_daily.select("d", "asset", "close"), landing.folder(t.spark, "price-cache")
+    fresh = p.where("d >= date'1998-12-20'").withColumn("close", F.when(F.dayofmonth("d") != 7, F.col("close") + 1))
+    caches.update_prices(p.where("d < date'1999-01-01'"), path)
+    caches.update_prices(fresh, path)
+    return caches.read(t.spark, path).select("d", "asset", F.round(F.log("close"), 6).alias("log_close"))
+
+
 @query("SELECT d, asset, total_net FROM flows_daily")
 def sink_flow_cache(t: Tables) -> DataFrame:
-    f = t.flows_daily.select("d", "asset", "total_net").withColumn("seq", F.lit(0))
-    return pit.append_missing(f.where("d < date'1998-01-01'"), f.where("d >= date'1997-06-01'"), "d", ["d", "asset"], "seq").drop("seq")
+    """The flows after three updates, the last of which has nothing new, read back from the table's files."""
+    f, path = t.flows_daily.select("d", "asset", "total_net").withColumn("seq", F.lit(0)), landing.folder(t.spark, "flow-cache")
+    for rows in (f.where("d < date'1998-01-01'"), f.where("d >= date'1997-06-01'"), f):
+        caches.update_flows(rows, path)
+    return caches.flows(t.spark, path, "d date, asset string, total_net double").select("d", "asset", "total_net")
 
 
 @query("SELECT asset, min(d) AS valid_from, CASE WHEN max(d) < (SELECT max(d) FROM px_daily) THEN max(d) END AS valid_to FROM px_daily GROUP BY asset")
