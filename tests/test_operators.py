@@ -12,7 +12,7 @@ from tidemark import catalogue
 from tidemark.functions import scalars
 from tidemark.operators import entities, features, flows, grid, groups, ledger, pit, quality, risk, rotation, text, validation
 from tidemark.sources import landing
-from tidemark.streaming import stateful, streams
+from tidemark.streaming import processors, stateful, streams
 
 SMALL = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -141,7 +141,7 @@ def test_streams_keep_state_across_batches_as_the_sequential_rules_do(spark):
     draw = random.Random(9)
     rows = [(i, draw.randrange(3), f"k{draw.randrange(40)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=25 * i + draw.randrange(20)), float(draw.choice((100, 104, 120))), 100.0) for i in range(120)]
     df = spark.createDataFrame(rows, "event_id long, entity long, idempotency_key string, ts timestamp, price double, ref_price double")
-    got = {r["event_id"]: (r["duplicate"], r["halted"], r["far"]) for r in streams.drained(stateful.orders_guarded(streams.as_ordered_stream(df, "orders", "ts", 6), limit=2), "guarded").collect()}
+    got = {r["event_id"]: (r["duplicate"], r["halted"], r["far"]) for r in streams.drained(processors.orders_guarded(streams.as_ordered_stream(df, "orders", "ts", 6), limit=2), "guarded", conf=processors.STORE).collect()}
     seen, recent, want = set(), [], {}
     for i, e, key, ts, price, ref in sorted(rows, key=lambda r: (r[3], r[0])):
         halted = sum(0 < (ts - at).total_seconds() < 60 for who, at in recent if who == e) >= 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import text as tx
+from ..streaming import processors as pr
 from ..streaming import stateful as sf
 from ..streaming import streams as st
 from .records import PERIODS, signal_periods
@@ -16,11 +17,36 @@ from .views import Tables
 
 
 @query("SELECT DISTINCT idempotency_key FROM order_stream")
-def st_dedupe(t: Tables) -> DataFrame:
+def st_dedupe_all(t: Tables) -> DataFrame:
+    """The first of each key over all time: for keys that may come back after years, at the price of remembering all."""
     rows = t.order_stream.select("idempotency_key", F.col("ts").cast("timestamp").alias("ts"))
     return st.drained(st.deduplicated(st.as_stream(rows, "orders"), "idempotency_key", "ts", "3650 days"), "deduped").select("idempotency_key")
 
 
+DELIVERED = """sent AS (
+        SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) AS sent_us FROM events UNION ALL SELECT event_id, epoch_us(ts), epoch_us(ts) + 3600000000 FROM events WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id, epoch_us(ts), (SELECT max(epoch_us(ts)) FROM events) + 7200000000 FROM events WHERE event_id % 7 = 0
+    ),
+    numbered AS (SELECT *, ((sent_us - min(sent_us) OVER ()) * 4) // (max(sent_us) OVER () - min(sent_us) OVER () + 1) AS batch FROM sent),
+    bounds AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS bound FROM numbered GROUP BY batch)"""
+
+
+@query("SELECT event_id, count(*) FILTER (bound IS NULL OR us >= bound) > 0 AS kept, count(*) FILTER (us < bound) AS n_late FROM numbered JOIN bounds USING (batch) GROUP BY event_id", DELIVERED)
+def st_dedupe(t: Tables) -> DataFrame:
+    """Envelopes, some delivered again after an hour and some once more at the very end: each is kept once, what comes a day late goes to a table of
+    its own, and keys are forgotten after that day. kept is false for none, as every first delivery is in time."""
+    e = t.read("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    end = F.unix_micros(F.lit(e.agg(F.max("ts")).first()[0])) + 7_200_000_000
+    us = F.unix_micros("ts")
+    sent = e.withColumn("at", us).unionByName(e.where("event_id % 3 = 0").withColumn("at", us + 3_600_000_000)).unionByName(e.where("event_id % 7 = 0").withColumn("at", end))
+    stream = st.as_ordered_stream(sent.withColumn("at", F.timestamp_micros("at")), "envelopes", "at")
+    fresh, late = st.drained_in_time(stream, "in-time", "ts", 86_400)
+    once = st.drained(st.deduplicated(fresh, "event_id", "ts", "1 day"), "deduped")
+    late = late.groupBy("event_id").agg(F.count("*").alias("n_late"))
+    kept = once.groupBy("event_id").agg((F.count("*") == 1).alias("kept"))
+    return kept.join(late, "event_id", "full").select("event_id", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
 @query("SELECT idempotency_key, count(*) AS n FROM order_stream GROUP BY ALL")
 def st_replay(t: Tables) -> DataFrame:
     """Two groups of readers, each with progress of its own, see the same rows."""
@@ -75,7 +101,19 @@ GUARDED = """marked AS (SELECT *, row_number() OVER (PARTITION BY idempotency_ke
 def st_order_guard(t: Tables) -> DataFrame:
     """Duplicates, orders too close to others (one within a minute, as these are few), and prices far off."""
     rows = t.order_stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return st.drained(sf.orders_guarded(st.as_ordered_stream(rows, "orders", "ts"), limit=1), "guarded")
+    return st.drained(pr.orders_guarded(st.as_ordered_stream(rows, "orders", "ts"), limit=1, remembered_ms=86_400_000 * 60), "guarded", conf=pr.STORE)
+
+
+BEATS = """beats AS (SELECT entity, epoch_us(created_at) AS us, lag(epoch_us(created_at)) OVER (PARTITION BY entity ORDER BY created_at) AS before, lead(epoch_us(created_at)) OVER (PARTITION BY entity ORDER BY created_at) AS after FROM alerts),
+    clock AS (SELECT max(epoch_us(created_at)) // 1000 AS ms FROM alerts)"""
+
+
+@query("""SELECT entity, us AS at_us, 'NORMAL' AS mode FROM beats WHERE before IS NULL OR us - before > 300000000
+    UNION ALL SELECT entity, us + 300000000, 'CLOSE_ONLY' FROM beats, clock WHERE after - us > 300000000 OR (after IS NULL AND (us + 300000000) // 1000 + 1 <= ms)""", BEATS)
+def st_heartbeat(t: Tables) -> DataFrame:
+    """Every change between NORMAL and CLOSE_ONLY; silent entities are closed by a timer."""
+    rows = t.alerts.select("event_id", "entity", F.col("created_at").cast("timestamp").alias("at"))
+    return st.drained(pr.modes_switched(st.as_ordered_stream(rows, "beats", "at")), "modes", conf=pr.STORE)
 
 
 @query("""SELECT asset, d, coalesce(last_value(CASE WHEN run >= 5 THEN trend END IGNORE NULLS) OVER w, first_value(trend) OVER w) AS effective FROM (

@@ -90,7 +90,7 @@ def fn_price_deviation(t: Tables) -> DataFrame:
 
 @query("""SELECT entity, count(*) AS n, max(gap) AS longest, count(*) FILTER (gap > 300000000) AS lapses, CASE WHEN (SELECT max(epoch_us(created_at)) FROM alerts) - max(us) > 300000000 THEN 'CLOSE_ONLY' ELSE 'NORMAL' END AS mode
     FROM (SELECT entity, epoch_us(created_at) AS us, CAST(epoch_us(lead(created_at) OVER (PARTITION BY entity ORDER BY created_at)) - epoch_us(created_at) AS BIGINT) AS gap FROM alerts) GROUP BY entity""")
-def st_heartbeat(t: Tables) -> DataFrame:
+def agg_heartbeat(t: Tables) -> DataFrame:
     """Each entity's lapses, and what it may do at the time of the last row of all."""
     us = F.unix_micros(F.col("created_at").cast("timestamp"))
     gaps = t.alerts.withColumn("at", us).withColumn("gap", F.lead(us).over(Window.partitionBy("entity").orderBy("created_at")) - us)

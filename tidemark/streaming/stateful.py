@@ -1,4 +1,4 @@
-"""Operators that keep state for each key of a stream: alert routing, order guards, held regimes and signal health.
+"""Operators that keep state for each key of a stream: alert routing, held regimes and signal health.
 
 Each works on one key's rows of a batch in the order of time and id, and carries the rest in its state, which holds a bounded recent
 past and goes when the watermark has passed a key's last row by the time it can still matter.
@@ -50,24 +50,6 @@ def alerts_routed(stream: DataFrame, hourly: int = 5) -> DataFrame:
     return stateful(stream, "entity", "created_at", step, lambda: {"recent": [], "counted": [], "hour": []}, "event_id long, entity long, routed string, digest string", 86_400_000)
 
 
-def orders_guarded(stream: DataFrame, limit: int = 10, seconds: int = 60, deviation: float = 0.05, remembered_ms: int = 86_400_000 * 60) -> DataFrame:
-    """orders(event_id, entity, idempotency_key, ts, price, ref_price) -> event_id, duplicate, halted and far. An order is halted if `limit`
-    or more first ones came within the seconds before it; keys are remembered for remembered_ms after their entity's last order."""
-
-    def step(held: dict, row: dict) -> dict:
-        now = row["ts"].value // 1000  # microseconds
-        held["recent"] = [x for x in held["recent"] if now - x < seconds * 1_000_000]
-        halted = sum(x < now for x in held["recent"]) >= limit
-        duplicate = row["idempotency_key"] in held["seen"]
-        if not duplicate:
-            held["seen"][row["idempotency_key"]] = 1
-            held["recent"].append(now)
-        far = bool(row["ref_price"] > 0 and abs(row["price"] / row["ref_price"] - 1) > deviation)
-        return {"event_id": row["event_id"], "duplicate": duplicate, "halted": halted, "far": far}
-
-    return stateful(stream, "entity", "ts", step, lambda: {"recent": [], "seen": {}}, "event_id long, duplicate boolean, halted boolean, far boolean", remembered_ms)
-
-
 def states_held(stream: DataFrame, need: int = 5, keep_ms: int = 86_400_000 * 400) -> DataFrame:
     """observations(event_id, key, at, state) -> key, at, effective: a state takes over once it was seen `need` times running."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.landing import folder
@@ -59,23 +60,65 @@ def drained_apart(stream: DataFrame, label: str, good: Column) -> tuple[DataFram
     return tuple(spark.read.schema(stream.schema).parquet(p) for p in (kept, gone))
 
 
-def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+@contextlib.contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """The settings while a query starts, which is when it reads them."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append", conf: dict[str, str] | None = None, progress_of: list | None = None) -> DataFrame:
     """Run the stream over all that is there, with its progress in the shared folder, and read what it wrote.
 
-    Appended rows go to a file sink; in complete mode every batch replaces the table before it.
+    Appended rows go to a file sink; in complete mode every batch replaces the table before it. conf holds while it starts; progress_of gets
+    what the query says about each of its batches.
     """
     spark = stream.sparkSession
     out, progress = folder(spark, label), folder(spark, f"{label}-progress")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        keep: Callable = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        query = writer.foreachBatch(keep).start()
-    query.awaitTermination()
+    with _set(spark, conf or {}):
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            keep: Callable = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+            query = writer.foreachBatch(keep).start()
+        query.awaitTermination()
+    if progress_of is not None:
+        progress_of += list(query.recentProgress)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drained_in_time(stream: DataFrame, label: str, at: str, within_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Run the stream and part its rows: those not older than `within_seconds` before the latest row of the batches before, as a stream for what
+    follows, and the late ones, as a table.
+
+    The latest time so far is kept in a table of its own, a row a batch, written before the batch's rows, and read without the row of the batch itself,
+    so that a batch that is repeated parts its rows as it did at first.
+    """
+    spark = stream.sparkSession
+    kept, gone, clock, progress = (folder(spark, f"{label}{x}") for x in ("", "-late", "-clock", "-progress"))
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    times = "latest bigint, batch_number bigint"
+
+    def part(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max(us)).first()[0]
+        spark.createDataFrame([(now,)], "latest long").write.mode("overwrite").parquet(f"{clock}/batch_number={number}")
+        bound = spark.read.schema(times).parquet(clock).where(F.col("batch_number") < number).agg(F.max("latest")).first()[0]
+        late = F.lit(False) if bound is None else us < bound - within_seconds * 1_000_000
+        batch.where(~late).write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{gone}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(part).start().awaitTermination()
+    again = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(f"{kept}/batch=*")
+    return again, spark.read.schema(stream.schema).parquet(f"{gone}/batch=*")
+
+
 def deduplicated(stream: DataFrame, key: str, at: str, within: str) -> DataFrame:
     """The first row of each key; a key is forgotten once the watermark has passed it by `within`."""
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
