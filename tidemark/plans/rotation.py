@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as g
 from ..operators import groups as gr
 from ..operators import rotation as ro
+from ..operators import sweep as sw
 from .registry import query, rounded
 from .views import Tables
 
@@ -124,12 +125,69 @@ def pipe_rotation_backtest(t: Tables) -> DataFrame:
 
 @query("SELECT method, d, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(net, 6) AS net FROM net", SCORED)
 def pipe_rotation_sweep(t: Tables) -> DataFrame:
-    grid, safe = month_grid(t).where("ord > 0"), defensive(t)
-    out = None
-    for m in METHODS:  # one plan; the runs share the scan and the grid by reused exchanges
-        run = ro.backtest(grid, ro.Rotation(weighting=m, defensive=safe)).withColumn("method", F.lit(m))
-        out = run if out is None else out.unionByName(run)
-    return rounded(out.select("method", "d", "gross", "turnover", "net"))
+    """A run for each way of weighting."""
+    out = sw.sweep(month_grid(t).where("ord > 0").withColumn("frequency", F.lit("Monthly")), configurations(t, frequencies=("Monthly",), tops=(5,), lookbacks=("1-3-6",)))
+    return rounded(out.select(F.split("config_id", "/")[2].alias("method"), "d", "gross", "turnover", "net"))
+
+
+#: Lookbacks by name: rows back and their weights.
+LOOKBACKS = {"1-3-6": {1: 0.5, 3: 0.3, 6: 0.2}, "1": {1: 1.0}, "2-12": {2: 1.0, 12: 3.0}}
+
+
+def configurations(t: Tables, frequencies: tuple = ("Weekly", "Monthly"), tops: tuple = (3, 5), weightings: tuple = METHODS, lookbacks: tuple = tuple(LOOKBACKS), risk_adjusted: tuple = (False,)) -> DataFrame:
+    """Every combination, as a table."""
+    safe = defensive(t)
+    rows = [
+        (f"{f}/{n}/{w}/{k}/{'risk' if r else 'plain'}", f, n, w, LOOKBACKS[k], [0.4, 0.3, 0.2, 0.1], True, r, 6, 10.0 if f == "Monthly" else 25.0, safe)
+        for f in frequencies for n in tops for w in weightings for k in lookbacks for r in risk_adjusted
+    ]
+    return t.spark.createDataFrame(rows, sw.CONFIG)
+
+
+def swept_grids(t: Tables) -> DataFrame:
+    weeks = t.kept("week_grid", lambda: ro.panel(t.px_daily, t.assets, "Weekly"))
+    both = weeks.withColumn("frequency", F.lit("Weekly")).unionByName(month_grid(t).withColumn("frequency", F.lit("Monthly")))
+    return both.where("ord > 0")
+
+
+SWEPT = """
+per AS (SELECT 'Monthly' AS frequency, date_trunc('month', d) AS period, d FROM (SELECT DISTINCT d FROM px_daily) UNION ALL SELECT 'Weekly', d + CAST((5 - isodow(d) + 7) % 7 AS INTEGER), d FROM (SELECT DISTINCT d FROM px_daily)),
+cal AS (SELECT frequency, period, max(d) AS d, row_number() OVER (PARTITION BY frequency ORDER BY period) AS pos FROM per GROUP BY frequency, period),
+sampled AS (SELECT c.frequency, c.pos, p.asset, arg_max(p.close, p.d) AS close FROM px_daily AS p JOIN per ON per.d = p.d JOIN cal AS c ON c.frequency = per.frequency AND c.period = per.period GROUP BY ALL),
+gs AS (SELECT c.frequency, c.d, c.pos, a.asset, a.ord, s.close FROM cal AS c CROSS JOIN assets AS a LEFT JOIN sampled AS s ON s.frequency = c.frequency AND s.pos = c.pos AND s.asset = a.asset WHERE a.ord > 0),
+rets AS (SELECT *, close / lag(close) OVER (PARTITION BY frequency, asset ORDER BY pos) - 1 AS ret FROM gs),
+vs AS (SELECT *, CASE WHEN count(ret) OVER w = 6 THEN stddev_samp(ret) OVER w * sqrt(CASE frequency WHEN 'Weekly' THEN 52 ELSE 12 END) END AS vol FROM rets WINDOW w AS (PARTITION BY frequency, asset ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+lk AS (SELECT * FROM (VALUES ('1-3-6', 1, 0.5::DOUBLE), ('1-3-6', 3, 0.3), ('1-3-6', 6, 0.2), ('1', 1, 1.0), ('2-12', 2, 0.25), ('2-12', 12, 0.75)) AS x(lookbacks, k, w)),
+raws AS (
+    SELECT g.frequency, g.pos, g.asset, lookbacks, CASE WHEN count(g.close / p.close) = any_value(n) THEN sum(w * (g.close / p.close - 1)) END AS raw
+    FROM gs AS g CROSS JOIN (SELECT *, count(*) OVER (PARTITION BY lookbacks) AS n FROM lk) AS l LEFT JOIN gs AS p ON p.frequency = g.frequency AND p.asset = g.asset AND p.pos = g.pos - l.k GROUP BY ALL
+),
+cf AS (
+    SELECT frequency || '/' || top_n || '/' || weighting || '/' || lookbacks || '/' || kind AS config_id, *, CASE frequency WHEN 'Weekly' THEN 0.0025::DOUBLE ELSE 0.001 END AS fee
+    FROM (VALUES ('Weekly'), ('Monthly')) AS a(frequency), (VALUES (3), (5)) AS b(top_n), (VALUES ('Equal weight'), ('Momentum weight'), ('Inverse volatility'), ('Custom rank weights')) AS c(weighting),
+        (SELECT DISTINCT lookbacks FROM lk), (VALUES ('plain'), ('risk')) AS e(kind)
+),
+sc AS (SELECT cf.*, v.d, v.pos, v.asset, v.ord, v.ret, v.vol, CASE kind WHEN 'risk' THEN raw / nullif(vol, 0) ELSE raw END AS score FROM cf JOIN vs AS v USING (frequency) JOIN raws AS r ON r.frequency = cf.frequency AND r.lookbacks = cf.lookbacks AND r.pos = v.pos AND r.asset = v.asset),
+tp AS (SELECT *, row_number() OVER (PARTITION BY config_id, d ORDER BY score DESC, ord) AS rnk FROM sc WHERE ord > 1 AND score > 0 QUALIFY rnk <= top_n),
+wt AS (
+    SELECT config_id, d, asset, CASE weighting WHEN 'Equal weight' THEN 1.0::DOUBLE / count(*) OVER w WHEN 'Momentum weight' THEN score / sum(score) OVER w
+        WHEN 'Inverse volatility' THEN coalesce((1 / nullif(vol, 0)) / sum(1 / nullif(vol, 0)) OVER w, CASE WHEN sum(1 / nullif(vol, 0)) OVER w IS NULL THEN 1.0::DOUBLE / count(*) OVER w ELSE 0 END)
+        ELSE coalesce([0.4, 0.3, 0.2, 0.1][rnk]::DOUBLE, 0) / sum(coalesce([0.4, 0.3, 0.2, 0.1][rnk]::DOUBLE, 0)) OVER w END AS weight
+    FROM tp WINDOW w AS (PARTITION BY config_id, d)
+),
+hd AS (SELECT s.config_id, s.fee, s.d, s.pos, s.asset, s.ret, CASE WHEN s.ord > 1 THEN s.score END AS score,
+    coalesce(w.weight, CASE WHEN s.ord = 1 AND NOT EXISTS (SELECT 1 FROM wt WHERE wt.config_id = s.config_id AND wt.d = s.d) THEN 1.0 END, 0) AS weight FROM sc AS s LEFT JOIN wt AS w ON w.config_id = s.config_id AND w.d = s.d AND w.asset = s.asset),
+dp AS (SELECT *, lag(weight, 1, 0) OVER (PARTITION BY config_id, asset ORDER BY pos) AS dep FROM hd),
+mv AS (SELECT *, abs(dep - lag(dep) OVER (PARTITION BY config_id, asset ORDER BY pos)) AS moved FROM dp),
+dy AS (SELECT config_id, d, pos, any_value(fee) AS fee, coalesce(sum(dep * ret), 0) AS gross, coalesce(sum(moved) / 2, 0) AS turnover, count(score) AS n FROM mv GROUP BY config_id, d, pos),
+st AS (SELECT config_id, min(pos) + 1 AS start FROM dy WHERE n > 0 GROUP BY config_id)
+"""
+
+
+@query("SELECT config_id, d, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(turnover * fee, 6) AS cost, round(gross - turnover * fee, 6) AS net FROM dy JOIN st USING (config_id) WHERE pos >= start", SWEPT)
+def pipe_rotation_sweep_table(t: Tables) -> DataFrame:
+    """Ninety-six configurations: frequencies, numbers held, weightings, lookbacks, scores by themselves or by risk, and costs."""
+    return rounded(sw.sweep(swept_grids(t), configurations(t, risk_adjusted=(False, True))).drop("pos"))
 
 
 @query("SELECT d, asset, round(dep, 6) AS deployed, round(coalesce(moved, 0), 6) AS moved FROM moves WHERE method = 'Equal weight' AND asset <> (SELECT asset FROM assets WHERE ord = 0)", SCORED)
