@@ -6,11 +6,12 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import digests
-from tidemark.llm.common import discard, recorded, staged, table
+from tidemark.llm.common import discard, numbered, recorded, staged, table
 from tidemark.llm.jaccard import keep_one
 from tidemark.llm.mixing import in_training_order
 from tidemark.llm.quality import keep_good
@@ -45,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates one document stays, of the smallest id."""
     return keep_one(docs)
 
 
@@ -61,16 +62,28 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_training_order(docs)
 
 
+def _place(docs: DataFrame) -> Column:
+    """A row's place in training order: its file's number, the file's own part where a task cut it into several, and its place there. A table that
+    isn't read from files has the order of its partitions."""
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    return number(r"part-(\d+)") * (1 << 43) + number(r"-c(\d+)\.") * (1 << 33) + F.col("_metadata.row_index")
+
+
 @stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's number of tokens, and digests of its ids and of the text that they decode to; place rises in training order.
 
-    docs is read from the files that the stage before wrote in order: a row's place is its file's number and its own in the file.
+    docs is read from the files that the stage before wrote in order. Results come back by a number for each row, so that rows of repeated ids stay
+    apart however the files are cut.
     """
-    place = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
-    placed = docs.select(place.alias("place"), "doc_id", "text")
-    encoded = digests(placed, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "place").withColumnRenamed("doc_id", "place")
-    return encoded.join(placed.select("place", "doc_id"), "place")
+    rows = numbered(docs.select("doc_id", "text", _place(docs).alias("place")))
+    texts = rows.select("number", F.col("row.text").alias("text"))
+    encoded = digests(texts, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "number").withColumnRenamed("doc_id", "number")
+    return encoded.join(rows.select("number", "row.place", "row.doc_id"), "number").drop("number")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]
