@@ -86,6 +86,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs -> row (its columns, as a struct) and number: one for each row, whatever its id and however often it occurs.
+
+    Rows are numbered where they are read, so that several reads of docs give a row the same number. A table that comes out of a shuffle, which may deal
+    its rows anew each time, is written first.
+    """
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    shuffled = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+    return staged(out, "numbered") if shuffled else out
+
+
 def buckets_of(docs: DataFrame, text: Column, size: int = BUCKET_BYTES) -> int:
     """Hash buckets for the texts of docs: one for each `size` bytes, spark.sql.shuffle.partitions at least. Reads the texts once, for their sizes."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0

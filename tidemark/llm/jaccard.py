@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_of, hash_words, lean, mix64, slices, split_all, staged, table
+from .common import buckets_of, hash_words, lean, mix64, numbered, slices, split_all, staged, table
 from .graph import Forest, components, signed
 
 NGRAM = 5
@@ -60,8 +60,8 @@ def set_number(fp: bytes) -> int:
     return int.from_bytes(fp[:8], "little")
 
 
-ROWS = "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, number bigint, bits binary, bucket int, payload binary"
-KINDS = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_shingles": pa.int64(), "fp": pa.binary(), "number": pa.int64(), "bits": pa.binary(), "bucket": pa.int32(), "payload": pa.binary()}
+ROWS = "doc_id bigint, row_number bigint, n_shingles bigint, fp binary, number bigint, bits binary, bucket int, payload binary"
+KINDS = {"doc_id": pa.int64(), "row_number": pa.int64(), "n_shingles": pa.int64(), "fp": pa.binary(), "number": pa.int64(), "bits": pa.binary(), "bucket": pa.int32(), "payload": pa.binary()}
 
 
 def _row_batch(columns: dict, n: int) -> pa.RecordBatch:
@@ -114,7 +114,7 @@ def tile_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(buckets: int):
-    """(doc_id, text key, text) -> a row for each text (bucket null): n_shingles, fp, number and bits of its set; and packs by bucket of
+    """(doc_id, row number, text) -> a row for each text (bucket null): n_shingles, fp, number and bits of its set; and packs by bucket of
     the key: keys, places in a list of sets, and the sets' numbers and sizes. Every text is cut into shingles once."""
 
     def close(keys: list, numbers: list, sizes: list) -> pa.RecordBatch:
@@ -147,7 +147,7 @@ def _sets(buckets: int):
                         sizes.append(len(s))
                         held += len(keys[-1])
                 yield _row_batch({
-                    "doc_id": batch.column(0).slice(at, len(texts)), "text_key": batch.column(1).slice(at, len(texts)), "n_shingles": pa.array(own, pa.int64()), "fp": pa.array(fps, pa.binary()),
+                    "doc_id": batch.column(0).slice(at, len(texts)), "row_number": batch.column(1).slice(at, len(texts)), "n_shingles": pa.array(own, pa.int64()), "fp": pa.array(fps, pa.binary()),
                     "number": pa.array(signed(np.array([set_number(f) for f in fps], np.uint64))), "bits": pa.array(bits, pa.binary()),
                 }, len(texts))
                 if held >= PACKED:
@@ -334,54 +334,60 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from finish(sides)
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, n_shingles, component_id (the smallest id that links reach) and n_links (other rows that the row links with).
-
-    Two rows link when their sets of lower-cased 5-word shingles have a Jaccard similarity of 0.8 or more; exact, with no cap.
-    Defined cases: texts below five words have one shingle, their whole sequence; texts without words, or null, have none and link
-    with nothing, not even each other; equal texts link; rows whose ids are null link like others, and their component is null
-    only if no row of it has an id; repeated ids stay rows; an empty table gives an empty result; other columns are ignored.
-
-    Steps: equal sets become one; sets that share a tile key become candidates, tied in chains, never in all pairs; components of
-    candidates are parted by size into blocks, and every pair of blocks in reach of each other is a tile for one task. There bitmaps, a bit a
-    shingle, leave the pairs whose overlap can be large enough; their components, mostly groups of real near-duplicates, are tiled
-    once more, and only their texts travel, for exact intersections. Equal sets and hot groups thus cost one row, or blocks
-    over many tasks. Tasks send on spanning forests and counts, not links.
-    """
-    text = F.col(text_col)
-    buckets = buckets_of(docs, text)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+def _similar(numbers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """numbered() rows -> what similar() returns, with row_number and in_front: whether the row is its component's first, by id, then number."""
+    keyed = numbers.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col("number").alias("row_number"), F.col(f"row.`{text_col}`").alias("text"))
+    buckets = buckets_of(keyed, F.col("text"))
     both = staged(keyed.mapInArrow(lean(_sets(buckets)), ROWS), "shingles")
-    rows = both.where("bucket is null").select("doc_id", "text_key", "n_shingles", "fp", "number", "bits")
+    rows = both.where("bucket is null").select("doc_id", "row_number", "n_shingles", "fp", "number", "bits")
     tiles = both.where("bucket is not null").select("bucket", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     candidates = components(tiles.mapInArrow(lean(_neighbours), "a bigint, b bigint"))
-    sets = rows.where("n_shingles > 0").groupBy("fp", "number", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
-    sets = staged(sets.join(candidates.select(F.col("node").alias("number"), "root"), "number").select("fp", "n_shingles", "copies", "bits", "root", "rep.doc_id", "rep.text_key"), "candidates")
+    sets = rows.where("n_shingles > 0").groupBy("fp", "number", "n_shingles").agg(F.min(F.struct("doc_id", "row_number")).alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    sets = staged(sets.join(candidates.select(F.col("node").alias("number"), "root"), "number").select("fp", "n_shingles", "copies", "bits", "root", "rep.doc_id", "rep.row_number"), "candidates")
     coarse = _tiled(sets.select("root", "fp", "n_shingles", "bits")).select(F.explode("tiles").alias("t"), "fp", "n_shingles", "bits").select("t.tile", "t.side", "fp", "n_shingles", "bits")
     possible = coarse.repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp").mapInArrow(lean(_possible), "a binary, b binary")
     near = components(possible).select(F.col("node").alias("fp"), "root")
     k, s = keyed.alias("k"), _tiled(staged(sets.drop("root", "bits").join(near, "fp"), "near")).alias("s")
-    work = k.join(s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.text_key") == F.col("s.text_key"))).select("fp", "copies", "n_shingles", F.explode("tiles").alias("t"), "text")
+    work = k.join(s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.row_number") == F.col("s.row_number"))).select("fp", "copies", "n_shingles", F.explode("tiles").alias("t"), "text")
     work = work.select("t.tile", "t.side", "fp", "copies", "text", "n_shingles").repartition("tile").sortWithinPartitions("tile", "side", "n_shingles", "fp")
     judged = staged(work.mapInArrow(lean(_verify), "a binary, b binary, links bigint"), "judged")
     counted = judged.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     members = components(judged.where("b is not null").select("a", "b")).select(F.col("node").alias("fp"), "root")
-    firsts = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    in_front = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row_number")
+    firsts = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(in_front).alias("front"), F.count("*").alias("copies"))
     firsts = firsts.join(members, "fp", "left").join(counted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = staged(firsts.select("fp", "first", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "firsts")
-    labels = staged(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "labels")
-    firsts = firsts.join(labels, "root").select("fp", "component_id", "n_links")
-    full = rows.where("n_shingles > 0").join(firsts, "fp").select("doc_id", "n_shingles", "component_id", "n_links")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    firsts = staged(firsts.select("fp", "first", "front", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "firsts")
+    labels = staged(firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.min("front")["row_number"].alias("front")), "labels")
+    firsts = firsts.select("fp", "root", "n_links").join(labels, "root").select("fp", "component_id", "n_links", "front")
+    full = rows.where("n_shingles > 0").join(firsts, "fp").select("doc_id", "n_shingles", "component_id", "n_links", "row_number", (F.col("row_number") == F.col("front")).alias("in_front"))
+    alone = F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "row_number", F.lit(True).alias("in_front")
+    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", *alone))
 
 
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> doc_id, n_shingles, component_id (the smallest id that links reach) and n_links (other rows that the row links with).
+
+    Two rows link when their sets of lower-cased 5-word shingles have a Jaccard similarity of 0.8 or more; exact, with no cap.
+    Defined cases: texts below five words have one shingle, their whole sequence; texts without words, or null, have none and link
+    with nothing, not even each other; equal texts link; rows whose ids are null link like others, and their component is null
+    only if no row of it has an id; repeated ids stay rows; an empty table gives an empty result; other columns are ignored.
+
+    Steps: equal sets become one; sets that share a tile key become candidates, tied in chains, never in all pairs; components of
+    candidates are parted by size into blocks, and every pair of blocks in reach of each other is a tile for one task. There bitmaps, a bit a
+    shingle, leave the pairs whose overlap can be large enough; their components, mostly groups of real near-duplicates, are tiled
+    once more, and only their texts travel, for exact intersections. Equal sets and hot groups thus cost one row, or blocks
+    over many tasks. Tasks send on spanning forests and counts, not links.
+    """
+    return _similar(numbered(docs), id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of near-duplicate groups other than the group's row of the smallest id.
+    """The rows of docs but for those of near-duplicate groups; of each of those one row, of the smallest id, stays.
 
-    Ids are taken as unique, as in `documents`; rows without an id stay.
+    Rows are told apart by number, not by id: of equal rows, of rows of one id and of rows without an id each stays or goes by its own text. A row
+    without an id comes after all others of its group. Rows without words are in no group and stay.
     """
-    spare = similar(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(spare, id_col, "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    spare = _similar(rows, id_col, text_col).where("not in_front").select(F.col("row_number").alias("number"))
+    return rows.join(spare, "number", "left_anti").select("row.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

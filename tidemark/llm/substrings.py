@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_of, hash_words, lean, mix64, slices, split_all, table
+from .common import buckets_of, hash_words, lean, mix64, numbered, slices, split_all, table
 from .graph import signed
 
 WINDOW = 13
@@ -25,11 +25,6 @@ NO_ID = (1 << 63) - 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def key_of(text: Column) -> Column:
-    """Tells rows of one id apart by their texts."""
-    return F.crc32(text.cast("binary"))
-
-
 def window_hashes(words: np.ndarray) -> np.ndarray:
     """The hash of the WINDOW words from each place on; the last places', and those across texts, mean nothing."""
     h = np.zeros(len(words), np.uint64)
@@ -105,14 +100,14 @@ def _spread(data: bytes, at: int, dtype: str) -> tuple[np.ndarray, int]:
 
 
 def pack(bucket: np.ndarray, which: np.ndarray, rows: np.ndarray, items: np.ndarray, places: np.ndarray | None = None) -> pa.RecordBatch:
-    """(bucket, payload): for each bucket its rows (id and text key), how many items each has, the items, and their places."""
+    """(bucket, payload): for each bucket its rows (id and number), how many items each has, the items, and their places."""
     order = np.lexsort((which, bucket))
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.empty(0, np.int64)
     made = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
         at = order[a:b]
         own, counts = np.unique(which[at], return_counts=True)
-        made.append(_squeeze(rows[own, 0]) + _squeeze(rows[own, 1].astype("<u4")) + _squeeze(counts.astype("<u4")) + (b"" if places is None else _squeeze(places[at].astype("<u4"))) + items[at].tobytes())
+        made.append(_squeeze(rows[own, 0]) + _squeeze(rows[own, 1]) + _squeeze(counts.astype("<u4")) + (b"" if places is None else _squeeze(places[at].astype("<u4"))) + items[at].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]], pa.int32()), pa.array(made, pa.binary())], ["bucket", "payload"])
 
 
@@ -121,12 +116,12 @@ def unpack(parts: list[bytes], kind: str, with_places: bool = False) -> tuple[np
     items, rows, places = [], [], []
     for p in parts:
         ids, at = _spread(p, 0, "<u8")
-        texts, at = _spread(p, at, "<u4")
+        numbers, at = _spread(p, at, "<u8")
         counts, at = _spread(p, at, "<u4")
         if with_places:
             own, at = _spread(p, at, "<u4")
             places.append(own)
-        rows.append(np.repeat(np.stack([ids, texts.astype(np.uint64)], 1), counts, axis=0))
+        rows.append(np.repeat(np.stack([ids, numbers], 1), counts, axis=0))
         items.append(np.frombuffer(p[at:], kind))
     return np.concatenate(items), np.concatenate(rows), np.concatenate(places) if with_places else np.empty(0, np.uint32)
 
@@ -152,7 +147,7 @@ def at_home(parts: list[bytes]) -> pa.RecordBatch:
     items, row, _ = unpack(parts, "<u4")
     rows, _, items, cuts = _by_row(row, items)
     made = [items[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(items)], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(signed(rows[:, 0])), pa.array(signed(rows[:, 1])), pa.array(made, pa.binary())], ["row_id", "text_key", "found"])
+    return pa.RecordBatch.from_arrays([pa.array(signed(rows[:, 0])), pa.array(signed(rows[:, 1])), pa.array(made, pa.binary())], ["row_id", "number", "found"])
 
 
 def by_bucket(judge, buckets: int | None = None):
@@ -225,7 +220,7 @@ def later_in_block(window: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _keys(buckets: int):
-    """(row id, text key, text) -> packs of the distinct window keys of each text, but for those that are known in their block to be shared."""
+    """(row id, number, text) -> packs of the distinct window keys of each text, but for those that are known in their block to be shared."""
 
     def packs(keys: list, which: list, rows: list) -> Iterator[pa.RecordBatch]:
         key, own, row = np.concatenate(keys), np.concatenate(which), np.concatenate(rows)
@@ -274,7 +269,7 @@ def _shared(buckets: int):
 
 
 def _windows(buckets: int):
-    """(row id, text key, text, shared keys) -> packs of hashes and places of the windows that have such a key, but for those that a
+    """(row id, number, text, shared keys) -> packs of hashes and places of the windows that have such a key, but for those that a
     smaller id of their block has too."""
 
     def packs(keys: list, which: list, rows: list, places: list) -> Iterator[pa.RecordBatch]:
@@ -326,7 +321,7 @@ def _repeats(buckets: int):
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row id, text key, text, places) -> (row id, text key, n_words, n_removed, kept)."""
+    """(row id, number, text, places) -> (row id, number, n_words, n_removed, kept)."""
     for batch in batches:
         for at, texts in slices(batch.column(2)):
             sizes, gone, kept = [], [], []
@@ -343,7 +338,24 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = [words[j] for j in np.flatnonzero(stay).tolist()]
                 gone.append(sizes[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row_id", "text_key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row_id", "number", "n_words", "n_removed", "kept"])
+
+
+def _stripped(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """numbered() rows -> row_id (NO_ID for null), number, n_words, n_removed and kept."""
+    spark = rows.sparkSession
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    keyed = rows.select(F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), "number", text.alias("text"))
+    buckets = buckets_of(keyed, F.col("text"))
+    found = "row_id bigint, number bigint, found binary"
+    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    packed = "bucket int, payload binary"
+    shared = grouped(grouped(keyed.mapInArrow(lean(_keys(buckets)), packed)).mapInArrow(lean(_shared(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
+    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id", "number")
+    windows = dealt.join(shared, ["row_id", "number"]).select("row_id", "number", "text", "found").mapInArrow(lean(_windows(buckets)), packed)
+    repeats = grouped(grouped(windows).mapInArrow(lean(_repeats(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
+    out = dealt.join(repeats, ["row_id", "number"], "left").select("row_id", "number", "text", "found")
+    return out.mapInArrow(lean(_strip), "row_id bigint, number bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,35 +368,23 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     two ids' or the smallest id's. A bucket gathers about BUCKET_BYTES of text, whatever the input's size.
 
     Defined cases: null and blank texts have no words; rows with a null id come after all ids and lose to them, and not to each other;
-    rows of equal ids don't take words from each other; repeats inside one row stay; an empty table gives an empty result;
-    other columns are ignored. Texts travel once, by id and text hash, and both joins read the same shuffle.
+    rows of equal ids don't take words from each other; repeats inside one row stay; rows are told apart by number, so that those of one id, of
+    none, and equal ones each get what is found for them; an empty table gives an empty result; other columns are ignored. Texts travel once, and
+    both joins read the same shuffle.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    buckets = buckets_of(docs, text)
-    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), key_of(text).alias("text_key"), text.alias("text"))
-    found = "row_id bigint, text_key bigint, found binary"
-    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    packed = "bucket int, payload binary"
-    shared = grouped(grouped(keyed.mapInArrow(lean(_keys(buckets)), packed)).mapInArrow(lean(_shared(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id", "text_key")
-    windows = dealt.join(shared, ["row_id", "text_key"]).select("row_id", "text_key", "text", "found").mapInArrow(lean(_windows(buckets)), packed)
-    repeats = grouped(grouped(windows).mapInArrow(lean(_repeats(buckets)), packed)).mapInArrow(lean(by_bucket(at_home)), found)
-    out = dealt.join(repeats, ["row_id", "text_key"], "left").select("row_id", "text_key", "text", "found")
-    stripped = out.mapInArrow(lean(_strip), "row_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string")
-    return stripped.select(F.when(F.col("row_id") != NO_ID, F.col("row_id")).alias("doc_id"), "text_key", "n_words", "n_removed", "kept")
+    return _stripped(numbered(docs), id_col, text_col).select(F.when(F.col("row_id") != NO_ID, F.col("row_id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each text replaced by what strip_repeats() leaves of it; rows left without a word go. n_chars, if there, is counted anew.
 
-    Rows of equal id and text are told apart by nothing, and each keeps its other columns, which may have any names.
+    Results come back by a number for each row; columns may have any names.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    left = strip_repeats(docs, id_col, text_col).where("n_words > n_removed").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), "text_key", "kept").dropDuplicates(["row_id", "text_key"])
-    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("row_id"), key_of(text).alias("text_key"))
+    rows = numbered(docs)
+    left = _stripped(rows, id_col, text_col).where("n_words > n_removed").select("number", "kept")
+    rest = rows.select("number", F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col]).alias("row"))
     new = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return rest.join(left, ["row_id", "text_key"]).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rest.join(left, "number").select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
