@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import pair_sums
+
 YEAR = 252
 
 
@@ -98,9 +100,21 @@ def correlation(a: str, b: str) -> Column:
 
 
 def pair_correlations(panel: DataFrame) -> DataFrame:
-    """panel(asset, pos, x) -> a, b, corr for a < b on shared positions: positions meet positions, so pairs stay within a date's cross-section."""
-    left, right = panel.select("pos", F.col("asset").alias("a"), F.col("x").alias("xa")), panel.select("pos", F.col("asset").alias("b"), F.col("x").alias("xb"))
-    return left.join(right, "pos").where("a < b").groupBy("a", "b").agg(correlation("xa", "xb").alias("corr"))
+    """panel(asset, pos, x) -> a, b, corr for a < b on shared positions, from the sums of gram.pair_sums(); null where a side doesn't vary.
+
+    Each series is shifted by its first value, so that sums of squares don't drown what varies.
+    """
+    shifted = panel.withColumn("x", F.col("x") - F.first("x", ignorenulls=True).over(Window.partitionBy("asset").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = pair_sums(shifted).where("a < b")
+    n = F.col("n")
+    var = lambda s, ss: F.col(ss) / n - (F.col(s) / n) ** 2
+    varies = (var("sum_a", "sum_aa") > NO_SPREAD * F.col("sum_aa") / n) & (var("sum_b", "sum_bb") > NO_SPREAD * F.col("sum_bb") / n)
+    cov = F.col("sum_ab") / n - (F.col("sum_a") / n) * (F.col("sum_b") / n)
+    return sums.select("a", "b", F.when(varies, cov / F.sqrt(var("sum_a", "sum_aa") * var("sum_b", "sum_bb"))).alias("corr"))
+
+
+#: Share of a mean square up to which a variance is what rounding left.
+NO_SPREAD = 1e-14
 
 
 #: MacKinnon's (1994) coefficients for the test with a constant, and the critical values of the level-stationarity test.

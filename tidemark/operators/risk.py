@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import pair_sums
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -48,23 +50,28 @@ def fuse(signals: DataFrame, min_weight: float = 0.05) -> DataFrame:
 
 
 def shrinkage(panel: DataFrame) -> DataFrame:
-    """Ledoit-Wolf over panel(asset, pos, x), complete: (a, b, cov, shrunk, delta). Sums only: sum_t |x_t x_t' - S|^2 = sum_t |x_t|^4 - T |S|^2."""
+    """Ledoit-Wolf over panel(asset, pos, x), complete: (a, b, cov, shrunk, delta). Sums only: sum_t |x_t x_t' - S|^2 = sum_t |x_t|^4 - T |S|^2,
+    and S from the block matrices of gram.pair_sums(), half of it: the other half is written out last."""
     x = panel.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("asset")))
-    T = F.broadcast(x.agg(F.count_distinct("pos").alias("T"), F.count_distinct("asset").alias("n")))
-    l, r = x.select("pos", F.col("asset").alias("a"), F.col("x").alias("xa")), x.select("pos", F.col("asset").alias("b"), F.col("x").alias("xb"))  # noqa: E741
-    cov = l.join(r, "pos").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("s")).crossJoin(T).select("a", "b", (F.col("s") / F.col("T")).alias("cov"), "T", "n")
-    mean_var = F.broadcast(cov.where("a = b").agg(F.avg("cov").alias("mu")))
-    c = cov.crossJoin(mean_var).withColumn("target", F.when(F.col("a") == F.col("b"), F.col("mu")).otherwise(0.0))
-    norms = c.agg(F.sum((F.col("cov") - F.col("target")) ** 2).alias("delta2"), F.sum(F.col("cov") ** 2).alias("s2"), F.max("T").alias("T"))
+    T = F.broadcast(x.agg(F.count_distinct("pos").alias("T")))  # one number
+    half = pair_sums(x).crossJoin(T).select("a", "b", (F.col("sum_ab") / F.col("T")).alias("cov"), "T")
+    mean_var = F.broadcast(half.where("a = b").agg(F.avg("cov").alias("mu")))  # one number
+    same = F.col("a") == F.col("b")
+    c = half.crossJoin(mean_var).withColumn("target", F.when(same, F.col("mu")).otherwise(0.0))
+    times = F.when(same, 1.0).otherwise(2.0)
+    norms = c.agg(F.sum(times * (F.col("cov") - F.col("target")) ** 2).alias("delta2"), F.sum(times * F.col("cov") ** 2).alias("s2"), F.max("T").alias("T"))
     fourth = x.groupBy("pos").agg(F.sum(F.col("x") ** 2).alias("q")).agg(F.sum(F.col("q") ** 2).alias("q4"))
-    d = F.broadcast(norms.crossJoin(F.broadcast(fourth)).select(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("q4") - F.col("T") * F.col("s2")) / F.col("T") ** 2, "delta2"))), F.lit(0.0)).alias("delta")))
-    return c.crossJoin(d).select("a", "b", "cov", (F.col("delta") * F.col("target") + (1 - F.col("delta")) * F.col("cov")).alias("shrunk"), "delta")
+    delta = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("q4") - F.col("T") * F.col("s2")) / F.col("T") ** 2, "delta2"))), F.lit(0.0))
+    d = F.broadcast(norms.crossJoin(F.broadcast(fourth)).select(delta.alias("delta")))  # one number
+    one = c.crossJoin(d).withColumn("shrunk", F.col("delta") * F.col("target") + (1 - F.col("delta")) * F.col("cov"))
+    ways = F.explode(F.when(same, F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).alias("w")
+    return one.select("cov", "shrunk", "delta", ways).select("w.a", "w.b", "cov", "shrunk", "delta")
 
 
 def decorrelated_weights(cov: DataFrame) -> DataFrame:
     """cov(a, b, shrunk) -> asset, weight: inverse variance over the sum of absolute correlations."""
     v = cov.where("a = b").select(F.col("a").alias("asset"), F.col("shrunk").alias("var"))
-    c = cov.join(F.broadcast(v.select(F.col("asset").alias("a"), F.col("var").alias("va"))), "a").join(F.broadcast(v.select(F.col("asset").alias("b"), F.col("var").alias("vb"))), "b")
+    c = cov.join(v.select(F.col("asset").alias("a"), F.col("var").alias("va")), "a").join(v.select(F.col("asset").alias("b"), F.col("var").alias("vb")), "b")
     rho = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.abs(F.try_divide("shrunk", F.sqrt(F.col("va") * F.col("vb")))))
     raw = c.groupBy(F.col("a").alias("asset"), F.col("va").alias("var")).agg(F.sum(rho).alias("redundancy")).withColumn("raw", F.when(F.col("var") > 0, 1 / (F.col("var") * F.col("redundancy"))).otherwise(0.0))
     total = F.broadcast(raw.agg(F.sum("raw").alias("total"), F.count("*").alias("n")))
