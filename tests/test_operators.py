@@ -12,7 +12,7 @@ from tidemark import catalogue
 from tidemark.functions import scalars
 from tidemark.operators import entities, features, flows, grid, groups, ledger, pit, quality, risk, rotation, text, validation
 from tidemark.sources import landing
-from tidemark.streaming import processors, stateful, streams
+from tidemark.streaming import processors, streams
 
 SMALL = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -130,7 +130,7 @@ def test_alert_routing(spark, tmp_path):
     words = ["pricefellhard", "volumerosefast", "boardresignedtoday", "profitwarningissued", "courtrulingdue", "mergertalksended", "auditopinionwithheld"]
     rows = [(i, 1, "P2", w, at(i)) for i, w in enumerate(words)] + [(10, 1, "P2", words[0], at(100)), (11, 1, "P0", words[0], at(101)), (12, 1, "P2", words[0], at(200_000)), (13, 2, "P1", words[0], at(5)), (14, 2, "P2", "", at(6)), (15, 2, "P1", "", at(7))]
     df = spark.createDataFrame(rows, "event_id long, entity long, severity string, norm string, created_at timestamp")
-    got = {r["event_id"]: (r["routed"], r["digest"]) for r in streams.drained(stateful.alerts_routed(streams.as_ordered_stream(df, "alerts", "created_at")), "routed").collect()}
+    got = {r["event_id"]: (r["routed"], r["digest"]) for r in streams.drained(processors.alerts_routed(streams.as_ordered_stream(df, "alerts", "created_at")), "routed", conf=processors.STORE).collect()}
     assert [got[i][0] for i in range(7)] == ["sent"] * 5 + ["digest"] * 2 and got[10][0] == got[15][0] == "suppressed" and got[11][0] == got[12][0] == got[13][0] == got[14][0] == "sent"
     assert got[6][1] == "0,1,2,3,4,5,6" and got[0][1] is None
 

@@ -1,7 +1,11 @@
 """State that goes: order guards, dead man's switches and deduplication, by what the query says about its batches."""
 
 import datetime as dt
+import random
 
+from tidemark.operators.text import Router
+from tidemark.plans.streams import st_alert_router
+from tidemark.plans.views import Tables
 from tidemark.streaming import processors, streams
 
 START = dt.datetime(2024, 1, 1)
@@ -44,3 +48,34 @@ def test_keys_are_forgotten_and_late_replays_go_apart(spark):
     assert sorted(r["event_id"] for r in late.collect()) == [0, 0, 1, 2]
     states = [p["stateOperators"][0] for p in said if p["stateOperators"]]
     assert sum(s["numRowsRemoved"] for s in states) > 100 and max(s["numRowsTotal"] for s in states) < 80 and states[-1]["numRowsTotal"] < 80
+
+
+def routed_one_by_one(rows):
+    """The sequential rule: (event_id, entity, severity, norm, created_at) -> event_id: routed."""
+    routers, out = {}, {}
+    for i, entity, severity, norm, when in sorted(rows, key=lambda r: (r[4], r[0])):
+        out[i] = routers.setdefault(entity, Router()).route(when.timestamp(), severity, norm)
+    return out
+
+
+def test_alerts_are_routed_as_one_by_one_and_old_texts_go(spark):
+    draw = random.Random(12)
+    words = ["pricefell", "volumerose", "boardresigned", "profitwarning", "courtruling", "merger", ""]
+    rows = [(i, draw.choice((1, 1, 1, 2)), draw.choice(("P0", "P1", "P2", "P2")), draw.choice(words) + draw.choice(words) + draw.choice(("", "x", str(i), f"of{i}and{i * 7}")), at(11 * i + draw.randrange(9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, entity long, severity string, norm string, created_at timestamp")
+    for batches in (1, 9):
+        said = []
+        out = streams.drained(processors.alerts_routed(streams.as_ordered_stream(df, "alerts", "created_at", batches)), "routed", conf=processors.STORE, progress_of=said).collect()
+        got = {r["event_id"]: r["routed"] for r in out}
+        assert got == routed_one_by_one(rows) and set(got.values()) == {"sent", "suppressed", "digest"}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in said if p["stateOperators"]]
+    assert max(held) < 500 and sum(p["stateOperators"][0]["numRowsRemoved"] for p in said if p["stateOperators"]) >= 0
+
+
+def test_the_alert_query_equals_the_sequential_rule(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    from tidemark.operators import text as tx
+    from pyspark.sql import functions as F
+
+    given = t.alerts.select("event_id", "entity", "severity", tx.normalized_summary(F.col("summary")).alias("norm"), F.col("created_at").cast("timestamp").alias("at")).collect()
+    assert {r["event_id"]: r["routed"] for r in st_alert_router(t).collect()} == routed_one_by_one([tuple(r) for r in given])

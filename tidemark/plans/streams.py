@@ -91,7 +91,7 @@ def st_flow_daily(t: Tables) -> DataFrame:
 def st_alert_router(t: Tables) -> DataFrame:
     """Alerts sent, suppressed or gathered in digests; tests hold the stream against the sequential rule."""
     rows = t.alerts.select("event_id", "entity", "severity", tx.normalized_summary(F.col("summary")).alias("norm"), F.col("created_at").cast("timestamp").alias("created_at"))
-    return st.drained(sf.alerts_routed(st.as_ordered_stream(rows, "alerts", "created_at")), "routed")
+    return st.drained(pr.alerts_routed(st.as_ordered_stream(rows, "alerts", "created_at")), "routed", conf=pr.STORE)
 
 
 GUARDED = """marked AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY ts, event_id) = 1 AS fresh FROM order_stream)"""

@@ -1,4 +1,4 @@
-"""Operators whose state lives in the state store entry by entry, with timers on event time: order guards and dead man's switches.
+"""Operators whose state lives in the state store entry by entry, with timers on event time: order guards, dead man's switches and alert routing.
 
 A batch's rows of one key are handled together, in the order of time and id; how many there are is bounded by what a trigger reads. State
 is read and written by entry, never as a whole, and goes by timer once the watermark has passed the time for which it matters.
@@ -6,6 +6,8 @@ is read and written by entry, never as a whole, and goes by timer once the water
 
 from __future__ import annotations
 
+import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,3 +133,96 @@ def modes_switched(stream: DataFrame, timeout_ms: int = 300_000, late: str = "0
     timeout ended), without any row of the entity. A silence that begins and ends within one batch gives the same two changes.
     """
     return stream.withWatermark("at", late).groupBy("entity").transformWithStateInPandas(_Switch(timeout_ms), "entity long, at_us long, mode string", "Append", "EventTime")
+
+
+class Texts:
+    """Texts with the time of their last use; which of them are like another, asked by length, then by letters, then in full."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.last: dict[str, int] = {}
+        self.by_length: dict[int, dict[str, Counter]] = {}
+
+    def add(self, text: str, us: int) -> None:
+        self.last[text] = max(us, self.last.get(text, us))
+        self.by_length.setdefault(len(text), {}).setdefault(text, Counter(text))
+
+    def like(self, text: str, since: int) -> bool:
+        """Whether a text used since then has a ratio of the threshold or more; equal ones have."""
+        if self.last.get(text, since - 1) >= since:
+            return True
+        n, t = len(text), self.threshold
+        letters = Counter(text)
+        for m, texts in self.by_length.items():
+            if not n or not m or 2 * min(n, m) < t * (n + m):
+                continue
+            for other, own in texts.items():
+                if self.last[other] >= since and 2 * (letters & own).total() >= t * (n + m) - 1e-9 and difflib.SequenceMatcher(None, other, text).ratio() >= t:
+                    return True
+        return False
+
+
+class _Alerts(StatefulProcessor):
+    DAY, HOUR = 86_400_000_000, 3_600_000_000
+
+    def __init__(self, hourly: int, threshold: float) -> None:
+        self.hourly, self.threshold = hourly, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getMapState("recent", "norm string", "us bigint")
+        self.hour = handle.getListState("hour", "us bigint, event_id bigint, counts boolean")
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        kinds = {"event_id": "int64", "entity": "int64", "routed": "object", "digest": "object"}
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=k) for i, (c, k) in enumerate(kinds.items())})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = _in_order(rows, "created_at")
+        texts = Texts(self.threshold)
+        for (norm,), (us,) in self.recent.iterator():
+            texts.add(norm, us)
+        hour = list(self.hour.get()) if self.hour.exists() else []
+        out = []
+        for row in batch.to_dict("records"):
+            us, norm, at_once = row["us"], row["norm"], row["severity"] == "P0"
+            if not at_once and texts.like(norm, us - self.DAY):
+                out.append((row["event_id"], key[0], "suppressed", None))
+                continue
+            texts.add(norm, us)
+            self.recent.updateValue((norm,), (texts.last[norm],))
+            hour = [h for h in hour if us - h[0] < self.HOUR] + [(us, int(row["event_id"]), not at_once)]
+            gathered = not at_once and sum(h[2] for h in hour) > self.hourly
+            out.append((row["event_id"], key[0], "digest" if gathered else "sent", ",".join(str(h[1]) for h in hour) if gathered else None))
+        if hour:
+            self.hour.put(hour)
+        if next(iter(self.handle.listTimers()), None) is None:
+            self.handle.registerTimer((int(batch["us"].min()) + self.DAY) // 1000 + 1)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Forget the texts of over a day ago, and come back when the oldest of the others will be."""
+        limit = timerValues.getCurrentWatermarkInMs() * 1000 - self.DAY
+        found = [(norm, us) for norm, (us,) in self.recent.iterator()]
+        for norm, us in found:
+            if us < limit:
+                self.recent.removeKey(norm)
+        left = [us for _, us in found if us >= limit]
+        if left:
+            self.handle.registerTimer((max(min(left) + 1000, limit + self.DAY // 4) + self.DAY) // 1000)
+        else:
+            self.recent.clear()
+            self.hour.clear()
+        yield self._rows([])
+
+    def close(self) -> None:
+        pass
+
+
+def alerts_routed(stream: DataFrame, hourly: int = 5, threshold: float = 0.85, late: str = "1 minute") -> DataFrame:
+    """alerts(event_id, entity, severity, norm, created_at) -> event_id, entity, routed and digest: the ids of the entity's last hour, if routed into one.
+
+    P0 is always sent. Others are suppressed if their entity had an equal text, or one of a ratio of the threshold, within a day; of the rest, more than
+    `hourly` in an hour become digests. An entity keeps its texts of the last day, one entry each, and its last hour; both go by timer.
+    """
+    return stream.withWatermark("created_at", late).groupBy("entity").transformWithStateInPandas(_Alerts(hourly, threshold), "event_id long, entity long, routed string, digest string", "Append", "EventTime")

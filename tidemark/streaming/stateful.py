@@ -1,4 +1,4 @@
-"""Operators that keep state for each key of a stream: alert routing, held regimes and signal health.
+"""Operators that keep state for each key of a stream: held regimes and signal health.
 
 Each works on one key's rows of a batch in the order of time and id, and carries the rest in its state, which holds a bounded recent
 past and goes when the watermark has passed a key's last row by the time it can still matter.
@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.text import Router
-
 
 def stateful(stream: DataFrame, key: str, at: str, step: Callable[[dict, pd.Series], dict], empty: Callable[[], dict], schema: str, keep_ms: int, late: str = "1 day") -> DataFrame:
     """For each row, in order, step(state, row) -> the row's result; states are dictionaries that JSON can hold."""
@@ -34,22 +32,6 @@ def stateful(stream: DataFrame, key: str, at: str, step: Callable[[dict, pd.Seri
     return stream.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alerts_routed(stream: DataFrame, hourly: int = 5) -> DataFrame:
-    """alerts(event_id, entity, severity, norm, created_at) -> event_id, entity, routed and digest: the ids of the entity's last hour, if routed into one."""
-
-    def step(held: dict, row: dict) -> dict:
-        router = Router(hourly)
-        router.recent, router.counted = [tuple(x) for x in held["recent"]], held["counted"]
-        now = row["created_at"].timestamp()
-        routed = router.route(now, row["severity"], row["norm"])
-        held["hour"] = [x for x in held["hour"] if now - x[0] < 3600] + ([[now, int(row["event_id"])]] if routed != "suppressed" else [])
-        held["recent"], held["counted"] = router.recent, router.counted
-        digest = ",".join(str(i) for _, i in held["hour"]) if routed == "digest" else None
-        return {"event_id": row["event_id"], "entity": row["entity"], "routed": routed, "digest": digest}
-
-    return stateful(stream, "entity", "created_at", step, lambda: {"recent": [], "counted": [], "hour": []}, "event_id long, entity long, routed string, digest string", 86_400_000)
-
-
 def states_held(stream: DataFrame, need: int = 5, keep_ms: int = 86_400_000 * 400) -> DataFrame:
     """observations(event_id, key, at, state) -> key, at, effective: a state takes over once it was seen `need` times running."""
 
