@@ -79,3 +79,17 @@ def sweep(grids: DataFrame, configs: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("scores") > 0, F.col("pos"))).over(Window.partitionBy("config_id")) + 1  # a row a date
     cost = F.col("turnover") * (F.col("bps") / 10_000)
     return days.withColumn("start", first).where("start is null or pos >= start").select("config_id", "d", "pos", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"))
+
+
+def latest_rankings(grids: DataFrame, configs: DataFrame) -> DataFrame:
+    """Of each configuration all scores of its frequency's last date, from the top down, with target weights: config_id, frequency, d, asset, place, score, weight.
+
+    A last date without scores gives no rows. Of the grids only the dates that these scores reach back to are scored.
+    """
+    far = configs.groupBy("frequency").agg(F.max(F.greatest(F.array_max(F.map_keys("lookbacks")), "volatility_window")).alias("far"))
+    ends = grids.groupBy("frequency").agg(F.max("pos").alias("end")).join(far, "frequency")  # a row a frequency
+    recent = grids.join(F.broadcast(ends), "frequency").where(F.col("pos") >= F.col("end") - F.col("far"))
+    now = recent.where("pos = end").select("frequency", "pos").distinct()
+    scored = weighted(recent.drop("end", "far"), configs).where("score is not null").join(configs.select("config_id", "frequency"), "config_id")
+    place = F.row_number().over(Window.partitionBy("config_id").orderBy(F.desc("score"), "asset")).cast("long")
+    return scored.join(F.broadcast(now), ["frequency", "pos"], "left_semi").select("config_id", "frequency", "d", "asset", place.alias("place"), "score", "weight")

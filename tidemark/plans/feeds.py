@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import with_suffix
 from ..operators import pit
 from ..operators import rotation as ro
-from ..sources import feeds, landing
+from ..sources import feeds, landing, snapshots
 from .registry import query, rounded
 from .rotation import HOW, SCORED, scores
 from .views import Tables
@@ -214,16 +214,12 @@ def sink_pit_append(t: Tables) -> DataFrame:
 
 @query("SELECT d AS signal_date, 'Monthly' AS frequency, asset, rnk, round(score, 6) AS score, d = (SELECT max(d) FROM top) AS latest FROM top", SCORED)
 def sink_snapshots(t: Tables) -> DataFrame:
-    """Rankings as dated CSV folders, and the last one as `latest`, read back."""
-    ranked = landing.written(ro.selected(scores(t), HOW).select(F.col("d").alias("signal_date"), F.lit("Monthly").alias("frequency"), "asset", F.col("rnk").cast("long").alias("rnk"), "score"), "ranking")
-    dated, last = landing.folder(t.spark, "dated"), landing.folder(t.spark, "latest")
-    ranked.write.partitionBy("frequency").csv(dated, header=True)
-    newest = ranked.agg(F.max("signal_date").alias("signal_date"))
-    ranked.join(newest, "signal_date", "left_semi").write.mode("overwrite").partitionBy("frequency").csv(last, header=True)
-    kinds = "signal_date date, asset string, rnk long, score double, frequency string"
-    read = lambda path: t.spark.read.schema(kinds).csv(path, header=True)
-    now = read(last).select("signal_date", "asset", F.lit(True).alias("latest"))
-    return rounded(read(dated).join(now, ["signal_date", "asset"], "left").select("signal_date", "frequency", "asset", "rnk", "score", F.coalesce("latest", F.lit(False)).alias("latest")))
+    """Every month's ranking in dated CSV files, and which one is the latest, read back."""
+    ranked = ro.selected(scores(t), HOW).select(F.col("d").alias("signal_date"), F.lit("Monthly").alias("frequency"), "asset", F.col("rnk").cast("long").alias("rnk"), "score")
+    path, kinds = landing.folder(t.spark, "rankings"), "signal_date date, frequency string, asset string, rnk long, score double"
+    snapshots.publish(ranked, path)
+    now = snapshots.latest(t.spark, path, kinds).select("signal_date", "frequency", F.lit(True).alias("latest")).distinct()
+    return rounded(snapshots.dated(t.spark, path, kinds).join(F.broadcast(now), ["signal_date", "frequency"], "left").withColumn("latest", F.coalesce("latest", F.lit(False))))  # one row
 
 
 @query("""SELECT ticker, n, CASE WHEN n < 30 THEN DATE '1990-01-01' ELSE CAST(last - 10 AS DATE) END AS from_date FROM (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import text as tx
+from ..sources.landing import folder
+from ..streaming import bus
 from ..streaming import processors as pr
 from ..streaming import stateful as sf
 from ..streaming import streams as st
@@ -56,6 +58,29 @@ def st_replay(t: Tables) -> DataFrame:
     return a.join(b.select("event_id").distinct(), "event_id", "left_semi").groupBy("idempotency_key").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT event_id, event_type AS stream, epoch_us(ts) AS produced_us, value, (event_id % 3 < 2)::BIGINT AS desk_before, (event_id % 3 = 2)::BIGINT AS desk_after,
+    1::BIGINT AS audit, (event_id % 3 > 0)::BIGINT AS replayed FROM events""")
+def src_event_stream(t: Tables) -> DataFrame:
+    """Envelopes in three publications. One group reads after the second and again after the third, another all at the end; a replay begins at the
+    second publication, whatever the groups have read. How often each event came to each."""
+    e = t.read("events").withColumn("at", F.col("ts").cast("timestamp"))
+    sent = bus.wrapped(e, F.col("event_type"), F.col("event_type"), ["event_id", "value"], F.col("at"), F.col("user_id").cast("string"))
+    third = F.get_json_object("payload", "$.event_id").cast("long") % 3
+    path, before, after, audit = (folder(t.spark, x) for x in ("bus", "desk-before", "desk-after", "audit"))
+    bus.publish(sent.where(third == 0), path)
+    second = bus.publish(sent.where(third == 1), path)
+    bus.consume(t.spark, path, "desk", bus.into(before))
+    bus.publish(sent.where(third == 2), path)
+    bus.consume(t.spark, path, "desk", bus.into(after))
+    bus.consume(t.spark, path, "audit", bus.into(audit))
+    came = {"desk_before": bus.kept(t.spark, before), "desk_after": bus.kept(t.spark, after), "audit": bus.kept(t.spark, audit), "replayed": bus.replay(t.spark, path, since=second)}
+    seen = [rows.select("stream", "produced_at", "payload", F.lit(name).alias("to")) for name, rows in came.items()]
+    all_seen = seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+    counts = all_seen.groupBy("stream", "produced_at", "payload").agg(*[F.count_if(F.col("to") == name).alias(name) for name in came])
+    held = F.from_json("payload", "event_id long, value double")
+    return counts.withColumn("p", held).select("p.event_id", "stream", F.unix_micros("produced_at").alias("produced_us"), "p.value", *came)
+
+
 @query("SELECT event_id, event_id % 10 <> 0 AS kept FROM events")
 def st_temporal_gate(t: Tables) -> DataFrame:
     """Rows in time, and the violations that went to a table of their own."""

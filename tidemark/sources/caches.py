@@ -12,6 +12,8 @@ from .landing import written
 
 PRICES = "d date, asset string, close double"
 POINTER = "part string, version string"
+#: Options of the formats that parts are written in; a part as CSV is read as a whole, so that texts may hold line ends.
+FORMATS = {"parquet": {}, "csv": {"header": "true", "escape": '"', "multiLine": "true"}}
 #: Share of a price up to which two are the same, as rebasing twice rounds twice.
 SAME = 1e-12
 
@@ -40,13 +42,13 @@ def pointer(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["part"]: r["version"] for r in spark.read.schema(POINTER).parquet(f"{path}/pointers/{n}").collect()} if n else {}
 
 
-def read(spark: SparkSession, path: str, schema: str = PRICES) -> DataFrame:
-    """What the last finished update left: the parts that its pointer names, each in its version's folder."""
-    where = [f"{path}/data/{version}/part={part}" for part, version in sorted(pointer(spark, path).items())]
-    return spark.read.schema(schema).parquet(*where) if where else spark.createDataFrame([], schema)
+def read(spark: SparkSession, path: str, schema: str = PRICES, kind: str = "parquet", parts: set[str] | None = None) -> DataFrame:
+    """What the last finished update left: the parts that its pointer names, or those of them asked for, each in its version's folder."""
+    where = [f"{path}/data/{version}/part={part}" for part, version in sorted(pointer(spark, path).items()) if parts is None or part in parts]
+    return spark.read.schema(schema).format(kind).options(**FORMATS[kind]).load(where) if where else spark.createDataFrame([], schema)
 
 
-def replace_parts(rows: DataFrame, path: str, part: Column) -> list[str]:
+def replace_parts(rows: DataFrame, path: str, part: Column, kind: str = "parquet") -> list[str]:
     """Write rows, which are whole parts, as a new version, then a pointer that names it for those parts; the parts' names.
 
     Readers see the old table until the pointer table has its success mark, and all of the new one from then on. An update that is interrupted
@@ -54,7 +56,7 @@ def replace_parts(rows: DataFrame, path: str, part: Column) -> list[str]:
     """
     spark = rows.sparkSession
     old, n, version = pointer(spark, path), _generation(spark, path), uuid.uuid4().hex
-    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{path}/data/{version}")
+    rows.withColumn("part", part).repartition("part").write.partitionBy("part").format(kind).options(**FORMATS[kind]).save(f"{path}/data/{version}")
     touched = sorted(name.removeprefix("part=") for name in _names(spark, f"{path}/data/{version}") if name.startswith("part="))
     if touched:
         new = sorted((old | dict.fromkeys(touched, version)).items())
