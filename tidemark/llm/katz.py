@@ -21,9 +21,8 @@ MOST_DISCOUNTED = 5
 LOSS = 0.5
 #: The most frequent words: their counts are broadcast, so they travel as short codes.
 FREQUENT = 1 << 18
-#: A history with more than this share of all tokens is dealt over SALTS buckets.
+#: A history with more than this share of all tokens, and that of a text's first word, is dealt over all buckets by the word after it.
 HOT_SHARE = 1e-3
-SALTS = 16
 #: Text bytes whose distinct bigrams travel together; bounds a worker's memory.
 BLOCK_BYTES = 12 << 20
 #: Not hashes of words, but for a chance of 2 ** -64.
@@ -194,13 +193,13 @@ def _blocks(model, buckets: int, wanted: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        hot = m.frequent[m.frequent_counts > HOT_SHARE * m.tokens]
+        hot = np.sort(np.append(m.frequent[m.frequent_counts > HOT_SHARE * m.tokens], START))
         task, number, held, rows = TaskContext.get().partitionId(), 0, 0, []
 
         def close(block: str) -> Iterator[pa.RecordBatch]:
             h, w = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
             learnt = np.concatenate([np.repeat(~np.array(r[3], bool), r[4]) for r in rows])
-            salt = np.where(_find(hot, h) < len(hot), mix64(w) % np.uint64(SALTS), np.uint64(0))
+            salt = np.where(_find(hot, h) < len(hot), mix64(w) % np.uint64(buckets), np.uint64(0))
             bucket = (mix64(h + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             # one key: 30 bits of the history and 24 of the word; a clash only parts a bigram's or a history's rows, and both are summed later
             order = np.argsort((mix64(h) >> np.uint64(34) << np.uint64(24)) | (mix64(w) >> np.uint64(40)))
@@ -298,7 +297,7 @@ def _answer(model):
             at = np.r_[0, np.cumsum(lengths.astype(np.int64))[:-1]]
             mine = history[back[a:b]][at]
             c = pair_c[back[a:b]]
-            out.append({"kind": ANSWERS, "block": block, "bucket": bucket, "part": 0, "payload": dump(c.astype("<u4"), total[mine].astype("<u4"), lengths)})
+            out.append({"kind": ANSWERS, "block": block, "bucket": bucket, "part": 0, "payload": dump(c.astype("<u8"), total[mine].astype("<u8"), lengths)})
             open_ = np.minimum.reduceat(c, at) == 0
             out += [{"kind": NEED, "block": block, "bucket": bucket, "part": i, "h": k} for i, k in zip(np.flatnonzero(open_ & (total[mine] > 0)).tolist(), keys[mine][open_ & (total[mine] > 0)].view(np.int64).tolist(), strict=True)]
         edges = np.r_[own_h, len(pair_h)]
