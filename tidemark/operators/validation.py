@@ -57,14 +57,16 @@ def overfitting(spark: SparkSession, trials: DataFrame, n: int, groups: int) ->
 
 
 def deflated_sharpe(rows: DataFrame) -> DataFrame:
-    """rows(..., observed, n_trials, n_obs, var_trials, skew, kurt) with deflated: the chance that the ratio beats the best of n_trials by luck."""
+    """rows(..., observed, n_trials, n_obs, var_trials, skew, kurt) with deflated: the chance that the ratio beats the best of n_trials by luck.
+
+    Null where a figure is missing, for fewer than three observations, for ratios that don't vary, and where the spread isn't positive."""
 
     @F.pandas_udf("double")
     def chance(observed: pd.Series, trials: pd.Series, n: pd.Series, var: pd.Series, skew: pd.Series, kurt: pd.Series) -> pd.Series:
         z = NormalDist()
 
         def one(sr, k, n, v, s, q):
-            if any(x is None or x != x for x in (sr, k, n, v, s, q)) or k < 1 or n < 2 or v < 0:
+            if any(x is None or x != x for x in (sr, k, n, v, s, q)) or k < 1 or n < 3 or v <= 0:
                 return None
             best = 0.0 if k == 1 else math.sqrt(v) * ((1 - EULER) * z.inv_cdf(1 - 1 / k) + EULER * z.inv_cdf(1 - 1 / (k * math.e)))
             spread = 1 - s * sr + (q - 1) / 4 * sr * sr
