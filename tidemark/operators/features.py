@@ -23,6 +23,25 @@ def ewma_volatility(returns: DataFrame, span: int = 20, per_year: int = YEAR) ->
     return spread.select("asset", F.when(F.col("n") >= 2, F.sqrt("var") * math.sqrt(per_year)).alias("ewma_vol"))
 
 
+def ewma_by_day(returns: DataFrame, span: int = 20, per_year: int = YEAR) -> DataFrame:
+    """returns(asset, pos, ret) with ewma_vol up to each row; null below two returns. Weights below a double's last place, (1 - alpha) ** age
+    < 2 ** -53, can't move a sum, so a row looks back over those above it: 368 rows at a span of 20."""
+    keep = 1 - 2 / (span + 1)
+    memory = math.ceil(-53 * math.log(2) / math.log(keep))
+    number = F.count("ret").over(Window.partitionBy("asset").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))  # rows without return have that of the last one with
+    seen = F.collect_list("ret").over(Window.partitionBy("asset").orderBy("_k").rangeBetween(-memory, 0))  # without nulls
+
+    def step(s: Column, x: Column) -> Column:  # West's update: older weights fade, the newest is 1
+        w = s["w"] * keep + 1
+        m = s["m"] + (x - s["m"]) / w
+        return F.struct(w.alias("w"), m.alias("m"), (s["s"] * keep + (x - s["m"]) * (x - m)).alias("s"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "wms"])
+    spread = F.aggregate("_seen", zero, step, lambda s: F.try_divide(s["s"], s["w"]))
+    r = returns.withColumn("_k", number).withColumn("_seen", seen)
+    return r.withColumn("ewma_vol", F.when(F.size("_seen") >= 2, F.sqrt(spread) * math.sqrt(per_year))).drop("_k", "_seen")
+
+
 def yang_zhang(bars: DataFrame, per_year: int = YEAR) -> DataFrame:
     """bars(asset, pos, open, high, low, close), all positive -> asset, yang_zhang; null below three bars."""
     w = Window.partitionBy("asset").orderBy("pos")
@@ -177,6 +196,12 @@ def stationarity(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     return series.select("asset", "pos", "close").groupBy("asset").applyInPandas(test, "asset string, n long, unit_root_p double, level_p double, verdict string")
 
 
+def gated_half_life(series: DataFrame, tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """half_life() of the series whose unit root tests(asset, unit_root_p) reject; null for the others."""
+    rejected = tests.where(F.col("unit_root_p") < alpha).select("asset")
+    return series.select("asset").distinct().join(half_life(series).join(rejected, "asset", "left_semi"), "asset", "left")
+
+
 class Registry:
     """Features by name and version: functions (rows, asof, **params) -> rows, with required columns and a range of valid values."""
 

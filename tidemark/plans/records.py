@@ -244,31 +244,3 @@ def regimes(t: Tables) -> DataFrame:
 def stat_regime(t: Tables) -> DataFrame:
     off = F.col("volatility").isin("HIGH", "EXTREME") | (F.col("liquidity") == "STRESSED") | (F.col("correlation") > 0.7)
     return rounded(regimes(t).select("asset", F.concat_ws("/", "trend", "volatility", "liquidity").alias("label"), "correlation", off.alias("risk_off")))
-
-
-@query("""SELECT r.asset, r.trend, r.volatility, round(o.close, 6) AS close, round(ewma_vol, 6) AS ewma_vol, round(momentum, 6) AS momentum, coalesce(row_number() OVER (ORDER BY momentum DESC NULLS LAST, r.asset) <= 2 AND momentum IS NOT NULL, false) AS candidate
-    FROM reg r JOIN own o ON o.asset = r.asset AND o.d = r.d LEFT JOIN ewma e ON e.asset = r.asset LEFT JOIN (SELECT asset, pos, lag(close, 21) OVER (PARTITION BY asset ORDER BY pos) / lag(close, 201) OVER (PARTITION BY asset ORDER BY pos) - 1 AS momentum FROM own) m ON m.asset = o.asset AND m.pos = o.pos""", REGIME)
-def pipe_watchlist(t: Tables) -> DataFrame:
-    """Each asset's last close, volatility, trend and momentum, and the two candidates."""
-    w = g.by_asset()
-    moment = daily(t).withColumn("momentum", F.lag("close", 21).over(w) / F.lag("close", 201).over(w) - 1)
-    rows = regimes(t).join(last_of(moment.where("momentum is not null"), "momentum"), "asset", "left")
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("momentum"), "asset"))  # a row an asset
-    out = rows.withColumn("candidate", (place <= 2) & F.col("momentum").isNotNull())
-    return rounded(out.select("asset", "trend", "volatility", "close", "ewma_vol", "momentum", "candidate"))
-
-
-@query("""SELECT c.d, round(b.ret, 6) AS yesterday, coalesce(e.n, 0) AS pending, coalesce(e.urgent, 0) AS urgent, coalesce(x.n, 0) AS upcoming FROM cal_day c
-    LEFT JOIN (SELECT d, lag(ret) OVER (ORDER BY d) AS ret FROM (SELECT d, close / lag(close) OVER (ORDER BY d) - 1 AS ret FROM px_daily WHERE asset = (SELECT asset FROM assets WHERE ord = 0))) b ON b.d = c.d
-    LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1) e ON e.d = c.d
-    LEFT JOIN (SELECT CAST(CAST(o_orderdate AS DATE) - k AS DATE) AS d, count(*) AS n FROM orders, (SELECT unnest(range(1, 4))::INTEGER AS k) WHERE o_orderpriority = '2-HIGH' GROUP BY 1) x ON x.d = c.d""")
-def pipe_brief(t: Tables) -> DataFrame:
-    """A row a session: the benchmark's return of the one before, what waits, and what the next three days bring."""
-    o, day = t.read("orders"), F.to_date("o_orderdate").alias("d")
-    own = t.px_daily.join(t.assets.where("ord = 0").select("asset"), "asset")
-    w = Window.partitionBy("asset").orderBy("d")
-    back = own.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).withColumn("yesterday", F.lag("ret").over(w)).select("d", "yesterday")
-    waits = o.groupBy(day).agg(F.count("*").alias("pending"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    ahead = o.where("o_orderpriority = '2-HIGH'").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.date_sub(F.to_date("o_orderdate"), k))).alias("d")).groupBy("d").agg(F.count("*").alias("upcoming"))
-    out = g.calendar(t.px_daily).select("d").join(back, "d", "left").join(waits, "d", "left").join(ahead, "d", "left")
-    return rounded(out.select("d", "yesterday", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("pending", "urgent", "upcoming")]))
