@@ -6,7 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.operators import features, reports, risk
+from tidemark.plans.views import Tables
+
+SMALL = "/root/testdata/sf0.001"
 
 HOW = reports.Watching(limits=risk.Limits(position=0.4, sector=2.0, net=2.0, top5=2.0))
 
@@ -216,3 +220,27 @@ def test_brief_uses_what_was_known_before(spark):
     assert got[2]["gross"] is None and (got[3]["gross"], got[3]["net"], got[4]["top5"]) == (0.8, 0.2, 0.8) and got[3]["usage"] == pytest.approx(2.0)
     assert [(got[i]["cards"], got[i]["blocking"], got[i]["rejected"], got[i]["upcoming"]) for i in (1, 2, 4)] == [(0, 0, 0, 0), (1, 1, 1, 0), (1, 0, 0, 7)]
     assert got[2]["total"] == 0.1 and got[3]["total"] is None
+
+
+def test_mean_reverting_features_of_the_tables(spark):
+    """udf_mean_reverting and stat_stationarity over the smallest tables: each series anew, by the regressions above."""
+    prices = Tables(spark, SMALL).px_daily.select("asset", "d", "close").toPandas().sort_values(["asset", "d"])
+    tests = {r["asset"]: r for r in catalogue.QUERIES["stat_stationarity"](spark, SMALL).collect()}
+    halves = {r["asset"]: r["half_life"] for r in catalogue.QUERIES["udf_mean_reverting"](spark, SMALL).collect()}
+    assert set(tests) == set(halves) == set(prices["asset"])
+    given = 0
+    for k, own in prices.groupby("asset"):
+        y = own["close"].to_numpy(float)
+        n = len(y)
+        t = unit_root_t(y, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
+        z = 2.1659 + 1.4412 * t + 0.038269 * t**2 if t <= -1.61 else 1.7339 + 0.93202 * t - 0.12745 * t**2 - 0.010368 * t**3
+        root = (1 + math.erf(z / math.sqrt(2))) / 2 if t > -18.83 else 0.0
+        level = float(np.interp(level_stat(list(y)), [0.347, 0.463, 0.574, 0.739], [0.1, 0.05, 0.025, 0.01]))
+        assert tests[k]["unit_root_p"] == pytest.approx(root, rel=1e-4, abs=1e-12) and tests[k]["level_p"] == pytest.approx(level, rel=1e-6), k
+        verdict = "STATIONARY" if root < 0.05 < level else "NON_STATIONARY" if root >= 0.05 >= level else "INCONCLUSIVE"
+        b = regression(np.diff(y), np.column_stack([y[:-1], np.ones(n - 1)]))[0][0]
+        h = -math.log(2) / math.log(1 + b) if n >= 30 and -1 < b < 0 else math.inf
+        want = h if verdict == "STATIONARY" and h <= n / 2 else None
+        assert tests[k]["verdict"] == verdict and halves[k] == (None if want is None else pytest.approx(want, rel=1e-6)), k
+        given += want is not None
+    assert given
