@@ -45,7 +45,10 @@ def checked(bars: DataFrame, how: Watching = Watching()) -> DataFrame:
     n, end = F.col("n"), F.col("end")
     enough, alerts = n >= how.least_rows, F.when(n < how.least_rows, F.lit(1).cast("long")).otherwise(F.col("faults"))
     momentum = F.when(n > how.skip + how.lookback, F.try_divide(end, "start") - 1).when(n > how.skip + 20, F.try_divide(end, "first") - 1)
-    return a.select("asset", "n", alerts.alias("n_alerts"), (alerts == 0).alias("tradable"), F.when(enough, F.col("last")).alias("close"), F.when(alerts == 0, momentum).alias("momentum"))
+    return a.select(
+        "asset", "n", alerts.alias("n_alerts"), (alerts == 0).alias("tradable"), F.when(enough, F.col("last")).alias("close"),
+        F.when(alerts == 0, momentum).alias("momentum"),
+    )
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -128,9 +131,13 @@ def brief(calendar: DataFrame, attribution: DataFrame, regimes: DataFrame, cards
     """calendar(d, pos) with what is known before each session opens: attribution(pos, ...) up to the session before, the last of regimes(d, ...)
     and of exposure(d, ...) before it, its cards(d, ...) and what events(d, upcoming) announces. Counts are 0 where there is nothing."""
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # a row a session
-    late = regimes.select("d", F.struct("label", "risk_off").alias("regime")).join(exposure.select("d", F.struct("gross", "net", "top5", "usage").alias("held")), "d", "full_outer")
+    held = exposure.select("d", F.struct("gross", "net", "top5", "usage").alias("held"))
+    late = regimes.select("d", F.struct("label", "risk_off").alias("regime")).join(held, "d", "full_outer")
     last = lambda c: F.last(c, ignorenulls=True).over(w).alias(c)
     known = calendar.join(late, "d", "left").select("d", "pos", last("regime"), last("held"))
     out = known.join(attribution, "pos", "left").join(cards, "d", "left").join(events, "d", "left")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cards", "blocking", "rejected", "upcoming")]
-    return out.select("d", "total", "beta", "market", "cost_drag", "timing", "alpha", "regime.label", "regime.risk_off", "held.gross", "held.net", "held.top5", "held.usage", *counts)
+    return out.select(
+        "d", "total", "beta", "market", "cost_drag", "timing", "alpha", "regime.label", "regime.risk_off",
+        "held.gross", "held.net", "held.top5", "held.usage", *counts,
+    )
