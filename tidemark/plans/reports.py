@@ -13,10 +13,10 @@ from .views import Tables
 
 HOW = re.Watching(trend=0.002)
 
-#: Bars with what a gate must find: a negative volume here, a jump there, and assets listed only lately.
+#: All bars, with what a gate must find: a negative volume here, a jump there.
 WATCHED = """watch_bars AS (SELECT d, asset, CASE WHEN asset LIKE '%7' AND day(d) = 21 THEN close * 1.15 ELSE close END AS close, CASE WHEN asset
         LIKE '%4' AND day(d) = 14 THEN -volume ELSE volume END AS volume
-    FROM px_daily WHERE NOT (asset LIKE '%9' AND d >= DATE '1995-04-01')), """ + (EWMA + TREND.removeprefix(OWN)).replace("FROM px_daily", "FROM watch_bars") + """,
+    FROM px_daily), """ + (EWMA + TREND.removeprefix(OWN)).replace("FROM px_daily", "FROM watch_bars") + """,
 wb AS (SELECT *, volume >= 0 AND close > 0 AS sound, row_number() OVER (PARTITION BY asset ORDER BY pos DESC) AS back FROM own),
 wl AS (SELECT *, last_value(CASE WHEN sound THEN close END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1
         PRECEDING) AS b FROM wb),
@@ -37,8 +37,7 @@ wc AS (SELECT 'POSITION' AS code FROM ww WHERE weight > 0.05 UNION SELECT 'SECTO
 def watched(t: Tables) -> DataFrame:
     day = F.dayofmonth("d")
     jumps, bad = F.col("asset").endswith("7") & (day == 21), F.col("asset").endswith("4") & (day == 14)
-    bars = daily(t).where(~(F.col("asset").endswith("9") & (F.col("d") >= "1995-04-01")))
-    return bars.withColumn("close", F.when(jumps, F.col("close") * 1.15).otherwise(F.col("close"))).withColumn("volume", F.when(bad, -F.col("volume")).otherwise(F.col("volume")))
+    return daily(t).withColumn("close", F.when(jumps, F.col("close") * 1.15).otherwise(F.col("close"))).withColumn("volume", F.when(bad, -F.col("volume")).otherwise(F.col("volume")))
 
 
 def watch(t: Tables) -> DataFrame:
