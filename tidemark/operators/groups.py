@@ -28,7 +28,10 @@ def quadrant(ratio: Column, momentum: Column) -> Column:
 
 
 def percent(x: Column, digits: int = 1, sign: bool = True) -> Column:
-    return F.format_string(f"%{'+' if sign else ''}.{digits}f%%", F.round(100 * x, digits))
+    """x in percent as C prints it: what rounds to nothing keeps its sign, as in -0.0%; null of null."""
+    near = F.round(100 * x, digits)  # by decimals, which have no negative zero
+    near = F.when((x < 0) & (near == 0), F.lit(-0.0)).otherwise(near)
+    return F.when(x.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{digits}f%%", near))
 
 
 def reason() -> Column:
