@@ -1,7 +1,9 @@
-"""Operators whose state lives in the state store entry by entry, with timers on event time: order guards, dead man's switches and alert routing.
+"""Operators whose state lives in the state store, with timers on event time: order guards, dead man's switches and alert routing.
 
-A batch's rows of one key are handled together, in the order of time and id; how many there are is bounded by what a trigger reads. State
-is read and written by entry, never as a whole, and goes by timer once the watermark has passed the time for which it matters.
+Entities are dealt over a fixed number of buckets by hash, and a bucket is a key of the state: a call into the store costs about as much as handling
+a hundred rows, so a trigger's rows of a bucket are handled together, in the order of time and id, with a few calls for all its entities. What a
+trigger leaves behind is appended to its buckets' state, packed as Arrow, and goes by timer once the watermark has passed the time for which it
+matters. How many rows come together is bounded by what a trigger reads over the number of buckets.
 """
 
 from __future__ import annotations
@@ -11,11 +13,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What the state of these operators needs.
-STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: What the state of these operators needs: a store on disk, whose memory is bounded for all tasks of an executor together.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+#: In how many buckets an operator's entities lie. It can't change for a query that has begun.
+BUCKETS = 256
 
 
 def _in_order(rows: Iterator[pd.DataFrame], at: str) -> pd.DataFrame:
@@ -24,61 +33,112 @@ def _in_order(rows: Iterator[pd.DataFrame], at: str) -> pd.DataFrame:
     return both.sort_values(["us", "event_id"])
 
 
+def _frame(rows: list[tuple], kinds: dict[str, str]) -> pd.DataFrame:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pd.DataFrame({c: pd.Series(list(values), dtype=k) for (c, k), values in zip(kinds.items(), columns, strict=True)})
+
+
+class _Held:
+    """A bucket's rows in a list of the state store: packed as Arrow, appended, never changed, and written anew by timer without what has gone."""
+
+    PIECE = 50_000
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: pa.Schema) -> None:
+        self.list, self.schema = handle.getListState(name, "packed binary"), schema
+
+    def rows(self) -> Iterator[tuple]:
+        if self.list.exists():
+            for (packed,) in self.list.get():
+                with pa.ipc.open_stream(bytes(packed)) as stream:
+                    yield from zip(*[c.to_pylist() for c in stream.read_all().columns], strict=True)
+
+    def _packed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for k in range(0, len(rows), self.PIECE):
+            piece = [pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + self.PIECE], strict=True), self.schema, strict=True)]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as stream:
+                stream.write_batch(pa.record_batch(piece, schema=self.schema))
+            out.append((sink.getvalue().to_pybytes(),))
+        return out
+
+    def add(self, rows: list[tuple]) -> None:
+        if rows:
+            self.list.appendList(self._packed(rows))
+
+    def put(self, rows: list[tuple]) -> None:
+        self.list.put(self._packed(rows)) if rows else self.list.clear()
+
+
+def _schema(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+def _dealt(stream: DataFrame, at: str, late: str, buckets: int):
+    """The stream by bucket; entities travel as text, as pandas has no null among integers."""
+    named = stream.withWatermark(at, late).withColumn("entity", F.col("entity").cast("string"))
+    return named.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.lit(buckets))).groupBy("bucket")
+
+
 class _Guard(StatefulProcessor):
+    OUT = {"event_id": "int64", "duplicate": "bool", "halted": "bool", "far": "bool"}
+
     def __init__(self, limit: int, seconds: int, deviation: float, remembered_ms: int) -> None:
         self.limit, self.span, self.deviation, self.remembered_ms = limit, seconds * 1_000_000, deviation, remembered_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "idempotency_key string", "us bigint")
-        self.recent = handle.getListState("recent", "us bigint")
+        self.seen = _Held(handle, "seen", _schema(entity=pa.string(), name=pa.string(), us=pa.int64()))
+        self.recent = _Held(handle, "recent", _schema(entity=pa.string(), us=pa.int64()))
+
+    def _seen(self, limit_ms: int) -> dict[tuple, int]:
+        """The keys used since then, with the time of their last use."""
+        seen = {}
+        for entity, name, us in self.seen.rows():
+            if us // 1000 >= limit_ms and us >= seen.get((entity, name), us):
+                seen[entity, name] = us
+        return seen
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = _in_order(rows, "ts")
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        out = []
-        for row in batch.to_dict("records"):
-            now, name = row["us"], (row["idempotency_key"],)
-            recent = [x for x in recent if now - x < self.span]
+        batch, watermark = _in_order(rows, "ts"), timerValues.getCurrentWatermarkInMs()
+        seen, used, recents, out = self._seen(watermark - self.remembered_ms), {}, {}, []
+        for entity, us in self.recent.rows():
+            recents.setdefault(entity, []).append(us)
+        for event, entity, name, now, price, ref in zip(*[batch[c].tolist() for c in ("event_id", "entity", "idempotency_key", "us", "price", "ref_price")], strict=True):
+            recent = [x for x in recents.get(entity, ()) if now - x < self.span]
             before = [x for x in recent if x < now]
             halted = len(before) >= self.limit
-            duplicate = self.seen.containsKey(name)
+            duplicate = (entity, name) in seen
             if not duplicate:
                 recent = before[-self.limit :] + [x for x in recent if x >= now][-self.limit :] + [now]  # as many as the limit are enough to halt
-            if not duplicate or self.seen.getValue(name)[0] < now:
-                self.seen.updateValue(name, (now,))
-            far = bool(row["ref_price"] > 0 and abs(row["price"] / row["ref_price"] - 1) > self.deviation)
-            out.append((row["event_id"], duplicate, halted, far))
-        if recent:
-            self.recent.put([(x,) for x in recent])
+            recents[entity] = recent
+            if not duplicate or seen[entity, name] < now:
+                seen[entity, name] = used[entity, name] = now
+            far = bool(ref > 0 and abs(price / ref - 1) > self.deviation)
+            out.append((event, duplicate, halted, far))
+        self.seen.add([(entity, name, us) for (entity, name), us in used.items()])
+        self.recent.put([(entity, us) for entity, recent in recents.items() for us in recent if us > watermark * 1000 - self.span])
         if next(iter(self.handle.listTimers()), None) is None:
             self.handle.registerTimer(int(batch["us"].min() // 1000) + self.remembered_ms + 1)
-        yield pd.DataFrame(out, columns=["event_id", "duplicate", "halted", "far"])
+        yield _frame(out, self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Forget the keys that have been out of use for long enough, and come back when the oldest of the others will have."""
         limit = timerValues.getCurrentWatermarkInMs() - self.remembered_ms
-        gone, oldest = [], None
-        for name, (us,) in self.seen.iterator():
-            if us // 1000 < limit:
-                gone.append(name)
-            elif oldest is None or us < oldest:
-                oldest = us
-        for name in gone:
-            self.seen.removeKey(name)
-        if oldest is not None:
-            # not more often than a quarter of the time, so that each entry is visited a few times only
-            self.handle.registerTimer(max(int(oldest // 1000) + 1, limit + self.remembered_ms // 4) + self.remembered_ms)
+        seen = self._seen(limit)
+        self.seen.put([(entity, name, us) for (entity, name), us in seen.items()])
+        if seen:
+            # not more often than a quarter of the time, so that each entry is written anew a few times only
+            self.handle.registerTimer(max(min(seen.values()) // 1000 + 1, limit + self.remembered_ms // 4) + self.remembered_ms)
         else:
-            self.seen.clear()
-            self.recent.clear()
-        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "duplicate": pd.Series(dtype=bool), "halted": pd.Series(dtype=bool), "far": pd.Series(dtype=bool)})
+            self.recent.put([])
+        yield _frame([], self.OUT)
 
     def close(self) -> None:
         pass
 
 
-def orders_guarded(stream: DataFrame, limit: int = 10, seconds: int = 60, deviation: float = 0.05, remembered_ms: int = 86_400_000, late: str = "1 minute") -> DataFrame:
+def orders_guarded(stream: DataFrame, limit: int = 10, seconds: int = 60, deviation: float = 0.05, remembered_ms: int = 86_400_000, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """orders(event_id, entity, idempotency_key, ts, price, ref_price) -> event_id, duplicate, halted and far.
 
     A duplicate has a key that its entity used before; an order is halted if `limit` or more first ones came within the seconds before it; it is
@@ -86,7 +146,7 @@ def orders_guarded(stream: DataFrame, limit: int = 10, seconds: int = 60, deviat
     there, whether or not its entity goes on ordering: what an active entity keeps is bounded by what it orders in 1.25 times that time.
     """
     guard = _Guard(limit, seconds, deviation, remembered_ms)
-    return stream.withWatermark("ts", late).groupBy("entity").transformWithStateInPandas(guard, "event_id long, duplicate boolean, halted boolean, far boolean", "Append", "EventTime")
+    return _dealt(stream, "ts", late, buckets).transformWithStateInPandas(guard, "event_id long, duplicate boolean, halted boolean, far boolean", "Append", "EventTime")
 
 
 class _Switch(StatefulProcessor):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,17 +19,29 @@ def as_stream(rows: DataFrame, label: str, files: int = 4) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def as_ordered_stream(rows: DataFrame, label: str, at: str, batches: int = 4) -> DataFrame:
-    """rows as a file stream whose batches follow each other in time."""
-    path = folder(rows.sparkSession, label)
-    low, high = rows.agg(F.min(F.unix_micros(F.col(at).cast("timestamp"))), F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()
+def as_ordered_stream(rows: DataFrame, label: str, at: str, batches: int = 4, rows_a_file: int = 500_000) -> DataFrame:
+    """rows as a file stream whose batches follow each other in time. A batch is as many files as its rows fill, the same number for all batches, so
+    that no task writes a whole batch and every trigger takes exactly one."""
+    spark, path = rows.sparkSession, folder(rows.sparkSession, label)
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    low, high, n = rows.agg(F.min(us), F.max(us), F.count("*")).first()
+    files = 1 if low is None else max(1, math.ceil(n / batches / rows_a_file))
     if low is None:
         rows.write.parquet(path)
     else:
-        part = F.floor((F.unix_micros(F.col(at).cast("timestamp")) - low) * batches / (high - low + 1))
+        part = F.floor((us - low) * batches / (high - low + 1))
+        if files > 1:  # computed once, in parallel, and read again by batch
+            given, kept = rows.schema, folder(spark, f"{label}-by-batch")
+            rows.withColumn("batch_number", part).write.partitionBy("batch_number").parquet(kept)
+            rows, part = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in given.fields)}, batch_number bigint").parquet(kept), F.col("batch_number")
         for k in range(batches):
-            rows.where(part == k).coalesce(1).write.mode("append").parquet(path)  # a batch of a feed
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            batch = rows.where(part == k).drop("batch_number")
+            (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)  # a batch of a feed
+            missing = files * (k + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles()) if files > 1 else 0
+            for _ in range(missing):  # an empty task writes no file
+                batch.limit(0).coalesce(1).write.mode("append").parquet(path)
+        rows = rows.drop("batch_number")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
