@@ -39,6 +39,25 @@ def test_orders_of_many_entities_share_a_bucket(spark):
     assert entries(said) < 60  # of over 300 entities and 900 keys
 
 
+def test_beats_of_many_entities_share_a_bucket_and_closed_ones_keep_nothing(spark):
+    draw = random.Random(22)
+    who = [None, BIG, BIG + 1, *range(300)]
+    rows = [(i, draw.choice(who), at(i / 10)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, entity long, at timestamp")
+    us = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    want, last, end = [], {}, us(rows[-1][2])
+    for _, e, t in rows:
+        if e not in last or us(t) - last[e] > 300_000_000:
+            want += [(e, us(t), "NORMAL")] + ([(e, last[e] + 300_000_000, "CLOSE_ONLY")] if e in last else [])
+        last[e] = us(t)
+    want += [(e, x + 300_000_000, "CLOSE_ONLY") for e, x in last.items() if (x + 300_000_000) // 1000 + 1 <= end // 1000]
+    for batches in (1, 5):
+        said = []
+        out = streams.drained(processors.modes_switched(streams.as_ordered_stream(df, "beats", "at", batches), buckets=4), "modes", conf=processors.STORE, progress_of=said)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr), batches
+        assert entries(said) < 60
+
+
 def test_a_batch_of_several_files_is_one_trigger(spark):
     rows = [(i, at(i)) for i in range(200)] + [(1000, at(399)), (1001, at(800))]  # full batches, one of one row, an empty one, one of one row
     df = spark.createDataFrame(rows, "event_id long, at timestamp")

@@ -150,49 +150,64 @@ def orders_guarded(stream: DataFrame, limit: int = 10, seconds: int = 60, deviat
 
 
 class _Switch(StatefulProcessor):
+    OUT = {"entity": "object", "at_us": "int64", "mode": "object"}
+
     def __init__(self, timeout_ms: int) -> None:
         self.timeout_us = timeout_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us bigint, closed boolean")
+        self.open = _Held(handle, "open", _schema(entity=pa.string(), us=pa.int64()))
+
+    def _open(self) -> dict[str | None, int]:
+        """The entities that aren't closed, with their last heartbeat."""
+        last = {}
+        for entity, us in self.open.rows():
+            last[entity] = max(us, last.get(entity, us))
+        return last
 
-    def _rows(self, key, changes: list[tuple[int, str]]) -> pd.DataFrame:
-        return pd.DataFrame({"entity": pd.Series([key[0]] * len(changes), dtype="int64"), "at_us": pd.Series([c[0] for c in changes], dtype="int64"), "mode": pd.Series([c[1] for c in changes], dtype="object")})
+    def _ends(self, us: int) -> int:
+        return (us + self.timeout_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, closed = self.last.get() if self.last.exists() else (None, True)
-        changes = []
-        for us in _in_order(rows, "at")["us"].tolist():
-            if last is not None and us - last > self.timeout_us and not closed:
-                changes.append((last + self.timeout_us, "CLOSE_ONLY"))
-                closed = True
-            if closed:
-                changes.append((us, "NORMAL"))
-            last, closed = us if last is None else max(us, last), False
-        self.last.update((last, closed))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.timeout_us) // 1000 + 1)
-        yield self._rows(key, changes)
+        last, beats, changes = self._open(), {}, []
+        batch = _in_order(rows, "at")
+        for entity, us in zip(batch["entity"].tolist(), batch["us"].tolist(), strict=True):
+            before = last.get(entity)
+            if before is not None and us - before > self.timeout_us:
+                changes.append((entity, before + self.timeout_us, "CLOSE_ONLY"))
+            if before is None or us - before > self.timeout_us:
+                changes.append((entity, us, "NORMAL"))
+            last[entity] = beats[entity] = us if before is None else max(us, before)
+        self.open.add(list(beats.items()))
+        due, first = self._ends(min(beats.values())), next(iter(self.handle.listTimers()), None)
+        if first is None or due < first:
+            self.handle.registerTimer(due)
+        yield _frame(changes, self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, closed = self.last.get()
-        changes = [] if closed else [(last + self.timeout_us, "CLOSE_ONLY")]
-        self.last.update((last, True))
-        yield self._rows(key, changes)
+        """Close and forget those whose time is over, and come back when the next one's will be."""
+        watermark, last = timerValues.getCurrentWatermarkInMs(), self._open()
+        gone = {entity for entity, us in last.items() if self._ends(us) <= watermark}
+        left = [(entity, us) for entity, us in last.items() if entity not in gone]
+        self.open.put(left)
+        if left:
+            self.handle.registerTimer(min(self._ends(us) for _, us in left))
+        yield _frame([(entity, last[entity] + self.timeout_us, "CLOSE_ONLY") for entity in gone], self.OUT)
 
     def close(self) -> None:
         pass
 
 
-def modes_switched(stream: DataFrame, timeout_ms: int = 300_000, late: str = "0 seconds") -> DataFrame:
+def modes_switched(stream: DataFrame, timeout_ms: int = 300_000, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """beats(event_id, entity, at) -> entity, at_us, mode: every change of what an entity may do.
 
     A heartbeat opens (NORMAL); when none has come for more than timeout_ms, a timer on the watermark closes (CLOSE_ONLY, at the time at which the
-    timeout ended), without any row of the entity. A silence that begins and ends within one batch gives the same two changes.
+    timeout ended), without any row of the entity. A silence that begins and ends within one batch gives the same two changes. A closed entity
+    keeps no state.
     """
-    return stream.withWatermark("at", late).groupBy("entity").transformWithStateInPandas(_Switch(timeout_ms), "entity long, at_us long, mode string", "Append", "EventTime")
+    changes = _dealt(stream, "at", late, buckets).transformWithStateInPandas(_Switch(timeout_ms), "entity string, at_us long, mode string", "Append", "EventTime")
+    return changes.withColumn("entity", F.col("entity").cast("long"))
 
 
 class Texts:
