@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.text import Router
 from tidemark.streaming import processors, streams
 
 START = dt.datetime(2024, 1, 1)
@@ -58,6 +59,20 @@ def test_beats_of_many_entities_share_a_bucket_and_closed_ones_keep_nothing(spar
         assert entries(said) < 60
 
 
+def test_alerts_of_many_entities_share_a_bucket(spark):
+    draw = random.Random(23)
+    who = [None, BIG, BIG + 1, *range(200)]
+    words = ["pricefell", "volumerose", "boardresigned", "profitwarning", "courtruling", "merger"]
+    rows = [(i, draw.choice(who), draw.choice(("P0", "P1", "P2")), draw.choice(words) + draw.choice(("", "x", str(i))), at(4 * i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, entity long, severity string, norm string, created_at timestamp")
+    said = []
+    stream = streams.as_ordered_stream(df, "alerts", "created_at", 3)
+    got = {r["event_id"]: (r["entity"], r["routed"]) for r in streams.drained(processors.alerts_routed(stream, buckets=4), "routed", conf=processors.STORE, progress_of=said).collect()}
+    routers = {}
+    assert got == {i: (e, routers.setdefault(e, Router()).route(t.timestamp(), severity, norm)) for i, e, severity, norm, t in rows}
+    assert entries(said) < 60
+
+
 def test_a_batch_of_several_files_is_one_trigger(spark):
     rows = [(i, at(i)) for i in range(200)] + [(1000, at(399)), (1001, at(800))]  # full batches, one of one row, an empty one, one of one row
     df = spark.createDataFrame(rows, "event_id long, at timestamp")

@@ -222,6 +222,12 @@ class Texts:
         self.last[text] = max(us, self.last.get(text, us))
         self.by_length.setdefault(len(text), {}).setdefault(text, Counter(text))
 
+    def forget(self, before: int) -> None:
+        for text in [x for x, us in self.last.items() if us < before]:
+            del self.last[text], self.by_length[len(text)][text]
+            if not self.by_length[len(text)]:
+                del self.by_length[len(text)]
+
     def like(self, text: str, since: int) -> bool:
         """Whether a text used since then has a ratio of the threshold or more; equal ones have."""
         if self.last.get(text, since - 1) >= since:
@@ -239,65 +245,71 @@ class Texts:
 
 class _Alerts(StatefulProcessor):
     DAY, HOUR = 86_400_000_000, 3_600_000_000
+    OUT = {"event_id": "int64", "entity": "object", "routed": "object", "digest": "object"}
 
     def __init__(self, hourly: int, threshold: float) -> None:
         self.hourly, self.threshold = hourly, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getMapState("recent", "norm string", "us bigint")
-        self.hour = handle.getListState("hour", "us bigint, event_id bigint, counts boolean")
+        self.recent = _Held(handle, "recent", _schema(entity=pa.string(), norm=pa.string(), us=pa.int64()))
+        self.hour = _Held(handle, "hour", _schema(entity=pa.string(), us=pa.int64(), event_id=pa.int64(), counts=pa.bool_()))
 
-    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        kinds = {"event_id": "int64", "entity": "int64", "routed": "object", "digest": "object"}
-        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=k) for i, (c, k) in enumerate(kinds.items())})
+    def _recent(self, since: int) -> dict[tuple[str | None, str], int]:
+        """The texts used since then by entity, with the time of their last use."""
+        recent = {}
+        for entity, norm, us in self.recent.rows():
+            if us >= since:
+                recent[entity, norm] = max(us, recent.get((entity, norm), us))
+        return recent
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = _in_order(rows, "created_at")
-        texts = Texts(self.threshold)
-        for (norm,), (us,) in self.recent.iterator():
-            texts.add(norm, us)
-        hour = list(self.hour.get()) if self.hour.exists() else []
-        out = []
-        for row in batch.to_dict("records"):
-            us, norm, at_once = row["us"], row["norm"], row["severity"] == "P0"
-            if not at_once and texts.like(norm, us - self.DAY):
-                out.append((row["event_id"], key[0], "suppressed", None))
+        batch, watermark = _in_order(rows, "created_at"), timerValues.getCurrentWatermarkInMs() * 1000
+        texts: dict[str | None, Texts] = {}
+        for (entity, norm), us in self._recent(watermark - self.DAY).items():
+            texts.setdefault(entity, Texts(self.threshold)).add(norm, us)
+        hours, swept, used, out = {}, {}, {}, []
+        for entity, *h in self.hour.rows():
+            hours.setdefault(entity, []).append(tuple(h))
+        for event, entity, us, norm, severity in zip(*[batch[c].tolist() for c in ("event_id", "entity", "us", "norm", "severity")], strict=True):
+            own, at_once = texts.setdefault(entity, Texts(self.threshold)), severity == "P0"
+            if us - swept.setdefault(entity, us) > self.DAY // 4:  # rows come in order, so what is a day older than this one is asked for no more
+                own.forget(us - self.DAY)
+                swept[entity] = us
+            if not at_once and own.like(norm, us - self.DAY):
+                out.append((event, entity, "suppressed", None))
                 continue
-            texts.add(norm, us)
-            self.recent.updateValue((norm,), (texts.last[norm],))
-            hour = [h for h in hour if us - h[0] < self.HOUR] + [(us, int(row["event_id"]), not at_once)]
+            own.add(norm, us)
+            used[entity, norm] = own.last[norm]
+            hour = hours[entity] = [h for h in hours.get(entity, ()) if us - h[0] < self.HOUR] + [(us, event, not at_once)]
             gathered = not at_once and sum(h[2] for h in hour) > self.hourly
-            out.append((row["event_id"], key[0], "digest" if gathered else "sent", ",".join(str(h[1]) for h in hour) if gathered else None))
-        if hour:
-            self.hour.put(hour)
+            out.append((event, entity, "digest" if gathered else "sent", ",".join(str(h[1]) for h in hour) if gathered else None))
+        self.recent.add([(entity, norm, us) for (entity, norm), us in used.items()])
+        self.hour.put([(entity, *h) for entity, hour in hours.items() for h in hour if h[0] > watermark - self.HOUR])
         if next(iter(self.handle.listTimers()), None) is None:
             self.handle.registerTimer((int(batch["us"].min()) + self.DAY) // 1000 + 1)
-        yield self._rows(out)
+        yield _frame(out, self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Forget the texts of over a day ago, and come back when the oldest of the others will be."""
         limit = timerValues.getCurrentWatermarkInMs() * 1000 - self.DAY
-        found = [(norm, us) for norm, (us,) in self.recent.iterator()]
-        for norm, us in found:
-            if us < limit:
-                self.recent.removeKey(norm)
-        left = [us for _, us in found if us >= limit]
-        if left:
-            self.handle.registerTimer((max(min(left) + 1000, limit + self.DAY // 4) + self.DAY) // 1000)
+        recent = self._recent(limit)
+        self.recent.put([(entity, norm, us) for (entity, norm), us in recent.items()])
+        if recent:
+            self.handle.registerTimer((max(min(recent.values()) + 1000, limit + self.DAY // 4) + self.DAY) // 1000)
         else:
-            self.recent.clear()
-            self.hour.clear()
-        yield self._rows([])
+            self.hour.put([])
+        yield _frame([], self.OUT)
 
     def close(self) -> None:
         pass
 
 
-def alerts_routed(stream: DataFrame, hourly: int = 5, threshold: float = 0.85, late: str = "1 minute") -> DataFrame:
+def alerts_routed(stream: DataFrame, hourly: int = 5, threshold: float = 0.85, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """alerts(event_id, entity, severity, norm, created_at) -> event_id, entity, routed and digest: the ids of the entity's last hour, if routed into one.
 
     P0 is always sent. Others are suppressed if their entity had an equal text, or one of a ratio of the threshold, within a day; of the rest, more than
-    `hourly` in an hour become digests. An entity keeps its texts of the last day, one entry each, and its last hour; both go by timer.
+    `hourly` in an hour become digests. An entity keeps its texts of the last day and its last hour; both go by timer.
     """
-    return stream.withWatermark("created_at", late).groupBy("entity").transformWithStateInPandas(_Alerts(hourly, threshold), "event_id long, entity long, routed string, digest string", "Append", "EventTime")
+    routed = _dealt(stream, "created_at", late, buckets).transformWithStateInPandas(_Alerts(hourly, threshold), "event_id long, entity string, routed string, digest string", "Append", "EventTime")
+    return routed.withColumn("entity", F.col("entity").cast("long"))
