@@ -44,17 +44,22 @@ def as_ordered_stream(rows: DataFrame, label: str, at: str, batches: int = 4, ro
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def drained_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def drained_updates(stream: DataFrame, label: str, keys: list[str], conf: dict[str, str] | None = None, by: str | None = None, rows_a_task: int = 250_000) -> DataFrame:
     """Run the stream in update mode: every batch appends the groups that it changed, with its number, and the last of each key counts.
-    So no batch rewrites what came before, and a watermark can let old groups go."""
+    So no batch rewrites what came before, and a watermark can let old groups go. conf holds while it starts. If `by`, one of the keys, is given, the result is dealt by it over
+    tasks of about rows_a_task rows, however many there are, and what groups by it later needs no further shuffle."""
     spark = stream.sparkSession
     out, progress = folder(spark, label), folder(spark, f"{label}-progress")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch_number={number}")  # the same again if the batch is repeated
 
-    stream.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    with _set(spark, conf or {}):
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch bigint").parquet(out)
+    if by:
+        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / rows_a_task)), by)
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
     return rows.withColumn("last", last).where("last = 1").select(*stream.columns)
 
@@ -148,6 +153,13 @@ def counted(stream: DataFrame, at: str, keys: list[str], length: str, slide: str
     return stream.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
+def hourly_rates(panes: DataFrame, key: str, pane_seconds: int = 300, panes_an_hour: int = 12) -> DataFrame:
+    """panes(start, key, n) of a tumbling count -> start, key, n of the sliding windows that panes_an_hour of them make: a pane is in as many windows. If panes
+    are dealt by key, no shuffle holds each of them twelve times."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(panes_an_hour - 1)), lambda i: F.timestamp_micros(F.unix_micros("start") - i.cast("long") * (pane_seconds * 1_000_000)))
+    return panes.select(F.explode(starts).alias("start"), key, "n").groupBy("start", key).agg(F.sum("n").alias("n"))
+
+
 def last_of_day(stream: DataFrame, at: str, keys: list[str], value: str, ingest: str, late: str = "30 days") -> DataFrame:
     """By key and day the value taken in last: a late row within the watermark corrects its day, a later one is dropped."""
     w = F.window(at, "1 day")
