@@ -3,9 +3,13 @@
 import datetime as dt
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.catalogue import SQL
 from tidemark.operators.text import Router
+from tidemark.plans.streams import st_dedupe
+from tidemark.plans.views import Tables
 from tidemark.streaming import processors, streams
 
 START = dt.datetime(2024, 1, 1)
@@ -93,3 +97,31 @@ def test_hours_are_twelve_panes(spark):
     got = {(r["user_id"], r["start"]): r["n"] for r in rates.collect()}
     want = {(r["user_id"], r["w"]["start"]): r["n"] for r in df.groupBy("user_id", F.window("ts", "1 hour", "5 minutes").alias("w")).agg(F.count("*").alias("n")).collect()}
     assert got == want and len(want) > 200
+
+
+def test_a_batch_of_several_files_is_deduplicated_whole(spark):
+    """Batches of fifteen days in files that each hold all of these days: a file mustn't make the rest of its batch late."""
+    rows = [(i, at(60 * i), at(60 * i)) for i in range(1440)] + [(i, at(60 * i), at(60 * i + 60)) for i in range(0, 1440, 3)] + [(i, at(60 * i), at(60 * 1442)) for i in range(0, 1440, 7)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, sent timestamp")
+    for given in ({}, {"rows_a_file": 100}):
+        fresh, late = streams.drained_in_time(streams.as_ordered_stream(df, "envelopes", "sent", 4, rows_a_file=60), "in-time", "ts", 86_400, **given)
+        said = []
+        once = streams.drained(streams.deduplicated(fresh, "event_id", "ts", "1 day"), "deduped", progress_of=said)
+        assert sorted(r["event_id"] for r in once.collect()) == list(range(1440))
+        assert len([p for p in said if p["numInputRows"]]) == 4 and sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in said if p["stateOperators"]) == 0
+        low, high = 0, 60 * 1442 + 1
+        batch = lambda i: 60 * i * 4 // (high - low)
+        last = max(i for i in range(1440) if batch(i) < 3)  # the latest before the last batch, which all third deliveries are in
+        assert sorted(r["event_id"] for r in late.collect()) == [i for i in range(0, 1440, 7) if i < last - 24]
+
+
+def test_deliveries_without_id_or_time_or_of_an_id_used_again(spark, tmp_path):
+    """No id is a group like any other, an id that comes again after days is kept, and a delivery without a time is neither kept nor late."""
+    rows = [(i, at(600 * i)) for i in range(1, 100)] + [(None, at(3)), (None, at(50_000)), (2, at(40_000)), (14, at(59_000)), (700, None), (701, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["kept"], r["n_late"]) for r in st_dedupe(Tables(spark, str(tmp_path))).collect()}
+    with duckdb.connect() as db:
+        db.sql("SET TimeZone = 'UTC'")
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = {i: (kept, n) for i, kept, n in db.sql(SQL["st_dedupe"]).fetchall()}
+    assert got == want and got[700] == (False, 0) and 701 not in got and got[None][0] and got[2][0] and got[14][1] == 1

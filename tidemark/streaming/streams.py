@@ -29,21 +29,25 @@ def as_ordered_stream(rows: DataFrame, label: str, at: str, batches: int = 4, ro
     if low is None:
         rows.write.parquet(path)
     else:
-        part = F.floor((us - low) * batches / (high - low + 1))
+        part = F.call_function("div", (us - low) * batches, F.lit(high - low + 1))
         if files > 1:  # computed once, in parallel, and read again by batch
             given, kept = rows.schema, folder(spark, f"{label}-by-batch")
             rows.withColumn("batch_number", part).write.partitionBy("batch_number").parquet(kept)
             rows, part = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in given.fields)}, batch_number bigint").parquet(kept), F.col("batch_number")
         for k in range(batches):
-            batch = rows.where(part == k).drop("batch_number")
-            (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)  # a batch of a feed
-            missing = files * (k + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles()) if files > 1 else 0
-            for _ in range(missing):  # an empty task writes no file
-                batch.limit(0).coalesce(1).write.mode("append").parquet(path)
+            _add_batch(rows.where(part == k).drop("batch_number"), path, k, files)
         rows = rows.drop("batch_number")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _add_batch(batch: DataFrame, path: str, number: int, files: int) -> None:
+    """Append a batch of a feed as exactly `files` files, after those of the batches before it."""
+    (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
+    missing = files * (number + 1) - len(batch.sparkSession.read.schema(batch.schema).parquet(path).inputFiles()) if files > 1 else 0
+    for _ in range(missing):  # an empty task writes no file
+        batch.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
 def drained_updates(stream: DataFrame, label: str, keys: list[str], conf: dict[str, str] | None = None, by: str | None = None, rows_a_task: int = 250_000) -> DataFrame:
     """Run the stream in update mode: every batch appends the groups that it changed, with its number, and the last of each key counts.
     So no batch rewrites what came before, and a watermark can let old groups go. conf holds while it starts. If `by`, one of the keys, is given, the result is dealt by it over
@@ -112,12 +116,13 @@ def drained(stream: DataFrame, label: str, mode: str = "append", conf: dict[str,
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drained_in_time(stream: DataFrame, label: str, at: str, within_seconds: int) -> tuple[DataFrame, DataFrame]:
+def drained_in_time(stream: DataFrame, label: str, at: str, within_seconds: int, rows_a_file: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Run the stream and part its rows: those not older than `within_seconds` before the latest row of the batches before, as a stream for what
     follows, and the late ones, as a table.
 
     The latest time so far is kept in a table of its own, a row a batch, written before the batch's rows, and read without the row of the batch itself,
-    so that a batch that is repeated parts its rows as it did at first.
+    so that a batch that is repeated parts its rows as it did at first. A trigger of what follows takes exactly a batch, of however many files: within
+    a batch the times of files overlap, so that a watermark moved by one of them would drop rows of the next.
     """
     spark = stream.sparkSession
     kept, gone, clock, progress = (folder(spark, f"{label}{x}") for x in ("", "-late", "-clock", "-progress"))
@@ -129,12 +134,18 @@ def drained_in_time(stream: DataFrame, label: str, at: str, within_seconds: int)
         spark.createDataFrame([(now,)], "latest long").write.mode("overwrite").parquet(f"{clock}/batch_number={number}")
         bound = spark.read.schema(times).parquet(clock).where(F.col("batch_number") < number).agg(F.max("latest")).first()[0]
         late = F.lit(False) if bound is None else us < bound - within_seconds * 1_000_000
-        batch.where(~late).write.mode("overwrite").parquet(f"{kept}/batch={number}")
-        batch.where(late).write.mode("overwrite").parquet(f"{gone}/batch={number}")
+        batch.where(~late).write.mode("overwrite").parquet(f"{kept}/batch_number={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{gone}/batch_number={number}")
 
     stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(part).start().awaitTermination()
-    again = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(f"{kept}/batch=*")
-    return again, spark.read.schema(stream.schema).parquet(f"{gone}/batch=*")
+    fresh = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch_number bigint").parquet(kept)
+    batches, files, again = spark.read.schema(times).parquet(clock).count(), 1, f"{kept}/batch_number=*"
+    if len(fresh.inputFiles()) > batches:  # not a file a batch: dealt anew, the same number for all
+        most = fresh.groupBy("batch_number").count().agg(F.max("count")).first()[0] or 0
+        files, again = max(1, math.ceil(most / rows_a_file)), folder(spark, f"{label}-in-step")
+        for k in range(batches):
+            _add_batch(fresh.where(F.col("batch_number") == k).drop("batch_number"), again, k, files)
+    return spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", files).parquet(again), spark.read.schema(stream.schema).parquet(f"{gone}/batch_number=*")
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, within: str) -> DataFrame:
