@@ -37,6 +37,21 @@ class Forest:
         return True
 
 
+class Labels:
+    """Components of n numbered nodes, a label each; join() ties a node to others and keeps the links that united two components."""
+
+    def __init__(self, n: int) -> None:
+        self.of = np.arange(n)
+        self.kept: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        others = others[self.of[others] != self.of[i]]
+        if len(others):
+            labels, at = np.unique(self.of[others], return_index=True)
+            self.kept += [(i, j) for j in others[at].tolist()]
+            self.of[np.isin(self.of, labels)] = self.of[i]
+
+
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's links, a spanning forest; the forest of each batch is enough."""
     for batch in batches:
