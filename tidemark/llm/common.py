@@ -86,6 +86,34 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_apart(df: DataFrame, second: Column, label: str) -> tuple[DataFrame, DataFrame]:
+    """As staged(), in one pass, two tables: the rows for which `second` doesn't hold, and those for which it does, which drop_staged() can remove before the others."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    for paths in _OPEN:
+        paths.append(path)
+    writers, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    spark.conf.set(writers, "2")  # else the rows are sorted first
+    try:
+        df.withColumn("second", F.when(second, 1).otherwise(0)).write.option("compression", "zstd").partitionBy("second").parquet(path)
+    finally:
+        spark.conf.unset(writers) if before is None else spark.conf.set(writers, before)
+    read = []
+    for k in (0, 1):
+        part = f"{path}/second={k}"
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)  # where there are no such rows
+        read.append(spark.read.schema(df.schema).parquet(part))
+    return read[0], read[1]
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Remove a table of staged_apart(), which nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs -> row (its columns, as a struct) and number: one for each row, whatever its id and however often it occurs.
 
